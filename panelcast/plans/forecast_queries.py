@@ -1,0 +1,572 @@
+"""Queries over splits, fitted transforms and forecasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelcast.functions.columns import rounded
+from panelcast.operators import autoregression as ar
+from panelcast.operators import features, sequence, splits, transforms, volatility
+from panelcast.operators.evaluate import experiment_key, metrics, prediction_rows
+from panelcast.operators.regression import linear_holdout, selection_log, walk_forward_linear, walk_forward_linear_refit
+from panelcast.operators.report import missing_runs
+from panelcast.plans import sql
+from panelcast.plans.catalogue import query
+from panelcast.plans.experiments import WINDOW, arima_forecasts, attach_forecast, predictions
+from panelcast.plans.panels import bounds, panel, samples, split_panel
+from panelcast.config import MODELS, Settings
+
+RND = sql.rnd
+KEYS = ["symbol", "feature_date", "target_date", "step"]
+
+
+def forecast_rows(df: DataFrame, digits: int = 2) -> DataFrame:
+    return df.select(*KEYS, "target", rounded("predicted", digits).alias("predicted"))
+
+
+FORECAST = f"symbol, feature_date, target_date, step, target, {RND('predicted', 2)} AS predicted"
+
+
+# ---- splits ----------------------------------------------------------------------------------------
+
+
+@query("e1_boundary_dates", sql.split_panel() + " SELECT * FROM ends")
+def e1_boundary_dates(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.boundary_dates(panel(spark, folder))
+
+
+@query("e2_date_split", sql.split_panel() + " SELECT symbol, split, count(*) AS n, min(date) AS first, max(date) AS last FROM split_panel GROUP BY 1, 2")
+def e2_date_split(spark: SparkSession, folder: str) -> DataFrame:
+    rows = split_panel(spark, folder)
+    return rows.groupBy("symbol", "split").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+@query(
+    "e3_ratio_split",
+    sql.panel() + """, sized AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM panel)
+    SELECT symbol, date, CASE WHEN seq <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN seq <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'validation' ELSE 'test' END AS split FROM sized""",
+)
+def e3_ratio_split(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.ratio_split(panel(spark, folder)).select("symbol", "date", "split")
+
+
+def _supervised_query(horizon: int) -> None:
+    text = sql.samples(horizon=horizon) + " SELECT symbol, date, split, seq, pos, step, current_close, target, target_date FROM samples"
+
+    @query(f"e4_supervised_h{horizon}", text)
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        base = split_panel(spark, folder)
+        made = splits.supervised_positions(splits.supervised(base, horizon), base, horizon)
+        return made.select("symbol", "date", "split", "seq", "pos", "step", "current_close", "target", "target_date")
+
+
+for _h in (1, 5):
+    _supervised_query(_h)
+
+
+@query(
+    "e5_extra_targets",
+    sql.split_panel() + """ SELECT symbol, date, target, target_volume FROM (SELECT symbol, date, lead(adjclose) OVER w AS target,
+    lead(volume) OVER w AS target_volume FROM split_panel WINDOW w AS (PARTITION BY symbol, split ORDER BY date)) WHERE target IS NOT NULL""",
+)
+def e5_extra_targets(spark: SparkSession, folder: str) -> DataFrame:
+    made = splits.supervised(split_panel(spark, folder), 1, extra={"target_volume": "volume"})
+    return made.select("symbol", "date", "target", "target_volume")
+
+
+_WINDOWED = sql.samples() + """, windowed AS (SELECT symbol, feature_date, split, target AS y, list([close, volume]) OVER w AS x, list([open]) OVER w AS opens
+  FROM samples WINDOW w AS (PARTITION BY symbol ORDER BY pos ROWS 9 PRECEDING))"""
+_FLAT = "array_to_string([round(v, 6)::VARCHAR for v in flatten({})], ',')"
+
+
+def _array_sums(name: str) -> list:
+    """Scalars that pin an array of rows down: its length, first and last row and position-weighted total."""
+    flat = F.flatten(name)
+    weighted = F.aggregate(
+        F.transform(flat, lambda v, i: v * (i + 1)), F.lit(0.0), lambda t, v: t + v
+    )
+    return [
+        F.size(name).cast("long").alias(f"{name}_rows"),
+        flat[0].alias(f"{name}_first"),
+        F.element_at(flat, -1).alias(f"{name}_last"),
+        rounded(weighted, 2).alias(f"{name}_weighted"),
+    ]
+
+
+def _array_sums_sql(name: str) -> str:
+    flat = f"flatten({name})"
+    weighted = f"list_sum([v * i for v, i in {flat}])"
+    return (
+        f"len({name})::BIGINT AS {name}_rows, {flat}[1] AS {name}_first, {flat}[-1] AS {name}_last, {RND(weighted, 2)} AS {name}_weighted"
+    )
+
+
+@query("e6_train_windows", _WINDOWED + f" SELECT symbol, feature_date, y, {_array_sums_sql('x')} FROM windowed WHERE split = 'train' AND len(x) = 10")
+def e6_train_windows(spark: SparkSession, folder: str) -> DataFrame:
+    made = splits.sliding_windows(samples(spark, folder), {"x": ["close", "volume"]}, 10).where("split = 'train'")
+    return made.select("symbol", "feature_date", F.col("target").alias("y"), *_array_sums("x"))
+
+
+@query("e7_contextual_windows", _WINDOWED + f" SELECT symbol, feature_date, split, y, {_array_sums_sql('x')} FROM windowed WHERE split <> 'train' AND len(x) = 10")
+def e7_contextual_windows(spark: SparkSession, folder: str) -> DataFrame:
+    made = splits.sliding_windows(samples(spark, folder), {"x": ["close", "volume"]}, 10).where("split <> 'train'")
+    return made.select("symbol", "feature_date", "split", F.col("target").alias("y"), *_array_sums("x"))
+
+
+@query(
+    "e8_inference_windows",
+    _WINDOWED + f""" SELECT symbol, feature_date, {_array_sums_sql('x')} FROM windowed WHERE len(x) = 10
+    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY feature_date DESC) = 1""",
+)
+def e8_inference_windows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = samples(spark, folder)
+    ends = rows.groupBy("symbol").agg(F.max("pos").alias("_end"))
+    tails = rows.join(ends, "symbol").where(F.col("pos") > F.col("_end") - 10)
+    made = splits.sliding_windows(tails, {"x": ["close", "volume"]}, 10).where("pos = _end")
+    return made.select("symbol", "feature_date", *_array_sums("x"))
+
+
+@query(
+    "e9_branch_windows",
+    _WINDOWED + f" SELECT symbol, feature_date, split, y, {_array_sums_sql('x')}, {_array_sums_sql('opens')} FROM windowed WHERE len(x) = 10",
+)
+def e9_branch_windows(spark: SparkSession, folder: str) -> DataFrame:
+    made = splits.sliding_windows(samples(spark, folder), {"x": ["close", "volume"], "opens": ["open"]}, 10)
+    return made.select("symbol", "feature_date", "split", F.col("target").alias("y"), *_array_sums("x"), *_array_sums("opens"))
+
+
+@query("e10_refit_split", sql.samples() + " SELECT symbol, CASE WHEN split = 'test' THEN 'test' ELSE 'train' END AS split, count(*) AS n FROM samples GROUP BY 1, 2")
+def e10_refit_split(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.merged_for_refit(samples(spark, folder)).groupBy("symbol", "split").agg(F.count("*").alias("n"))
+
+
+# ---- transforms ------------------------------------------------------------------------------------
+
+_FITTED = ["close", "volume"]
+_BOUNDS = sql.samples() + """, gaps AS (SELECT symbol, feature_date, split, target, close, CASE WHEN seq % 11 = 0 THEN NULL ELSE volume END AS volume FROM samples),
+bounds AS (SELECT symbol, """ + ", ".join(
+    f"quantile_cont({c}, 0.01) AS {c}__lo, quantile_cont({c}, 0.99) AS {c}__hi" for c in _FITTED
+) + " FROM gaps WHERE split = 'train' GROUP BY 1), clipped AS (SELECT g.* REPLACE (" + ", ".join(
+    f"{sql.clip('g.' + c, c + '__lo', c + '__hi')} AS {c}" for c in _FITTED
+) + "), " + ", ".join(f"{c}__lo, {c}__hi" for c in _FITTED) + """ FROM gaps g JOIN bounds USING (symbol)),
+medians AS (SELECT symbol, """ + ", ".join(f"median({c}) AS {c}__median" for c in _FITTED) + """ FROM clipped WHERE split = 'train' GROUP BY 1),
+filled AS (SELECT c.* REPLACE (""" + ", ".join(f"coalesce({c}, {c}__median, 0) AS {c}" for c in _FITTED) + """) FROM clipped c JOIN medians USING (symbol)),
+moments AS (SELECT symbol, """ + ", ".join(f"avg({c}) AS {c}__mean, stddev_pop({c}) AS {c}__std" for c in _FITTED) + """ FROM filled WHERE split = 'train' GROUP BY 1),
+scaled AS (SELECT symbol, feature_date, split, target, """ + ", ".join(
+    f"({c} - {c}__mean) / CASE WHEN {c}__std > 0 THEN {c}__std ELSE 1 END AS {c}" for c in _FITTED
+) + " FROM filled JOIN moments USING (symbol))"
+
+
+def _gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return samples(spark, folder).withColumn("volume", F.when(F.col("seq") % 11 != 0, F.col("volume")))
+
+
+@query(
+    "f1_clip_bounds",
+    _BOUNDS + " SELECT symbol, " + sql.rounded_columns([f"{c}__{k}" for c in _FITTED for k in ("lo", "hi")], 4) + " FROM bounds",
+)
+def f1_clip_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    made = transforms.fit_bounds(_gaps(spark, folder).where("split = 'train'"), _FITTED)
+    return made.select("symbol", *[rounded(f"{c}__{k}", 4).alias(f"{c}__{k}") for c in _FITTED for k in ("lo", "hi")])
+
+
+@query("f2_clipped_rows", _BOUNDS + " SELECT symbol, feature_date, split, " + sql.rounded_columns(_FITTED, 8) + " FROM clipped")
+def f2_clipped_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _gaps(spark, folder)
+    fitted = transforms.fit_bounds(rows.where("split = 'train'"), _FITTED)
+    made = transforms.clipped(rows.join(fitted, "symbol"), _FITTED)
+    return made.select("symbol", "feature_date", "split", *[rounded(c, 8).alias(c) for c in _FITTED])
+
+
+@query("f3_filled_rows", _BOUNDS + " SELECT symbol, feature_date, split, " + sql.rounded_columns(_FITTED, 8) + " FROM filled")
+def f3_filled_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _gaps(spark, folder)
+    fitted = transforms.fit_bounds(rows.where("split = 'train'"), _FITTED)
+    made = transforms.clipped(rows.join(fitted, "symbol"), _FITTED)
+    return made.select("symbol", "feature_date", "split", *[rounded(transforms.filled(c), 8).alias(c) for c in _FITTED])
+
+
+@query("f4_scaled_rows", _BOUNDS + " SELECT symbol, feature_date, split, " + sql.rounded_columns(_FITTED, 6) + " FROM scaled")
+def f4_scaled_rows(spark: SparkSession, folder: str) -> DataFrame:
+    made = transforms.fit_and_scale(_gaps(spark, folder), _FITTED)
+    return made.select("symbol", "feature_date", "split", *[rounded(c, 6).alias(c) for c in _FITTED])
+
+
+@query("f5_dense_rows", _BOUNDS + " SELECT symbol, feature_date, split, close AS x0, volume AS x1, target AS y, close IS NOT NULL AND volume IS NOT NULL AS complete FROM gaps")
+def f5_dense_rows(spark: SparkSession, folder: str) -> DataFrame:
+    made = transforms.dense_rows(_gaps(spark, folder), _FITTED)
+    return made.select("symbol", "feature_date", "split", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), "y", "complete")
+
+
+@query(
+    "f6_scaled_windows",
+    _BOUNDS + f""", windowed AS (SELECT symbol, feature_date, split, list([close, volume]) OVER (PARTITION BY symbol ORDER BY feature_date ROWS 4 PRECEDING) AS x FROM scaled)
+    SELECT symbol, feature_date, split, len(x)::BIGINT AS x_rows, {RND('list_sum([v * i for v, i in flatten(x)])', 6)} AS x_weighted FROM windowed WHERE len(x) = 5""",
+)
+def f6_scaled_windows(spark: SparkSession, folder: str) -> DataFrame:
+    scaled = transforms.fit_and_scale(_gaps(spark, folder), _FITTED)
+    made = splits.sliding_windows(scaled, {"x": _FITTED}, 5)
+    weighted = F.aggregate(F.transform(F.flatten("x"), lambda v, i: v * (i + 1)), F.lit(0.0), lambda t, v: t + v)
+    return made.select("symbol", "feature_date", "split", F.size("x").cast("long").alias("x_rows"), rounded(weighted, 6).alias("x_weighted"))
+
+
+# ---- linear regression -----------------------------------------------------------------------------
+
+_SIX = ["open", "high", "low", "close", "adjclose", "volume"]
+
+
+def _two_columns(table: str, where: str, name: str) -> str:
+    """Two-feature least squares by Cramer's rule."""
+    return f""", {name}_m AS (SELECT symbol, avg(x1) AS m1, avg(x2) AS m2, avg(target) AS my, var_pop(x1) AS s11, var_pop(x2) AS s22,
+    covar_pop(x1, x2) AS s12, covar_pop(x1, target) AS s1y, covar_pop(x2, target) AS s2y FROM {table} WHERE {where} GROUP BY 1),
+{name} AS (SELECT symbol, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2, m1, m2, my FROM {name}_m)"""
+
+
+_LINEAR = sql.samples() + """, lim AS (SELECT symbol, quantile_cont(close, 0.01) AS l1, quantile_cont(close, 0.99) AS h1, quantile_cont(volume, 0.01) AS l2,
+  quantile_cont(volume, 0.99) AS h2 FROM samples WHERE split = 'train' GROUP BY 1),
+ready AS (SELECT s.*, """ + f"{sql.clip('close', 'l1', 'h1')} AS x1, {sql.clip('volume', 'l2', 'h2')} AS x2" + " FROM samples s JOIN lim USING (symbol))"
+
+
+@query(
+    "g1_linear_holdout",
+    _LINEAR + _two_columns("ready", "split <> 'test'", "fit") + f""", scored AS (SELECT r.*, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted
+    FROM ready r JOIN fit USING (symbol) WHERE split = 'test') SELECT {FORECAST} FROM scored""",
+)
+def g1_linear_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    return forecast_rows(linear_holdout(samples(spark, folder), ["close", "volume"]))
+
+
+@query("g1_linear_holdout_six_columns")
+def g1_linear_holdout_six_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return forecast_rows(linear_holdout(samples(spark, folder), _SIX))
+
+
+@query(
+    "g1_selection_log",
+    _LINEAR + _two_columns("ready", "split = 'train'", "fit") + f""", scored AS (SELECT r.*, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted
+    FROM ready r JOIN fit USING (symbol) WHERE split = 'validation')
+    SELECT symbol, 'selection' AS phase, count(predicted) AS n, {RND('sqrt(avg((target - predicted) ** 2))', 4)} AS rmse FROM scored GROUP BY 1""",
+)
+def g1_selection_log(spark: SparkSession, folder: str) -> DataFrame:
+    return selection_log(samples(spark, folder), ["close", "volume"]).withColumn("rmse", rounded("rmse", 4))
+
+
+@query(
+    "g2_scaled_linear_holdout",
+    _LINEAR + _two_columns("ready", "split <> 'test'", "fit") + f""", scored AS (SELECT r.*, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted
+    FROM ready r JOIN fit USING (symbol) WHERE split = 'test') SELECT {FORECAST} FROM scored""",
+)
+def g2_scaled_linear_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """Scaling does not change least-squares forecasts, so the unscaled SQL checks this one too."""
+    scaled = transforms.fit_and_scale(samples(spark, folder), ["close", "volume"])
+    return forecast_rows(linear_holdout(scaled, ["close", "volume"], limits=(0.0, 1.0)))
+
+
+def _expanding_sql(horizon: int) -> str:
+    frame = f"WINDOW e AS (PARTITION BY symbol ORDER BY seq RANGE BETWEEN UNBOUNDED PRECEDING AND {horizon} PRECEDING)"
+    return sql.samples(horizon=horizon) + f""", scored AS (SELECT *, regr_intercept(target, close) OVER e + regr_slope(target, close) OVER e * close AS predicted
+    FROM samples {frame}) SELECT {FORECAST} FROM scored WHERE split = 'test'"""
+
+
+def _walk_forward_query(horizon: int) -> None:
+    @query(f"g11_walk_forward_linear_h{horizon}", _expanding_sql(horizon))
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        return forecast_rows(walk_forward_linear(samples(spark, folder, horizon=horizon), ["close"], horizon, limits=None))
+
+
+for _h in (1, 5):
+    _walk_forward_query(_h)
+
+
+@query(
+    "g11_walk_forward_open_history_h5",
+    sql.samples(horizon=5) + f""", scored AS (SELECT *, regr_intercept(target, close) OVER e + regr_slope(target, close) OVER e * close AS predicted
+    FROM samples WINDOW e AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT {FORECAST} FROM scored WHERE split = 'test'""",
+)
+def g11_walk_forward_open_history_h5(spark: SparkSession, folder: str) -> DataFrame:
+    """History of all earlier rows, whether or not their targets were known yet."""
+    return forecast_rows(walk_forward_linear(samples(spark, folder, horizon=5), ["close"], 5, limits=None, leak_safe=False))
+
+
+@query("g11_walk_forward_linear_six_columns")
+def g11_walk_forward_linear_six_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return forecast_rows(walk_forward_linear(samples(spark, folder), _SIX))
+
+
+_REFIT_STEPS = 10
+
+
+@query(
+    "g11_walk_forward_refit_bounds",
+    sql.samples() + f""", asked AS (SELECT symbol, pos, step, feature_date, target_date, target, close FROM samples WHERE split = 'test' AND step <= {_REFIT_STEPS}),
+    history AS (SELECT a.symbol, a.step, s.close, s.target FROM asked a JOIN samples s ON s.symbol = a.symbol AND s.pos < a.pos),
+    lim AS (SELECT symbol, step, quantile_cont(close, 0.01) AS lo, quantile_cont(close, 0.99) AS hi FROM history GROUP BY 1, 2),
+    clipped AS (SELECT h.*, {sql.clip('close')} AS x FROM history h JOIN lim USING (symbol, step)),
+    fit AS (SELECT symbol, step, regr_slope(target, x) AS b, regr_intercept(target, x) AS c FROM clipped GROUP BY 1, 2),
+    scored AS (SELECT a.*, c + b * {sql.clip('a.close')} AS predicted FROM asked a JOIN fit USING (symbol, step) JOIN lim USING (symbol, step))
+    SELECT {FORECAST} FROM scored""",
+)
+def g11_walk_forward_refit_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The step limit is a setting of the backtest; history is always whole."""
+    return forecast_rows(walk_forward_linear_refit(samples(spark, folder), ["close"], _REFIT_STEPS))
+
+
+# ---- autoregression --------------------------------------------------------------------------------
+
+_DIFFS = """, diffs AS (SELECT symbol, date, split, seq, adjclose, d, """ + ", ".join(
+    f"lag(d, {i}) OVER w AS d{i}" for i in range(1, 3)
+) + """ FROM (SELECT symbol, date, split, seq, adjclose, adjclose - lag(adjclose) OVER (PARTITION BY symbol ORDER BY date) AS d FROM split_panel)
+  WINDOW w AS (PARTITION BY symbol ORDER BY date))"""
+_TWO_LAGS = """(SELECT symbol, (b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12) AS phi1, (b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12) AS phi2
+  FROM (SELECT symbol, sum(d1 * d1) AS a11, sum(d1 * d2) AS a12, sum(d2 * d2) AS a22, sum(d1 * d) AS b1, sum(d2 * d) AS b2 FROM diffs
+    WHERE d2 IS NOT NULL AND {} GROUP BY 1))"""
+
+
+@query(
+    "g3_ar_coefficients",
+    sql.split_panel() + _DIFFS + f""" SELECT symbol, '(1, 1, 0)' AS "order", {RND('sum(d * d1) / sum(d1 * d1)', 6)} AS phi1, 0.0::DOUBLE AS phi2
+    FROM diffs WHERE split = 'train' GROUP BY 1
+    UNION ALL SELECT symbol, '(2, 1, 0)', {RND('phi1', 6)}, {RND('phi2', 6)} FROM {_TWO_LAGS.format("split = 'train'")}""",
+)
+def g3_ar_coefficients(spark: SparkSession, folder: str) -> DataFrame:
+    lagged = ar.differenced(split_panel(spark, folder), deepest=ar.AR_TERMS)
+    fitted = ar.fit_orders(lagged.where("split = 'train'"), ((1, 1, 0), (2, 1, 0)))
+    return fitted.select("symbol", "order", rounded(F.col("phi")[0], 6).alias("phi1"), rounded(F.col("phi")[1], 6).alias("phi2"))
+
+
+@query(
+    "g4_rolling_forecast",
+    sql.split_panel() + _DIFFS + f""", fit AS (SELECT symbol, sum(d * d1) / sum(d1 * d1) AS phi FROM diffs WHERE split <> 'test' GROUP BY 1),
+    made AS (SELECT symbol, date, seq, adjclose - d + phi * coalesce(d1, 0) AS linear_current, adjclose + phi * coalesce(d, 0) AS linear_next, adjclose FROM diffs JOIN fit USING (symbol))
+    SELECT symbol, seq, {RND('linear_next', 2)} AS linear_next, {RND('linear_current', 2)} AS linear_current, {RND('adjclose - linear_current', 2)} AS linear_residual FROM made""",
+)
+def g4_rolling_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    made = arima_forecasts(split_panel(spark, folder), 1)
+    return made.select("symbol", "seq", *[rounded(c, 2).alias(c) for c in ("linear_next", "linear_current", "linear_residual")])
+
+
+@query(
+    "g4_forecast_five_ahead",
+    sql.samples(horizon=5) + _DIFFS + f""", fit AS (SELECT symbol, sum(d * d1) / sum(d1 * d1) AS phi FROM diffs WHERE split <> 'test' GROUP BY 1),
+    scored AS (SELECT s.*, current_close + d * (phi + power(phi, 2) + power(phi, 3) + power(phi, 4) + power(phi, 5)) AS predicted
+      FROM samples s JOIN diffs f ON f.symbol = s.symbol AND f.date = s.date JOIN fit ON fit.symbol = s.symbol WHERE s.split = 'test')
+    SELECT {FORECAST} FROM scored""",
+)
+def g4_forecast_five_ahead(spark: SparkSession, folder: str) -> DataFrame:
+    tests = samples(spark, folder, horizon=5).where("split = 'test'")
+    return forecast_rows(attach_forecast(tests, arima_forecasts(split_panel(spark, folder), 5), "linear_next"))
+
+
+@query("g5_moving_average_orders")
+def g5_moving_average_orders(spark: SparkSession, folder: str) -> DataFrame:
+    orders = ((2, 1, 2), (3, 1, 3))
+    lagged = ar.lagged_panel(split_panel(spark, folder), orders)
+    fitted = ar.fit_orders(lagged.where("split <> 'test'"), orders)
+    return fitted.select("symbol", "order", *[rounded(F.col("phi")[i], 6).alias(f"w{i}") for i in range(ar.TERMS)])
+
+
+_SELECTION = sql.split_panel() + _DIFFS + f""", one AS (SELECT symbol, sum(d * d1) / sum(d1 * d1) AS phi FROM diffs WHERE split = 'train' GROUP BY 1),
+two AS {_TWO_LAGS.format("split = 'train'")},
+led AS (SELECT *, lead(adjclose) OVER (PARTITION BY symbol, split ORDER BY date) AS target FROM diffs),
+scored AS (SELECT l.symbol, 0 AS ordinal, '(1, 1, 0)' AS "order", target, adjclose + phi * d AS predicted FROM led l JOIN one USING (symbol) WHERE split = 'validation'
+  UNION ALL SELECT l.symbol, 1, '(2, 1, 0)', target, adjclose + phi1 * d + phi2 * d1 FROM led l JOIN two USING (symbol) WHERE split = 'validation'),
+scores AS (SELECT symbol, ordinal, "order", sqrt(avg((target - predicted) ** 2)) AS rmse FROM scored WHERE target IS NOT NULL GROUP BY 1, 2, 3),
+log AS (SELECT *, coalesce(rmse < min(rmse) OVER (PARTITION BY symbol ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS selected,
+  row_number() OVER (PARTITION BY symbol ORDER BY rmse, ordinal) = 1 AS best FROM scores)"""
+
+
+@query("g6_order_selection", _SELECTION + f' SELECT symbol, ordinal, "order", {RND("rmse", 4)} AS rmse, selected, best FROM log')
+def g6_order_selection(spark: SparkSession, folder: str) -> DataFrame:
+    orders = ((1, 1, 0), (2, 1, 0))
+    lagged = ar.lagged_panel(split_panel(spark, folder), orders)
+    log = ar.select_order(lagged, orders, default=(1, 1, 0))
+    return log.select("symbol", "ordinal", "order", rounded("rmse", 4).alias("rmse"), "selected", "best")
+
+
+@query("g6_order_selection_full_grid")
+def g6_order_selection_full_grid(spark: SparkSession, folder: str) -> DataFrame:
+    log = ar.select_order(ar.lagged_panel(split_panel(spark, folder)))
+    return log.select("symbol", "ordinal", "order", rounded("rmse", 4).alias("rmse"), "selected", "best")
+
+
+@query("g6_arima_holdout")
+def g6_arima_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """Order chosen per symbol, refitted on train and validation, test rows forecast."""
+    forecasted, _ = ar.holdout(split_panel(spark, folder))
+    return forecast_rows(attach_forecast(samples(spark, folder).where("split = 'test'"), forecasted, "linear_next"))
+
+
+@query(
+    "g12_walk_forward_ar1",
+    sql.samples() + _DIFFS + f""", running AS (SELECT symbol, date, d, sum(d * d1) OVER e / sum(d1 * d1) OVER e AS phi FROM diffs
+      WINDOW e AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    scored AS (SELECT s.*, current_close + phi * d AS predicted FROM samples s JOIN running r ON r.symbol = s.symbol AND r.date = s.date WHERE split = 'test')
+    SELECT {FORECAST} FROM scored""",
+)
+def g12_walk_forward_ar1(spark: SparkSession, folder: str) -> DataFrame:
+    made = ar.walk_forward(split_panel(spark, folder), 1)
+    return forecast_rows(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "linear_next"))
+
+
+@query("g12_walk_forward_ar3")
+def g12_walk_forward_ar3(spark: SparkSession, folder: str) -> DataFrame:
+    made = ar.walk_forward(split_panel(spark, folder), 3)
+    return forecast_rows(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "linear_next"))
+
+
+# ---- volatility ------------------------------------------------------------------------------------
+
+_RETURNS = """, returns AS (SELECT symbol, date, seq, r0, lag(r0) OVER w AS rb FROM (SELECT symbol, date, seq,
+  100 * (ln(adjclose) - lag(ln(adjclose)) OVER (PARTITION BY symbol ORDER BY date)) AS r0 FROM split_panel) WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+means AS (SELECT *, regr_slope(r0, rb) OVER e AS phi, regr_intercept(r0, rb) OVER e AS c FROM returns
+  WINDOW e AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(
+    "g7_return_mean_forecast",
+    sql.samples() + _RETURNS + f""", scored AS (SELECT s.*, current_close * exp((c + phi * r0) / 100) AS predicted FROM samples s
+    JOIN means m ON m.symbol = s.symbol AND m.date = s.date WHERE split = 'test') SELECT {FORECAST} FROM scored""",
+)
+def g7_return_mean_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    made = volatility.mean_forecast(split_panel(spark, folder))
+    return forecast_rows(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "predicted"))
+
+
+@query("g7_volatility_weighted_forecast")
+def g7_volatility_weighted_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    made = volatility.forecasts(split_panel(spark, folder, "events"))
+    return forecast_rows(attach_forecast(samples(spark, folder, "events").where("split = 'test'"), made, "predicted"))
+
+
+@query("g8_volatility_selection")
+def g8_volatility_selection(spark: SparkSession, folder: str) -> DataFrame:
+    log, _ = volatility.select_spec(split_panel(spark, folder, "events"))
+    return log.select("symbol", "ordinal", "order", rounded("rmse", 4).alias("rmse"), "selected", "best")
+
+
+# ---- windows as features ---------------------------------------------------------------------------
+
+_WIDE = ["close", "feature_price_return_1"]
+_SEQUENCE_WINDOW = 5
+
+
+def _featured_samples(spark: SparkSession, folder: str) -> DataFrame:
+    made = features.price_features(panel(spark, folder)).select("symbol", "seq", "feature_price_return_1")
+    return samples(spark, folder).join(made, ["symbol", "seq"])
+
+
+def _cast(df: DataFrame) -> DataFrame:
+    return forecast_rows(df.withColumn("step", F.col("step").cast("long")))
+
+
+@query("g9_residual_hybrid")
+def g9_residual_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    return _cast(sequence.residual_hybrid(split_panel(spark, folder), ["close", "volume"], _SEQUENCE_WINDOW))
+
+
+@query("g10_window_regression")
+def g10_window_regression(spark: SparkSession, folder: str) -> DataFrame:
+    return _cast(sequence.holdout(_featured_samples(spark, folder), _WIDE, _SEQUENCE_WINDOW))
+
+
+@query("g10_window_regression_pooled")
+def g10_window_regression_pooled(spark: SparkSession, folder: str) -> DataFrame:
+    return _cast(sequence.pooled_holdout(_featured_samples(spark, folder), _WIDE, _SEQUENCE_WINDOW))
+
+
+@query("g13_window_walk_forward")
+def g13_window_walk_forward(spark: SparkSession, folder: str) -> DataFrame:
+    return _cast(sequence.walk_forward(_featured_samples(spark, folder), _WIDE, _SEQUENCE_WINDOW))
+
+
+@query("g13_hybrid_walk_forward")
+def g13_hybrid_walk_forward(spark: SparkSession, folder: str) -> DataFrame:
+    return _cast(sequence.residual_hybrid_walk_forward(split_panel(spark, folder, "events"), ["close"], _SEQUENCE_WINDOW))
+
+
+# ---- grids -----------------------------------------------------------------------------------------
+
+
+def experiment_grid(spark: SparkSession, settings: Settings) -> DataFrame:
+    """Every horizon, window and model of the settings: a table as long as the settings say."""
+    rows = [(h, w, m) for h in settings.prediction_horizons for w in settings.window_sizes for m in settings.selected_models]
+    grid = spark.createDataFrame(rows, "horizon int, window int, model string")
+    return grid.withColumn("experiment_key", experiment_key(F.lit(settings.price_column), F.col("horizon"), F.col("window")))
+
+
+_MODEL_LIST = ", ".join(f"('{m}')" for m in MODELS)
+
+
+@query(
+    "g14_grid_sizes",
+    sql.split_panel() + sql.sample_tables(1, "s1") + sql.sample_tables(5, "s5") + f""", counts AS (SELECT 1 AS horizon, split, count(*) AS rows FROM s1 GROUP BY 2
+      UNION ALL SELECT 5, split, count(*) FROM s5 GROUP BY 2)
+    SELECT horizon, "window", model, 'adjclose_h' || horizon || '_w' || "window" AS experiment_key, split, rows FROM counts,
+      (VALUES (20), (60)) w("window"), (VALUES {_MODEL_LIST}) m(model)""",
+)
+def g14_grid_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    grid = experiment_grid(spark, Settings())
+    counts = None
+    for horizon in Settings().prediction_horizons:
+        one = samples(spark, folder, horizon=horizon).groupBy("split").agg(F.count("*").alias("rows")).withColumn("horizon", F.lit(horizon))
+        counts = one if counts is None else counts.unionByName(one)
+    return grid.join(counts, "horizon").select("horizon", "window", "model", "experiment_key", "split", "rows")
+
+
+@query(
+    "g15_missing_runs",
+    sql.predictions() + f""" SELECT 'adjclose_h' || h || '_w' || w AS experiment_key, m AS model FROM (VALUES (1), (5)) a(h), (VALUES (20), (60)) b(w), (VALUES {_MODEL_LIST}) c(m)
+    WHERE ('adjclose_h' || h || '_w' || w, m) NOT IN (SELECT (experiment_key, model) FROM predictions)""",
+)
+def g15_missing_runs(spark: SparkSession, folder: str) -> DataFrame:
+    keys = ["experiment_key", "model"]
+    return missing_runs(experiment_grid(spark, Settings()).select(*keys), predictions(spark, folder), keys)
+
+
+@query(
+    "g16_experiment_keys",
+    sql.split_panel() + " SELECT symbol, 'adjclose_h' || count(*) || '_w' || min(seq) AS experiment_key FROM split_panel GROUP BY symbol",
+)
+def g16_experiment_keys(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = split_panel(spark, folder).groupBy("symbol").agg(F.count("*").alias("n"), F.min("seq").alias("m"))
+    return sizes.select("symbol", experiment_key(F.lit("adjclose"), F.col("n"), F.col("m")).alias("experiment_key"))
+
+
+# ---- flagship --------------------------------------------------------------------------------------
+
+_METRIC_DIGITS = {"mae": 4, "mse": 0, "rmse": 4}
+
+
+def metric_output(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    return df.select(*keys, *[rounded(m, _METRIC_DIGITS.get(m, 6)).alias(m) if m != "direction_count" else F.col(m) for m in names])
+
+
+def metric_output_sql(names: list[str]) -> str:
+    return ", ".join(f"{RND(m, _METRIC_DIGITS.get(m, 6))} AS {m}" if m != "direction_count" else m for m in names)
+
+
+_FLAGSHIP = ["mae", "rmse", "smape", "da", "direction_count", "up_f1", "down_f1"]
+
+
+@query(
+    "flagship_arima_backtest",
+    sql.predictions("events", (1,)) + ", arima AS (SELECT * FROM predictions WHERE model = 'arima' AND evaluation = 'holdout')"
+    + sql.metric_table("arima", "symbol, model, evaluation") + f" SELECT symbol, {metric_output_sql(_FLAGSHIP)} FROM metrics",
+)
+def flagship_arima_backtest(spark: SparkSession, folder: str) -> DataFrame:
+    """Ticks to bars, row rules, split, first-order fit, frozen one-step forecasts and metrics."""
+    base = split_panel(spark, folder, "events")
+    tests = samples(spark, folder, "events").where("split = 'test'")
+    scored = attach_forecast(tests, arima_forecasts(base, 1), "linear_next")
+    rows = prediction_rows(
+        scored, model="arima", evaluation="holdout", feature_count=1, feature_set="adjclose", horizon=1, window=WINDOW
+    )
+    return metric_output(metrics(rows, ("symbol",)), ["symbol"], _FLAGSHIP)
+
+
+@query("split_boundaries_text", sql.split_panel() + " SELECT CAST(train_end AS VARCHAR) AS train_end, CAST(validation_end AS VARCHAR) AS validation_end FROM ends")
+def split_boundaries_text(spark: SparkSession, folder: str) -> DataFrame:
+    ends = bounds(spark, folder)
+    return panel(spark, folder).limit(1).select(F.lit(ends.train_end).alias("train_end"), F.lit(ends.validation_end).alias("validation_end"))
