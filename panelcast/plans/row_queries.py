@@ -107,14 +107,6 @@ def a6_panel_sink(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path).select("symbol", "date", "close", "volume", "seq")
 
 
-@query("a7_profile_sink")
-def a7_profile_sink(spark: SparkSession, folder: str) -> DataFrame:
-    path = new_path(spark, "profile-sink")
-    catalog = profile.feature_catalog(samples(spark, folder).where("split = 'train'"))
-    sinks.write_profile_json(catalog, path)
-    return spark.read.schema(catalog.schema).json(path)
-
-
 @query(
     "a8_reload_panel",
     sql.panel() + """ SELECT symbol, date, date AS feature_date, lead(date, 5) OVER (PARTITION BY symbol ORDER BY date) AS target_date,
@@ -415,6 +407,14 @@ def d4_d5_feature_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return profile.feature_catalog(profiled_rows(spark, folder))
 
 
+@query("a7_profile_sink", _CATALOG + " SELECT * FROM catalog")
+def a7_profile_sink(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "profile-sink")
+    catalog = profile.feature_catalog(profiled_rows(spark, folder))
+    sinks.write_profile_json(catalog, path)
+    return spark.read.schema(catalog.schema).json(path)
+
+
 @query(
     "d5_configured_technical",
     _CATALOG + """ SELECT DISTINCT symbol, 'provided_technical_indicators' AS feature_group, 100000 AS ordinal, 'half' AS "column" FROM every""",
