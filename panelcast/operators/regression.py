@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from panelcast.operators.ordered import block_of, running_sums
 from panelcast.operators.transforms import clipped, fit_bounds, without_bounds
@@ -26,7 +27,7 @@ def _solve(second: np.ndarray, cross: np.ndarray) -> np.ndarray:
     return np.einsum("bij,bj->bi", inverse, cross / scale) / scale
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def solve_normal(second: pd.Series, cross: pd.Series) -> pd.Series:
     """Coefficients from a flattened p x p matrix and a p vector; null where an entry is missing."""
     out = pd.Series([None] * len(second), dtype=object, index=second.index)

@@ -164,11 +164,11 @@ def _gaps(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "f1_clip_bounds",
-    _BOUNDS + " SELECT symbol, " + sql.rounded_columns([f"{c}__{k}" for c in _FITTED for k in ("lo", "hi")], 4) + " FROM bounds",
+    _BOUNDS + " SELECT symbol, " + sql.rounded_columns([f"{c}__{k}" for c in _FITTED for k in ("lo", "hi")], 7) + " FROM bounds",
 )
 def f1_clip_bounds(spark: SparkSession, folder: str) -> DataFrame:
     made = transforms.fit_bounds(_gaps(spark, folder).where("split = 'train'"), _FITTED)
-    return made.select("symbol", *[rounded(f"{c}__{k}", 4).alias(f"{c}__{k}") for c in _FITTED for k in ("lo", "hi")])
+    return made.select("symbol", *[rounded(f"{c}__{k}", 7).alias(f"{c}__{k}") for c in _FITTED for k in ("lo", "hi")])
 
 
 @query("f2_clipped_rows", _BOUNDS + " SELECT symbol, feature_date, split, " + sql.rounded_columns(_FITTED, 8) + " FROM clipped")
