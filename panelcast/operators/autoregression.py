@@ -28,16 +28,25 @@ def order_name(order: tuple[int, int, int]) -> str:
     return f"({order[0]}, {order[1]}, {order[2]})"
 
 
-def differenced(panel: DataFrame, price: str = "adjclose", deepest: int = DEEPEST, rows: int | None = None) -> DataFrame:
-    """Add d0, d1, ...: the price change of the row and of the rows before it."""
+def differenced(
+    panel: DataFrame, price: str = "adjclose", deepest: int = DEEPEST, rows: int | None = None, horizon: int = 0
+) -> DataFrame:
+    """Add d0, d1, ...: the price change of the row and of the rows before it.
+
+    With a ``horizon`` the same exchange also adds ``target``, the price that many rows ahead inside
+    the same split.
+    """
 
     def compute(frame: DataFrame, w: WindowSpec) -> DataFrame:
         lagged = {f"_p{i}": F.lag(price, i).over(w) for i in range(1, deepest + 2)}
         stepped = frame.withColumns(lagged).withColumn("_p0", F.col(price).cast("double"))
         made = {f"d{i}": F.col(f"_p{i}") - F.col(f"_p{i + 1}") for i in range(deepest + 1)}
+        if horizon:
+            same = F.lead("split", horizon).over(w) == F.col("split")
+            made["target"] = F.when(same, F.lead(price, horizon).over(w))
         return stepped.withColumns(made).drop(*[f"_p{i}" for i in range(deepest + 2)])
 
-    return over_blocks(panel, ["symbol"], compute, back=deepest + 1, rows=rows)
+    return over_blocks(panel, ["symbol"], compute, back=deepest + 1, ahead=horizon, rows=rows)
 
 
 def _sums(x: Sequence[Column], y: Column) -> dict[str, Column]:
@@ -137,14 +146,9 @@ def with_forecast(
 def score_orders(
     lagged: DataFrame, models: DataFrame, split: str, horizon: int = 1, price: str = "adjclose"
 ) -> DataFrame:
-    """Metrics of every candidate on one split; targets stay inside the split."""
+    """Metrics of every candidate on one split of a lagged panel that carries ``target``."""
     errors = "e0" in lagged.columns
-
-    def compute(frame: DataFrame, w: WindowSpec) -> DataFrame:
-        same = F.lead("split", horizon).over(w) == F.col("split")
-        return frame.withColumn("target", F.when(same, F.lead(price, horizon).over(w)))
-
-    ready = over_blocks(lagged, ["symbol"], compute, ahead=horizon).where((F.col("split") == split) & F.col("target").isNotNull())
+    ready = lagged.where((F.col("split") == split) & F.col("target").isNotNull())
     joined = ready.join(models, "symbol")
     now = _regressors(0, F.col("p"), F.col("q"), errors)
     scored = joined.withColumns({"current_close": F.col(price), "predicted": forecast(F.col(price), now, "phi", horizon)})
@@ -165,10 +169,14 @@ def mark_selected(scores: DataFrame) -> DataFrame:
     ).drop("_all", "_best")
 
 
-def lagged_panel(split_panel: DataFrame, orders: Sequence[tuple[int, int, int]] = ORDERS, price: str = "adjclose") -> DataFrame:
-    """Differences and, where an order needs them, residuals of a long autoregression fitted on train."""
-    lagged = written(differenced(split_panel.select("symbol", "date", "seq", "split", price), price), "differences")
-    if any(o[2] for o in orders):
+def lagged_panel(
+    split_panel: DataFrame, orders: Sequence[tuple[int, int, int]] = ORDERS, price: str = "adjclose", horizon: int = 1
+) -> DataFrame:
+    """Differences, targets and, where an order needs them, residuals of a long autoregression of train."""
+    errors = any(o[2] for o in orders)
+    base = split_panel.select("symbol", "date", "seq", "split", price)
+    lagged = written(differenced(base, price, DEEPEST if errors else AR_TERMS, horizon=horizon), "differences")
+    if errors:
         long_model = written(fit_long(lagged.where("split = 'train'")), "long-model")
         lagged = with_residuals(lagged, long_model)
     return lagged
@@ -205,7 +213,7 @@ def holdout(
     price: str = "adjclose",
 ) -> tuple[DataFrame, DataFrame]:
     """(test forecasts, selection log): order by validation error, refit on train and validation."""
-    lagged = lagged_panel(split_panel, orders, price)
+    lagged = lagged_panel(split_panel, orders, price, horizon)
     errors = any(o[2] for o in orders)
     log = written(select_order(lagged, orders, horizon=horizon, price=price), "order-log")
     candidates = orders if DEFAULT_ORDER in orders else (*orders, DEFAULT_ORDER)
@@ -214,18 +222,22 @@ def holdout(
     return with_forecast(lagged, chosen, horizon, price, errors), log
 
 
+def walk_forward_fits(lagged: DataFrame, p: int, rows: int | None = None) -> DataFrame:
+    """Test rows of a lagged panel with ``phi`` fitted on all changes up to and including the row."""
+    usable = lagged.where("d0 is not null")
+    test = usable.where("split = 'test'")
+    fits = expanding_fit(
+        usable.where("split <> 'test'"), test, [f"d{i}" for i in range(1, p + 1)], "d0",
+        delay=0, position="seq", intercept=False, rows=rows,
+    )
+    padded = F.concat("coefficients", F.array_repeat(F.lit(0.0), TERMS - p))
+    return test.join(fits, ["symbol", "seq"]).withColumn("phi", padded).drop("coefficients")
+
+
 def walk_forward(
     split_panel: DataFrame, p: int, horizon: int = 1, price: str = "adjclose", rows: int | None = None
 ) -> DataFrame:
     """Test rows with a forecast refitted on all prices up to and including the row."""
     lagged = written(differenced(split_panel.select("symbol", "date", "seq", "split", price), price, p), "differences")
-    terms = [f"d{i}" for i in range(1, p + 1)]
-    usable = lagged.where("d0 is not null")
-    test = usable.where("split = 'test'")
-    fits = expanding_fit(
-        usable.where("split <> 'test'"), test, terms, "d0", delay=0, position="seq", intercept=False, rows=rows
-    )
-    joined = test.join(fits, ["symbol", "seq"])
-    padded = F.concat("coefficients", F.array_repeat(F.lit(0.0), TERMS - p))
     now = [F.col(f"d{i}") if i < p else F.lit(0.0) for i in range(AR_TERMS)] + [F.lit(0.0)] * MA_TERMS
-    return joined.withColumn("phi", padded).withColumn("linear_next", forecast(F.col(price), now, "phi", horizon))
+    return walk_forward_fits(lagged, p, rows).withColumn("linear_next", forecast(F.col(price), now, "phi", horizon))

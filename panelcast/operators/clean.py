@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import col, finite, number
+from panelcast.sources.shared import written
 
 PRICES = ("open", "high", "low", "close", "adjclose")
 NUMERIC = (*PRICES, "volume", "age", "TARGET", "year", "month", "day", "hour", "minute")
@@ -119,7 +120,7 @@ def enough_history(df: DataFrame, window: int, horizon: int) -> DataFrame:
     long_enough = (
         df.groupBy("symbol").count().where(F.col("count") >= least_history(window, horizon)).select("symbol")
     )
-    return df.join(long_enough, "symbol", "left_semi")
+    return df.join(written(long_enough, "long-enough"), "symbol", "left_semi")
 
 
 def null_non_finite(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.sources.shared import written
+
 METRICS = (
     "mae", "mse", "rmse", "smape", "da", "direction_count", "up_precision", "up_recall", "up_f1",
     "down_precision", "down_recall", "down_f1",
@@ -20,8 +22,15 @@ def experiment_key(price: Column, horizon: Column, window: Column) -> Column:
     return F.format_string("%s_h%d_w%d", price, horizon, window)
 
 
+def test_starts(samples: DataFrame) -> DataFrame:
+    """First test date per symbol; a short written table, so it is broadcast if it is small."""
+    first = samples.where("split = 'test' and step = 1")
+    return written(first.select("symbol", F.col("feature_date").alias("split_start_date")), "starts")
+
+
 def prediction_rows(
     scored: DataFrame,
+    starts: DataFrame,
     *,
     model: str,
     evaluation: str,
@@ -32,8 +41,10 @@ def prediction_rows(
     price: str = "adjclose",
     target: str = "target",
 ) -> DataFrame:
-    """The 19 prediction columns; ``scored`` brings predicted, step and the supervised columns."""
-    starts = scored.groupBy("symbol").agg(F.min("feature_date").alias("split_start_date"))
+    """The 19 prediction columns; ``scored`` brings predicted, step and the supervised columns.
+
+    ``starts`` comes from :func:`test_starts`, so the forecasts are not computed a second time for it.
+    """
     guess, truth, now = F.col("predicted"), F.col(target), F.col("current_close")
     moved = F.signum(truth - now)
     return scored.join(starts, "symbol").select(

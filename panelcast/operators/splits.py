@@ -51,7 +51,7 @@ def date_split(bounds: Boundaries, date: str = "date") -> Column:
 
 def ratio_split(panel: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """Split by row position inside each symbol."""
-    sizes = panel.groupBy("symbol").agg(F.max("seq").alias("_n"))
+    sizes = written(panel.groupBy("symbol").agg(F.max("seq").alias("_n")), "sizes")
     placed = panel.join(sizes, "symbol")
     return placed.withColumn(
         "split",

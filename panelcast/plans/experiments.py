@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import autoregression as ar
 from panelcast.operators import volatility
-from panelcast.operators.evaluate import metrics, prediction_rows
+from panelcast.operators.evaluate import metrics, prediction_rows, test_starts
 from panelcast.operators.regression import linear_holdout, walk_forward_linear
 from panelcast.plans.panels import _once, samples, split_panel
 from panelcast.sources.files import union_frames
@@ -24,28 +24,57 @@ def attach_forecast(tests: DataFrame, forecasted: DataFrame, column: str) -> Dat
 
 def arima_forecasts(base: DataFrame, horizon: int, p: int = 1) -> DataFrame:
     """Frozen parameters: fitted on train and validation, one forecast per row from actuals up to it."""
-    order = (p, 1, 0)
-    lagged = written(ar.differenced(base.select("symbol", "date", "seq", "split", "adjclose"), deepest=ar.AR_TERMS), "differences")
-    model = written(ar.fit_orders(lagged.where("split <> 'test'"), (order,)), "chosen")
+    lagged = ar.lagged_panel(base, ((p, 1, 0),), horizon=horizon)
+    model = written(ar.fit_orders(lagged.where("split <> 'test'"), ((p, 1, 0),)), "chosen")
     return ar.with_forecast(lagged, model, horizon).select("symbol", "seq", "linear_next", "linear_current", "linear_residual")
 
 
+def signals(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """What the univariate models know at each test row, whatever the horizon; written once.
+
+    Frozen and refitted first-order coefficients, and the expanding mean of the returns.
+    """
+
+    def build() -> DataFrame:
+        base = split_panel(spark, folder, source)
+        lagged = ar.lagged_panel(base, ((1, 1, 0),))
+        frozen = written(ar.fit_orders(lagged.where("split <> 'test'"), ((1, 1, 0),)), "chosen")
+        refitted = ar.walk_forward_fits(lagged, 1).select("symbol", "seq", F.col("phi").alias("refit_phi"))
+        means = volatility.expanding_mean(base).where("split = 'test'").select("symbol", "seq", "r0", "c", F.col("phi").alias("mean_phi"))
+        rows = lagged.where("split = 'test'").join(frozen.select("symbol", "phi"), "symbol")
+        return written(rows.join(refitted, ["symbol", "seq"]).join(means, ["symbol", "seq"]), "signals")
+
+    return _once(spark, (folder, source, "predictions", "signals"), build)
+
+
 def _experiment(spark: SparkSession, folder: str, source: str, horizon: int) -> list[DataFrame]:
-    base, rows = split_panel(spark, folder, source), samples(spark, folder, source, horizon)
-    tests = rows.where("split = 'test'")
+    rows = samples(spark, folder, source, horizon)
+    starts = test_starts(rows)
     shape = {"horizon": horizon, "window": WINDOW, "feature_count": 1}
 
     def out(scored: DataFrame, model: str, evaluation: str, feature_set: str) -> DataFrame:
-        return prediction_rows(scored, model=model, evaluation=evaluation, feature_set=feature_set, **shape)
+        return prediction_rows(scored, starts, model=model, evaluation=evaluation, feature_set=feature_set, **shape)
+
+    now = [F.col("d0")] + [F.lit(0.0)] * (ar.TERMS - 1)
+    known = signals(spark, folder, source).select(
+        "symbol", "seq",
+        ar.forecast(F.col("adjclose"), now, "phi", horizon).alias("frozen"),
+        ar.forecast(F.col("adjclose"), now, "refit_phi", horizon).alias("refitted"),
+        volatility.price_forecast("adjclose", "c", "mean_phi", horizon).alias("mean"),
+    )
+    tests = written(rows.where("split = 'test'").join(known, ["symbol", "seq"]), "scored")
+
+    def univariate(column: str, model: str, evaluation: str, feature_set: str) -> DataFrame:
+        return out(tests.withColumn("predicted", F.col(column)), model, evaluation, feature_set)
 
-    means = attach_forecast(tests, volatility.mean_forecast(base, horizon), "predicted")
-    made = [
+    return [
         out(linear_holdout(rows, ["close"]), "linear_regression", "holdout", "close"),
         out(walk_forward_linear(rows, ["close"], horizon, limits=None), "linear_regression", "walk_forward", "close"),
-        out(attach_forecast(tests, arima_forecasts(base, horizon), "linear_next"), "arima", "holdout", "adjclose"),
-        out(attach_forecast(tests, ar.walk_forward(base, 1, horizon), "linear_next"), "arima", "walk_forward", "adjclose"),
+        univariate("frozen", "arima", "holdout", "adjclose"),
+        univariate("refitted", "arima", "walk_forward", "adjclose"),
+        univariate("mean", "garch_return", "holdout", "adjclose_returns"),
+        univariate("mean", "garch_return", "walk_forward", "adjclose_returns"),
     ]
-    return [*made, *[out(means, "garch_return", e, "adjclose_returns") for e in ("holdout", "walk_forward")]]
 
 
 def predictions(spark: SparkSession, folder: str, source: str = "lineitem", horizons: tuple[int, ...] = (1, 5)) -> DataFrame:

@@ -27,9 +27,11 @@ def _once(spark: SparkSession, key: tuple, build: Callable[[], object]):
     return _written[full]
 
 
-def forget() -> None:
-    """Drop the references to written panels, so that the next use prepares them again."""
-    _written.clear()
+def forget(*kinds: str) -> None:
+    """Drop the references to written tables of these kinds (all if none), so that the next use builds them again."""
+    for key in list(_written):
+        if not kinds or any(kind in key for kind in kinds):
+            del _written[key]
 
 
 def prepare(spark: SparkSession, folder: str, source: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_moving_average_orders_match_two_stage_fit(base, prices, order):
 @pytest.mark.parametrize("horizon", [1, 3])
 def test_selection_follows_validation_error(base, prices, horizon):
     orders = ((1, 1, 0), (2, 1, 0), (5, 1, 0))
-    log = ar.select_order(ar.lagged_panel(base, orders), orders, horizon=horizon).collect()
+    log = ar.select_order(ar.lagged_panel(base, orders, horizon=horizon), orders, horizon=horizon).collect()
     for symbol, (price, split) in prices.items():
         d, scores = changes(price), []
         for p, _, _ in orders:
