@@ -325,15 +325,18 @@ def walk_forward_wide(
     known = steps.where("y is not null").select("symbol", "x", "y", (F.col("step") + delay).alias("at"), F.lit(0).alias("kind"))
     asked = steps.select("symbol", "x", F.lit(None).cast("double").alias("y"), F.col("step").alias("at"), F.lit(1).alias("kind"))
     events = known.unionByName(asked).withColumn("_block", block_of(F.col("at"), rows))
-    base = wide_sums(history.select("symbol", "x", "y"), by).withColumn("_block", F.lit(-1).cast("long"))
+    base = written(wide_sums(history.select("symbol", "x", "y"), by), "base-sums")
+    base = base.withColumn("_block", F.lit(-1).cast("long"))
     inside = wide_sums(events.where("kind = 0"), [*by, "_block"])
-    blocks = events.select("symbol", "_block").distinct()
-    entries = inside.unionByName(base)
     # Each block receives the totals of all earlier blocks: running sums over the short block list.
-    spread = entries.unionByName(
-        blocks.join(base.select("symbol", "entry").distinct(), "symbol").withColumn("total", F.lit(0.0)),
-        allowMissingColumns=True,
-    ).groupBy("symbol", "_block", "entry").agg(F.sum("total").alias("total"))
+    # Zero entries stand for blocks that only ask and hold no history of their own.
+    zeros = events.select("symbol", "_block").distinct().join(base.select("symbol", "entry"), "symbol")
+    spread = (
+        inside.unionByName(base)
+        .unionByName(zeros.withColumn("total", F.lit(0.0)), allowMissingColumns=True)
+        .groupBy("symbol", "_block", "entry")
+        .agg(F.sum("total").alias("total"))
+    )
 
     earlier = Window.partitionBy("symbol", "entry").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = spread.withColumn("total", F.sum("total").over(earlier)).where("_block >= 0")

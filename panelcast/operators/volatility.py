@@ -146,9 +146,13 @@ def filtered_variance(shocks: DataFrame, spec: Spec, rows: int | None = None) ->
     return spread.groupBy("symbol", "_block").applyInPandas(run, "symbol string, seq long, candidate int, h double")
 
 
-def weighted_mean(panel: DataFrame, spec: Spec, price: str = "adjclose", rows: int | None = None, filter_rows: int | None = None) -> DataFrame:
+def shock_rows(panel: DataFrame, price: str = "adjclose", rows: int | None = None) -> DataFrame:
+    """Plain mean and squared shocks of every row, written once for all specifications."""
+    return written(_shocks(written(expanding_mean(panel, price, rows), "means"), rows), "shocks")
+
+
+def weighted_mean(shocks: DataFrame, spec: Spec, rows: int | None = None, filter_rows: int | None = None) -> DataFrame:
     """c and phi reweighted by the likeliest variance so far; rows without one keep the plain mean."""
-    shocks = written(_shocks(written(expanding_mean(panel, price, rows), "means"), rows), "shocks")
     variances = filtered_variance(shocks, spec, filter_rows)
     joined = shocks.where("shock2 is not null").select("symbol", "seq", "r0", "r1", "shock2").join(variances, ["symbol", "seq"])
     w = 1 / F.col("h")
@@ -167,17 +171,28 @@ def weighted_mean(panel: DataFrame, spec: Spec, price: str = "adjclose", rows: i
     )
 
 
-def forecasts(panel: DataFrame, spec: Spec = Spec(), horizon: int = 1, price: str = "adjclose", rows: int | None = None, filter_rows: int | None = None) -> DataFrame:
-    return weighted_mean(panel, spec, price, rows, filter_rows).withColumn("predicted", price_forecast(price, "c", "phi", horizon))
+def forecasts(
+    panel: DataFrame,
+    spec: Spec = SPECS[0],
+    horizon: int = 1,
+    price: str = "adjclose",
+    rows: int | None = None,
+    filter_rows: int | None = None,
+    shocks: DataFrame | None = None,
+) -> DataFrame:
+    """Panel rows with ``predicted``; ``shocks`` may bring the rows that do not depend on the specification."""
+    shocks = shock_rows(panel, price, rows) if shocks is None else shocks
+    means = weighted_mean(shocks, spec, rows, filter_rows)
+    return means.withColumn("predicted", price_forecast(price, "c", "phi", horizon))
 
 
 def select_spec(
     split_panel: DataFrame, specs: Sequence[Spec] = SPECS, horizon: int = 1, price: str = "adjclose"
 ) -> tuple[DataFrame, DataFrame]:
     """(log rows per symbol and candidate, forecasts of the chosen one)."""
-    made = None
+    made, shocks = None, shock_rows(split_panel, price)
     for k, spec in enumerate(specs):
-        one = forecasts(split_panel, spec, horizon, price).withColumns({"ordinal": F.lit(k), "order": F.lit(spec.name), "p": F.lit(spec.p), "q": F.lit(spec.q)})
+        one = forecasts(split_panel, spec, horizon, price, shocks=shocks).withColumns({"ordinal": F.lit(k), "order": F.lit(spec.name), "p": F.lit(spec.p), "q": F.lit(spec.q)})
         made = one if made is None else made.unionByName(one)
     made = written(made, "volatility-forecasts")
 
