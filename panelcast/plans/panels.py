@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelcast.operators.clean import fill_optional, keep_valid, trim_symbol
 from panelcast.operators.ordered import number_rows

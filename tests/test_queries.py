@@ -20,6 +20,18 @@ def sql():
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def generated_code(spark):
+    """These checks run on generated code; the small brute-force tests run without it to save time."""
+    settings = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def cell(v):
     if isinstance(v, float):
         return None if math.isnan(v) else v + 0.0

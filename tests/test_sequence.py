@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import make_panel, to_spark
 
@@ -57,10 +58,44 @@ def test_pooled_uses_all_symbols(samples, windows):
     assert made.where("abs(predicted / current_close - 1) > 0.2").count() == 0
 
 
-def test_residual_hybrid_adds_both_stages(base):
-    made = sequence.residual_hybrid(base, ["close"], W).toPandas()
-    assert len(made) and np.isfinite(made["predicted"]).all()
-    assert ((made["predicted"] - made["target"]).abs().mean()) < 5
+def hybrid_table(part):
+    """Linear part, residual and clipped features of one symbol; fitted on train and validation."""
+    price, split = part["adjclose"].to_numpy(), part["split"].to_numpy()
+    d = np.concatenate([[0.0], np.diff(price)])
+    known = np.flatnonzero(split != "test")[2:]
+    phi = (d[known] @ d[known - 1]) / (d[known - 1] @ d[known - 1])
+    linear_next = price + phi * d
+    residual = np.concatenate([[np.nan], price[1:] - linear_next[:-1]])
+    last = [i for i in range(1, len(price) - 1) if split[i] == split[i + 1]]
+    table = pd.DataFrame(
+        {
+            "split": np.where(split[last] == "test", "test", "train"), "residual": residual[last], "close": part["close"].to_numpy()[last],
+            "next": linear_next[last], "y": residual[np.array(last) + 1], "date": part["date"].to_numpy()[last],
+        }
+    )
+    train = table["split"] == "train"
+    for c in ("residual", "close"):
+        table[c] = table[c].clip(table[c][train].quantile(0.01), table[c][train].quantile(0.99))
+    return table
+
+
+def test_residual_hybrid_matches_brute_force(base):
+    made = {(r.symbol, r.feature_date): r.predicted for r in sequence.residual_hybrid(base, ["close"], W).collect()}
+    checked = 0
+    for symbol, part in base.toPandas().sort_values(["symbol", "seq"]).groupby("symbol"):
+        t = hybrid_table(part.reset_index(drop=True))
+        v = t[["residual", "close"]].to_numpy()
+        x = np.array([v[i - W + 1 : i + 1].ravel() for i in range(W - 1, len(v))])
+        rest = t.iloc[W - 1 :].reset_index(drop=True)
+        train = (rest["split"] == "train").to_numpy()
+        for i in np.flatnonzero(~train):
+            want = rest["next"][i] + fit(x[train], rest["y"].to_numpy()[train], x[i])
+            assert made[(symbol, rest["date"][i].to_pydatetime())] == pytest.approx(want, rel=1e-5)
+            checked += 1
+    assert checked == len(made)
+
+
+def test_residual_hybrid_walk_forward_does_not_depend_on_blocks(base):
     walked = sequence.residual_hybrid_walk_forward(base, ["close"], W, rows=4).toPandas()
     again = sequence.residual_hybrid_walk_forward(base, ["close"], W).toPandas()
     both = walked.merge(again, on=["symbol", "step"])
