@@ -22,7 +22,7 @@ def experiment_key(price: Column, horizon: Column, window: Column) -> Column:
     return F.format_string("%s_h%d_w%d", price, horizon, window)
 
 
-def test_starts(samples: DataFrame) -> DataFrame:
+def first_test_dates(samples: DataFrame) -> DataFrame:
     """First test date per symbol; a short written table, so it is broadcast if it is small."""
     first = samples.where("split = 'test' and step = 1")
     return written(first.select("symbol", F.col("feature_date").alias("split_start_date")), "starts")
@@ -43,7 +43,7 @@ def prediction_rows(
 ) -> DataFrame:
     """The 19 prediction columns; ``scored`` brings predicted, step and the supervised columns.
 
-    ``starts`` comes from :func:`test_starts`, so the forecasts are not computed a second time for it.
+    ``starts`` comes from :func:`first_test_dates`, so the forecasts are not computed a second time for it.
     """
     guess, truth, now = F.col("predicted"), F.col(target), F.col("current_close")
     moved = F.signum(truth - now)

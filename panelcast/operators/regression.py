@@ -327,10 +327,11 @@ def walk_forward_wide(
     events = known.unionByName(asked).withColumn("_block", block_of(F.col("at"), rows))
     base = written(wide_sums(history.select("symbol", "x", "y"), by), "base-sums")
     base = base.withColumn("_block", F.lit(-1).cast("long"))
-    inside = wide_sums(events.where("kind = 0"), [*by, "_block"])
+    inside = written(wide_sums(events.where("kind = 0"), [*by, "_block"]), "block-sums")
     # Each block receives the totals of all earlier blocks: running sums over the short block list.
     # Zero entries stand for blocks that only ask and hold no history of their own.
-    zeros = events.select("symbol", "_block").distinct().join(base.select("symbol", "entry"), "symbol")
+    entries = base.select("symbol", "entry").unionByName(inside.select("symbol", "entry")).distinct()
+    zeros = events.select("symbol", "_block").distinct().join(entries, "symbol")
     spread = (
         inside.unionByName(base)
         .unionByName(zeros.withColumn("total", F.lit(0.0)), allowMissingColumns=True)

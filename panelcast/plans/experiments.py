@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import autoregression as ar
 from panelcast.operators import volatility
-from panelcast.operators.evaluate import metrics, prediction_rows, test_starts
+from panelcast.operators.evaluate import metrics, prediction_rows, first_test_dates
 from panelcast.operators.regression import linear_holdout, walk_forward_linear
-from panelcast.plans.panels import _once, samples, split_panel
+from panelcast.plans.panels import WINDOW, _once, samples, split_panel
 from panelcast.sources.files import union_frames
 from panelcast.sources.shared import written
 
 COMPARED = ("linear_regression", "arima", "garch_return")
-WINDOW = 20
 
 
 def attach_forecast(tests: DataFrame, forecasted: DataFrame, column: str) -> DataFrame:
@@ -49,7 +48,7 @@ def signals(spark: SparkSession, folder: str, source: str) -> DataFrame:
 
 def _experiment(spark: SparkSession, folder: str, source: str, horizon: int) -> list[DataFrame]:
     rows = samples(spark, folder, source, horizon)
-    starts = test_starts(rows)
+    starts = first_test_dates(rows)
     shape = {"horizon": horizon, "window": WINDOW, "feature_count": 1}
 
     def out(scored: DataFrame, model: str, evaluation: str, feature_set: str) -> DataFrame:

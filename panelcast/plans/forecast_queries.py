@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.functions.columns import rounded
 from panelcast.operators import autoregression as ar
 from panelcast.operators import features, sequence, splits, transforms, volatility
-from panelcast.operators.evaluate import experiment_key, metrics, prediction_rows, test_starts
+from panelcast.operators.evaluate import experiment_key, metrics, prediction_rows, first_test_dates
 from panelcast.operators.regression import linear_holdout, selection_log, walk_forward_linear, walk_forward_linear_refit
 from panelcast.operators.report import missing_runs
 from panelcast.plans import sql
@@ -561,7 +561,7 @@ def flagship_arima_backtest(spark: SparkSession, folder: str) -> DataFrame:
     tests = samples(spark, folder, "events").where("split = 'test'")
     scored = attach_forecast(tests, arima_forecasts(base, 1), "linear_next")
     rows = prediction_rows(
-        scored, test_starts(tests), model="arima", evaluation="holdout", feature_count=1, feature_set="adjclose", horizon=1, window=WINDOW
+        scored, first_test_dates(tests), model="arima", evaluation="holdout", feature_count=1, feature_set="adjclose", horizon=1, window=WINDOW
     )
     return metric_output(metrics(rows, ("symbol",)), ["symbol"], _FLAGSHIP)
 

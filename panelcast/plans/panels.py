@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.operators.clean import fill_optional, keep_valid, trim_symbol
+from panelcast.operators.clean import enough_history, fill_optional, keep_valid, trim_symbol
 from panelcast.operators.ordered import number_rows
 from panelcast.operators.splits import Boundaries, date_split, split_boundaries, supervised, supervised_positions
 from panelcast.sources.bars import bars_from_events, bars_from_lineitem
@@ -16,6 +16,7 @@ SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "events": bars_from_events,
     "lineitem": bars_from_lineitem,
 }
+WINDOW = 20
 _written: dict[tuple, object] = {}
 
 
@@ -54,10 +55,10 @@ def split_panel(spark: SparkSession, folder: str, source: str = "lineitem") -> D
 
 
 def samples(spark: SparkSession, folder: str, source: str = "lineitem", horizon: int = 1) -> DataFrame:
-    """Supervised rows with their position, written once."""
+    """Supervised rows of the symbols with enough history, with their position; written once."""
 
     def build() -> DataFrame:
-        base = split_panel(spark, folder, source)
+        base = enough_history(split_panel(spark, folder, source), WINDOW, horizon)
         made = supervised_positions(supervised(base, horizon), base, horizon)
         return written(made, f"samples-{source}-{horizon}")
 

@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from panelcast.operators.evaluate import metric_columns, prediction_rows, test_starts
+from panelcast.operators.evaluate import metric_columns, prediction_rows, first_test_dates
 
 
 def scores(spark, actual, predicted, current):
@@ -39,7 +39,7 @@ def test_prediction_rows(spark):
     df = spark.sql("""select 'A' symbol, 1L step, timestamp_ntz'2024-01-01' feature_date, timestamp_ntz'2024-01-02' target_date, 10D current_close, 11D target, 12D predicted
       union all select 'A', 2L, timestamp_ntz'2024-01-02', timestamp_ntz'2024-01-03', 11D, 11D, 12D
       union all select 'A', 3L, timestamp_ntz'2024-01-03', timestamp_ntz'2024-01-04', 11D, 12D, cast(null as double)""")
-    made = prediction_rows(df, test_starts(df.selectExpr("*", "'test' as split")), model="m", evaluation="holdout", feature_count=1, feature_set="f", horizon=1, window=20).orderBy("step")
+    made = prediction_rows(df, first_test_dates(df.selectExpr("*", "'test' as split")), model="m", evaluation="holdout", feature_count=1, feature_set="f", horizon=1, window=20).orderBy("step")
     assert len(made.columns) == 19
     rows = made.collect()
     assert [r.direction_correct for r in rows] == [True, None, None]
