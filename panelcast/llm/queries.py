@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import licenses, line_windows, packing, token_counts
+from panelcast.llm import licenses, line_windows, ngram_join, packing, token_counts
 from panelcast.llm.common import table
 from panelcast.plans.catalogue import Query
 
@@ -27,6 +27,32 @@ def query(name: str, check: str | None = None):
     return register
 
 
+JACCARD_SQL = """
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+runs AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM texts),
+named AS (SELECT doc_id, s, CASE WHEN len(s) > 0 THEN md5(array_to_string(list_sort(s), '|')) END AS digest FROM runs),
+classes AS (SELECT digest, min(doc_id) AS class_id, count(*) AS copies, any_value(s) AS s, any_value(len(s)) AS n FROM named WHERE digest IS NOT NULL GROUP BY digest),
+grams AS (SELECT class_id, copies, n, unnest(s) AS g FROM classes),
+pairs AS (
+  SELECT a.class_id AS a, b.class_id AS b, any_value(b.copies) AS copies FROM grams a JOIN grams b ON a.g = b.g AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*)) - 1e-9),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+links AS (SELECT a, sum(copies) AS links FROM pairs GROUP BY a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, (coalesce(c.copies - 1, 0) + coalesce(l.links, 0))::BIGINT AS n_links,
+  coalesce(least(c.class_id, m.b), c.class_id, d.doc_id) AS group_id
+FROM named d LEFT JOIN classes c USING (digest) LEFT JOIN links l ON l.a = c.class_id LEFT JOIN least m ON m.a = c.class_id"""
+
+
+@query("op1_ngram_jaccard_join", JACCARD_SQL)
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, links and group of every document; five words, similarity 0.8."""
+    joined = ngram_join.jaccard_join(table(spark, folder, "documents"))
+    return joined.per_document().withColumnRenamed("id", "doc_id")
+
+
 @query("op2_licence_scan", licenses.licences_sql())
 def op2_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licences of every document; lists are joined by commas."""
