@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import licenses, line_windows, ngram_join, packing, token_counts
+from panelcast.llm import decontaminate, language, licenses, line_windows, ngram_join, packing, token_counts
 from panelcast.llm.common import table
 from panelcast.plans.catalogue import Query
 
@@ -60,6 +60,21 @@ def op2_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licences", ",").alias("licences"), "n_matches", F.array_join("partial", ",").alias("partial"))
 
 
+@query("op3_benchmark_decontamination")
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from four fifths of the labelled ones."""
+    docs = table(spark, folder, "documents")
+    hidden = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.where(~hidden))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", hidden.alias("held_out"), "_language.*")
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
