@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import batches, components, mix, shingles, signed, word_hashes, written
+from panelcast.llm.buckets import LINKS, LINKS_ARROW, arrays, by_task, groups, likely_tasks, pair_rows, per_record, shared_counts, sides, sized, summary, unowned
+from panelcast.llm.common import batches, mix, shingles, signed, word_hashes, written
 
 _SKETCH = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _FULL = 2.0**64
@@ -108,115 +109,17 @@ def token_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column:
     return texts.mapInArrow(run, "digest binary, tokens array<long>")
 
 
-def _groups(frames: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
-    """Runs of rows that agree in the first ``keys`` columns; rows come sorted by them."""
-    held: list[tuple] = []
-    for frame in frames:
-        columns = [c.to_pylist() if not pa.types.is_list(c.type) else _arrays(c) for c in frame.columns]
-        for row in zip(*columns, strict=True):
-            if held and held[0][:keys] != row[:keys]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
-
-
-def _arrays(column: pa.ListArray) -> list[np.ndarray]:
-    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
-def _sides(blocks: np.ndarray) -> np.ndarray:
-    """Which pairs of rows a task compares: all of one block, or those between its two blocks."""
-    if blocks[0] == blocks[-1] and (blocks == blocks[0]).all():
-        return np.triu(np.ones((len(blocks), len(blocks)), bool), 1)
-    return (blocks[:, None] < blocks[None, :])
-
-
-def _likely(rows: list[tuple], join: Join) -> list[tuple]:
-    """Rows (bucket, bi, bj, block, digest, n, bits) that have a partner of similar size and sketch in their task."""
-    rows = list({r[4]: r for r in rows}.values())
-    if len(rows) <= 6:
-        hits = set()
-        for i, a in enumerate(rows):
-            for j in range(i + 1, len(rows)):
-                b = rows[j]
-                if (a[1] == a[2] or a[3] != b[3]) and min(a[5], b[5]) >= join.threshold * max(a[5], b[5]) and 64 - ((a[6] ^ b[6]) & 0xFFFFFFFFFFFFFFFF).bit_count() >= join.agree:
-                    hits |= {i, j}
-        return [rows[i] for i in sorted(hits)]
-    rows.sort(key=lambda r: r[3])
-    n = np.array([r[5] for r in rows], np.float64)
-    bits = np.array([r[6] for r in rows], np.int64).view(np.uint64)
-    pairs = _sides(np.array([r[3] for r in rows]))
-    pairs &= np.minimum(n[:, None], n[None, :]) >= join.threshold * np.maximum(n[:, None], n[None, :])
-    pairs &= np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 64 - join.agree
-    return [rows[i] for i in np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))]
-
-
-def _shared(sets: list[np.ndarray], step: int = 2048) -> np.ndarray:
-    """Sizes of all pairwise intersections, from the tokens that at least two sets hold."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = count[column] > 1
-    owner, column = owner[keep], column[keep]
-    column = np.unique(column, return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    width = int(column[-1]) + 1 if len(column) else 0
-    for a in range(0, width, step):
-        i, j = np.searchsorted(column, [a, a + step])
-        part = np.zeros((len(sets), min(step, width - a)), np.float32)
-        part[owner[i:j], column[i:j] - a] = 1
-        out += part @ part.T
-    return out
-
-
-def _unowned(bucket: int, buckets: list[np.ndarray]) -> np.ndarray:
-    """Pairs of rows that also meet in a bucket with a smaller number, where they are counted."""
-    lower = [b[b < bucket] for b in buckets]
-    if not any(len(x) for x in lower):
-        return np.zeros((len(buckets), len(buckets)), bool)
-    return _shared(lower) > 0
-
-
 def _linked(rows: list[tuple], join: Join) -> tuple[list[tuple], np.ndarray]:
     """The task's rows (bucket, bi, bj, block, digest, copies, buckets, tokens) once each, and the pairs that it owns and verifies."""
     rows = sorted({r[4]: r for r in rows}.values(), key=lambda r: (r[3], r[4]))
-    pairs = _sides(np.array([r[3] for r in rows])) & ~_unowned(rows[0][0], [r[6] for r in rows])
+    pairs = sides(np.array([r[3] for r in rows])) & ~unowned(rows[0][0], [r[6] for r in rows])
     if pairs.any():
         n = np.array([len(r[7]) for r in rows], np.float64)
-        same = _shared([r[7] for r in rows]).astype(np.float64)
+        same = shared_counts([r[7] for r in rows]).astype(np.float64)
         pairs &= same >= join.threshold * (n[:, None] + n[None, :] - same) - 1e-9
     return rows, pairs
 
 
-def _summary(rows: list[tuple], pairs: np.ndarray) -> Iterator[tuple]:
-    """(digest, peer, links, texts) of each linked row: the smallest row it reaches here, linked documents, linked texts."""
-    both = pairs | pairs.T
-    has = np.flatnonzero(both.any(axis=0))
-    if not len(has):
-        return
-    both = both[np.ix_(has, has)]
-    rank = {d: i for i, d in enumerate(sorted(rows[i][4] for i in has))}
-    label = np.array([rank[rows[i][4]] for i in has])
-    names = sorted(rank, key=rank.get)
-    while True:
-        new = np.minimum(label, np.where(both, label[None, :], len(has)).min(axis=1))
-        if (new == label).all():
-            break
-        label = new
-    links = both @ np.array([rows[i][5] for i in has], np.int64)
-    for i, at in enumerate(has):
-        yield rows[at][4], names[label[i]], int(links[i]), int(both[i].sum())
-
-
-def _pairs(rows: list[tuple], pairs: np.ndarray) -> Iterator[tuple]:
-    for i, j in np.argwhere(pairs):
-        yield min(rows[i][4], rows[j][4]), max(rows[i][4], rows[j][4])
-
-
 @dataclass(frozen=True)
 class Similar:
     """Result of the join: ``documents`` (id, digest), ``classes`` (digest, class_id, copies) and owned tasks of likely pairs."""
@@ -230,18 +133,17 @@ class Similar:
         join = self.join
 
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return batches((out for group in _groups(frames, 3) for out in each(*_linked(group, join))), arrow)
+            return batches((out for group in groups(frames, 3) for out in each(*_linked(group, join))), arrow)
 
         return self.tasks.mapInArrow(run, schema)
 
     def pairs(self) -> DataFrame:
         """(a, b): digests of all pairs of different n-gram sets at or above the threshold, each once."""
-        return self._verified(_pairs, "a binary, b binary", pa.schema([("a", pa.binary()), ("b", pa.binary())]))
+        return self._verified(pair_rows, "a binary, b binary", pa.schema([("a", pa.binary()), ("b", pa.binary())]))
 
     def links(self) -> DataFrame:
         """(digest, peer, links, texts): per task and linked set, a smaller set it reaches and how many documents and sets it links."""
-        arrow = pa.schema([("digest", pa.binary()), ("peer", pa.binary()), ("links", pa.int64()), ("texts", pa.int64())])
-        return self._verified(_summary, "digest binary, peer binary, links long, texts long", arrow)
+        return self._verified(summary, LINKS, LINKS_ARROW)
 
     def per_document(self) -> DataFrame:
         """(id, class_id, n_links, group_id) per input row.
@@ -249,35 +151,7 @@ class Similar:
         ``class_id``: smallest id with the same n-gram set. ``n_links``: other documents at or above the
         threshold, copies included. ``group_id``: smallest id reachable by links. A text without words is alone.
         """
-        links = written(self.links(), "join-links")
-        roots = components(links.select("digest", "peer"), "digest", "peer", "join-groups")
-        total = links.groupBy("digest").agg(F.sum("links").alias("links"))
-        classes = self.classes.join(total, "digest", "left").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        least = classes.where("links is not null").groupBy("root").agg(F.min("class_id").alias("group_id"))
-        classes = classes.join(least, "root", "left").select(
-            "digest", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id")
-        )
-        return self.documents.join(classes, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_id", "id").alias("group_id"))
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    """Buckets of (bucket, digest, n, ..) with two records or more, and a fingerprint of their members."""
-    h = F.xxhash64("digest")
-    members = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 8)).alias("y"))
-    return members.where("size > 1")
-
-
-def _tasks(rows: DataFrame, join: Join) -> DataFrame:
-    """Rows of each bucket dealt to pairs of blocks: a bucket of any size becomes tasks of bounded size."""
-    blocks = F.ceil(F.greatest(F.col("size") / join.leaf, F.col("tokens") / join.leaf_tokens)).cast("int")
-    own = F.pmod(F.xxhash64("digest", F.lit(7)), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "digest", "n", "bits")
-
-
-def _by_task(rows: DataFrame) -> DataFrame:
-    key = ["bucket", "bi", "bj"]
-    return rows.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key)
+        return per_record(self.documents, self.classes, self.links(), "join")
 
 
 def jaccard_join(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id", text_column: str = "text") -> Similar:
@@ -296,8 +170,7 @@ def jaccard_join(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id"
     with_words = found.where("digest is not null")
     classes = with_words.groupBy("digest").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
     steps = with_words.select("digest", "n", "bits", F.explode("paths").alias("bucket")).distinct()
-    sized = _sized(steps)
-    rows = written(steps.join(sized, "bucket"), "join-buckets")
+    rows = written(steps.join(sized(steps), "bucket"), "join-buckets")
     done = [rows.where(F.col("size") <= join.leaf)]
     large = rows.where(F.col("size") > join.leaf)
     if large.limit(1).count():
@@ -305,47 +178,38 @@ def jaccard_join(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id"
         hot = written(token_sets(docs, wanted, id_column, text_column, join).dropDuplicates(["digest"]), "join-hot-sets")
         while large.limit(1).count():
             children = _children(large, hot, join)
-            sized = _sized(children).withColumnRenamed("size", "now")
-            rows = written(children.withColumnRenamed("size", "parent").drop("tokens").join(sized.withColumnRenamed("now", "size"), "bucket"), "join-buckets")
+            rows = written(children.withColumnRenamed("size", "parent").join(sized(children), "bucket"), "join-buckets")
             final = (F.col("size") <= join.leaf) | (F.col("size") * 2 > F.col("parent"))
             done.append(rows.where(final).drop("parent"))
             large = rows.where(~final).drop("parent")
     buckets = done[0]
     for more in done[1:]:
         buckets = buckets.unionByName(more)
-    first = buckets.groupBy("size", "tokens", "x", "y").agg(F.min("bucket").alias("bucket"))
-    buckets = buckets.join(first, ["size", "tokens", "x", "y", "bucket"], "left_semi")
-    kind = "bucket long, bi int, bj int, block int, digest binary"
-    arrow = pa.schema([("bucket", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("block", pa.int32()), ("digest", pa.binary())])
-
-    def likely(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches((r[:5] for group in _groups(frames, 3) for r in _likely(group, join)), arrow)
-
-    tasks = written(_by_task(_tasks(buckets, join)).mapInArrow(likely, kind), "join-likely")
-    met = tasks.groupBy("digest").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+    likely = likely_tasks(buckets, join.agree, join.threshold, join.leaf, join.leaf_tokens, "join-likely")
+    met = likely.groupBy("digest").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
     wanted = met.join(classes, "digest").select("digest", F.col("class_id").alias("id"), "copies", "buckets")
     sets = token_sets(docs, wanted, id_column, text_column, join).join(wanted.select("digest", "copies", "buckets"), "digest")
-    full = tasks.join(sets, "digest").select("bucket", "bi", "bj", "block", "digest", "copies", "buckets", "tokens")
-    return Similar(found.select("id", "digest"), classes, _by_task(full), join)
+    full = likely.join(sets, "digest").select("bucket", "bi", "bj", "block", "digest", "copies", "buckets", "tokens")
+    return Similar(found.select("id", "digest"), classes, by_task(full), join)
 
 
 def _children(large: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The next step: (bucket, digest, n, bits, size of the parent, tokens) of every path that goes on."""
+    """The next step: (bucket, digest, n, bits, size of the parent) of every path that goes on."""
     rate = join.split / join.threshold
     rows = large.select("bucket", "digest", "n", "bits", "size").join(sets, "digest")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = pa.schema([("bucket", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bits", pa.int64()), ("size", pa.int64()), ("tokens", pa.int64())])
+        arrow = pa.schema([("bucket", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bits", pa.int64()), ("size", pa.int64())])
 
         def steps() -> Iterator[tuple]:
             for frame in frames:
                 columns = [c.to_pylist() for c in frame.columns[:5]]
-                for bucket, digest, n, bits, size, tokens in zip(*columns, _arrays(frame.column(5)), strict=True):
+                for bucket, digest, n, bits, size, tokens in zip(*columns, arrays(frame.column(5)), strict=True):
                     path = np.array([bucket], np.int64).view(np.uint64)
                     for child in signed(chosen(tokens.view(np.uint64), path, rate / n)):
-                        yield child, digest, n, bits, size, 0
+                        yield child, digest, n, bits, size
 
         return batches(steps(), arrow)
 
-    out = rows.select("bucket", "digest", "n", "bits", "size", "tokens").mapInArrow(run, "bucket long, digest binary, n int, bits long, size long, tokens long")
+    out = rows.select("bucket", "digest", "n", "bits", "size", "tokens").mapInArrow(run, "bucket long, digest binary, n int, bits long, size long")
     return out.dropDuplicates(["bucket", "digest"])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import decontaminate, language, licenses, line_windows, ngram_join, packing, token_counts
+from panelcast.llm import cap_filters, decontaminate, language, licenses, line_windows, ngram_join, packing, token_counts
 from panelcast.llm.common import table
 from panelcast.plans.catalogue import Query
 
@@ -75,6 +75,28 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", hidden.alias("held_out"), "_language.*")
 
 
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least(vec_id, l.b), vec_id) AS component_id,
+  vec_id = coalesce(least(vec_id, l.b), vec_id) AS kept
+FROM embeddings LEFT JOIN counts c ON c.a = vec_id LEFT JOIN least l ON l.a = vec_id"""
+
+
+@query("op6_embedding_near_dedup", VECTORS_SQL)
+def op6_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, component and choice of every vector; cosine 0.98 within a label."""
+    found = cap_filters.near_vectors(table(spark, folder, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("group_id").alias("component_id"), F.col("id").eqNullSafe(F.col("group_id")).alias("kept"))
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
