@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import cap_filters, decontaminate, language, licenses, line_windows, ngram_join, packing, token_counts
+from panelcast.llm import cap_filters, decontaminate, language, licenses, line_windows, ngram_join, packing, passages, token_counts
 from panelcast.llm.common import table
 from panelcast.plans.catalogue import Query
 
@@ -75,6 +75,14 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", hidden.alias("held_out"), "_language.*")
 
 
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated passages of 50 words or more of every document; spans are written as start-end."""
+    found = passages.repeated_by_document(table(spark, folder, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s.start.cast("string"), s.end.cast("string"))), " ")
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_passages", "n_words", spans.alias("spans"))
+
+
 VECTORS_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
