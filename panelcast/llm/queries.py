@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import cap_filters, decontaminate, language, licenses, line_windows, ngram_join, packing, passages, token_counts
+from panelcast.llm import cap_filters, decontaminate, html_text, language, licenses, line_windows, ngram_join, packing, passages, token_counts
 from panelcast.llm.common import table
 from panelcast.plans.catalogue import Query
 
@@ -137,6 +137,12 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "_lines.n_lines", "_lines.n_removed", "text")
 
 
+@query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_with_vocabulary(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), SEQUENCE)
