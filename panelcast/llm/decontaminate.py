@@ -123,7 +123,6 @@ def windows(texts: DataFrame, id_column: str, text_column: str, rules: Rules, ke
     return texts.select(id_column, text_column).mapInArrow(run, f"id {kind}, key long, at int, slots array<long>")
 
 
-@F.pandas_udf("windows int, slots int, consistent int")
 def _evidence(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Of the hits of an item in a text: distinct item windows, slots, and slots that keep to one value.
 
@@ -166,7 +165,8 @@ def contaminated(docs: DataFrame, items: DataFrame, rules: Rules = Rules(), id_c
     sizes = known.groupBy("id").agg(F.count("*").alias("total")).withColumnRenamed("id", "item")
     hits = found.join(theirs, "key").where(F.size("slots") == F.size("theirs"))
     runs = hits.groupBy("id", "item").agg(F.collect_list(F.struct(F.col("at").alias("here"), "there", F.col("slots").alias("own"), "theirs")).alias("hits"))
-    rated = runs.select("id", "item", _evidence("hits").alias("e")).join(sizes, "item").select(
+    evidence = F.pandas_udf(_evidence, "windows int, slots int, consistent int")
+    rated = runs.select("id", "item", evidence("hits").alias("e")).join(sizes, "item").select(
         F.col("id").alias(id_column),
         F.col("item").alias(item_column),
         F.col("e.windows").cast("long").alias("windows"),
