@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import WORD, Memo
 from panelcast.llm.html_blocks import Block, read_blocks
 
-PATHS, WORDS, NUMBERS = 192, 48, 8
+PATHS, WORDS, NUMBERS = 512, 48, 8
 WIDTH = PATHS + WORDS + NUMBERS
 
 #: Names of page parts, for labels of training pages.
@@ -35,12 +35,12 @@ class Training:
     A page gives at most ``stretch`` neighbouring blocks. Both are bounds of the driver's memory.
     """
 
-    pages: int = 256
-    made: int = 512
+    pages: int = 128
+    made: int = 1408
     stretch: int = 48
     hidden: int = 24
-    epochs: int = 24
-    batch: int = 32
+    epochs: int = 14
+    batch: int = 24
     rate: float = 0.01
     seed: int = 5
 
@@ -214,7 +214,7 @@ def made_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
         return f'<{tag} {key}="{name}{extra}">'
 
     def furniture() -> str:
-        kind = rng.integers(0, 6)
+        kind = rng.choice([0, 1, 1, 2, 3, 4, 5])
         if kind == 0:
             tag = str(rng.choice(["nav", "ul", "div"]))
             start = "<nav>" if tag == "nav" else named(tag, ["menu", "navbar", "breadcrumb", "nav", "toolbar"])
@@ -226,8 +226,11 @@ def made_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
             start = named(str("div"), FURNITURE)
             return start + "".join(f"<p>{put(sentence() + ' ' + sentence(), 0)}</p>" for _ in range(rng.integers(0, 5))) + put(sentence(), 0) + "</div>"
         if kind == 4:
-            start = named(str("section"), ["comments", "comment", "respond", "discussion", "commentlist"])
-            return start + f"<h3>{put(words(1, 4), 0)}</h3>" + "".join(f'<div class="comment"><p>{put(words(1, 3), 0)}</p><p>{put(sentence() + " " + sentence(), 0)}</p></div>' for _ in range(rng.integers(1, 6))) + "</section>"
+            tag = str(rng.choice(["section", "div", "ol"]))
+            start = named(tag, ["comments", "comment", "respond", "discussion", "commentlist"])
+            if rng.random() < 0.4:
+                return start + "".join(f"<p>{put(sentence() + ' ' + sentence(), 0)}</p>" for _ in range(rng.integers(1, 5))) + f"</{tag}>"
+            return start + f"<h3>{put(words(1, 4), 0)}</h3>" + "".join(f'<div class="comment"><p>{put(words(1, 3), 0)}</p><p>{put(sentence() + " " + sentence(), 0)}</p></div>' for _ in range(rng.integers(1, 6))) + f"</{tag}>"
         return f'<div class="{rng.choice(["ad", "ads", "sponsored", "promo", "banner", "cookie-notice", "popup", "share"])}">{put(sentence(), 0)}</div>'
 
     def text() -> str:
@@ -249,7 +252,7 @@ def made_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
         html.append(f"<h1>{put(words(1, 12), 1)}</h1>")
     for _ in range(rng.integers(1, 14)):
         html.append(text())
-        if rng.random() < 0.08:
+        if rng.random() < 0.25:
             html.append(furniture())
     html.append(f"</{tag}>")
     html += [furniture() for _ in range(rng.integers(0, 4))]
