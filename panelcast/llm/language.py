@@ -134,11 +134,19 @@ def fit(rows: DataFrame, settings: Settings = Settings(), id_column: str = "doc_
     df, texts = document_frequencies(rows, "text", settings)
     idf = np.log((1 + texts) / (1 + df)) + 1
     lettered = rows.where(F.col("text").rlike(r"\p{L}"))
-    labels = sorted(r.lang for r in lettered.groupBy("lang").count().collect())
+    sizes = {r.lang: r["count"] for r in lettered.groupBy("lang").count().collect()}
+    labels = sorted(sizes)
     each = max(8, settings.sample // max(1, len(labels)))
+    # about twice the rows wanted pass the hash limit of their label, so that few rows meet in the window
+    limits = [F.lit(x) for lang, n in sizes.items() for x in (lang, -(2**63) + min(2**64 - 1, 2**64 * 2 * each // n))]
+    near = lettered.select("id", "lang").where("id is not null")
+    if limits:
+        near = near.where(F.xxhash64("id") <= F.element_at(F.create_map(*limits), F.col("lang")))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = lettered.select("id", "lang").withColumn("n", order).where(F.col("n") <= each).select("id", "lang").distinct()
-    chosen = lettered.join(picked.where("id is not null"), ["id", "lang"], "left_semi").select("lang", "text")
+    picked = near.withColumn("n", order).where(F.col("n") <= each).select("id", "lang").distinct()
+    if each * len(labels) <= 1 << 16:
+        picked = F.broadcast(picked)
+    chosen = lettered.join(picked, ["id", "lang"], "left_semi").select("lang", "text")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:

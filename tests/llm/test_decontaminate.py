@@ -12,9 +12,10 @@ def run(spark, docs, items, rules=Rules()):
 
 
 def test_templates():
-    words, values = template("Anna has 3 apples and 2.5 kg of pears. Bob gave Anna seven dollars.")
+    words = template("Anna has 3 apples and 2.5 kg of $ pears. Bob gave Anna seven dollars.")
     assert words == ["<name>", "has", "<num>", "apples", "and", "<num>", "<unit>", "of", "pears", "bob", "gave", "<name>", "<num>", "<unit>"]
-    assert values[0] == "anna" and template(None) == ([], []) and template("") == ([], [])
+    assert template(None) == template("") == template(" ... ") == []
+    assert template("SHE paid 5 % or 7$, Of 12,000.50 (zero)") == ["she", "paid", "<num>", "<unit>", "or", "<num>", "<unit>", "<name>", "<num>", "<num>"]
 
 
 def test_exact_and_changed_questions(spark):
