@@ -14,6 +14,7 @@ EVALUATIONS = ("holdout", "walk_forward")
 
 @dataclass(frozen=True)
 class Settings:
+    # The defaults of a run.
     stock_symbols: tuple[str, ...] = ()
     feature_columns: tuple[str, ...] = ()
     feature_set: str = "auto"

@@ -156,14 +156,20 @@ def score_orders(
 
 
 def mark_selected(scores: DataFrame) -> DataFrame:
-    """``selected`` marks running minima in grid order, as the log shows them; ``best`` the final choice."""
+    """``selected`` marks running minima in grid order, as the log shows them; ``best`` the final choice.
+
+    A candidate without an error is never selected and counts as infinitely bad for those after it.
+    """
     best = scores.groupBy("symbol").agg(F.min(F.struct(F.coalesce("rmse", F.lit(float("inf"))), "ordinal")).alias("_best"))
     earlier = scores.select("symbol", F.col("ordinal").alias("_o"), F.col("rmse").alias("_r"))
     grid = earlier.groupBy("symbol").agg(F.collect_list(F.struct("_o", "_r")).alias("_all"))
     joined = scores.join(grid, "symbol").join(best, "symbol")
     return joined.withColumns(
         {
-            "selected": F.forall("_all", lambda c: (c["_o"] >= F.col("ordinal")) | (c["_r"] > F.col("rmse"))),
+            "selected": F.coalesce(
+                F.forall("_all", lambda c: (c["_o"] >= F.col("ordinal")) | (F.coalesce(c["_r"], F.lit(float("inf"))) > F.col("rmse"))) & F.col("rmse").isNotNull(),
+                F.lit(False),
+            ),
             "best": F.col("ordinal") == F.col("_best.ordinal"),
         }
     ).drop("_all", "_best")

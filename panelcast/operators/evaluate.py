@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.sources.shared import written
 
+# Names and order of the metrics and of their keys.
 METRICS = (
     "mae", "mse", "rmse", "smape", "da", "direction_count", "up_precision", "up_recall", "up_f1",
     "down_precision", "down_recall", "down_f1",
@@ -75,17 +76,22 @@ def _share(hits: Column, of: Column) -> Column:
 
 
 def metric_columns(actual: str = "target", predicted: str = "predicted", current: str = "current_close") -> list[Column]:
-    """All metrics as aggregates over one group; direction metrics skip rows that did not move."""
+    """All metrics as aggregates over one group; direction metrics skip rows that did not move.
+
+    Errors are null as soon as one forecast of the group is missing, so a model that leaves out hard rows does
+    not rank above one that answers all; rankings skip such groups.
+    """
     y, g, now = F.col(actual), F.col(predicted), F.col(current)
     error = F.abs(y - g)
     moved, guessed = F.signum(y - now), F.signum(g - now)
     counts = moved != 0
-    mse = F.avg(F.pow(y - g, 2))
+    whole = F.count(g) == F.count("*")
+    mse = F.when(whole, F.avg(F.pow(y - g, 2)))
     made = {
-        "mae": F.avg(error),
+        "mae": F.when(whole, F.avg(error)),
         "mse": mse,
         "rmse": F.sqrt(mse),
-        "smape": F.avg(2 * error / F.greatest(F.abs(y) + F.abs(g), F.lit(SMALLEST_SCALE))),
+        "smape": F.when(whole, F.avg(2 * error / F.greatest(F.abs(y) + F.abs(g), F.lit(SMALLEST_SCALE)))),
         "da": F.avg(F.when(counts, F.coalesce(guessed == moved, F.lit(False)).cast("double"))),
         "direction_count": F.count_if(counts),
     }
@@ -103,6 +109,11 @@ def metrics(predictions: DataFrame, keys: tuple[str, ...] = METRIC_KEYS) -> Data
     return predictions.groupBy(*keys).agg(*metric_columns("actual_close"))
 
 
+def forecast_counts(predictions: DataFrame, keys: tuple[str, ...] = METRIC_KEYS) -> DataFrame:
+    """Rows and rows with a forecast per group; they differ where a feature or a fitted model was missing."""
+    return predictions.groupBy(*keys).agg(F.count("*").alias("row_count"), F.count("predicted").alias("forecast_count"))
+
+
 def sorted_metrics(frame: DataFrame) -> DataFrame:
     """For writing: ordered by evaluation, rmse, mae."""
     return frame.orderBy("evaluation", "rmse", "mae")

@@ -149,10 +149,21 @@ def expanding_fit(
 
     A step row at position k becomes history at position k + ``delay``. Base history is one
     aggregate; step rows add running sums, so the cost is linear in the rows, not in row pairs.
+    With an intercept all columns are first shifted by their means over the history, so that sums of products
+    keep their digits at any level of the values; the shift goes back into the intercept.
     """
+    shifted = [*columns, target] if intercept else []
+    usable = history.dropna(subset=[*columns, target])
+    if shifted:
+        centres = written(usable.groupBy(*by).agg(*[F.avg(c).alias(f"_c_{k}") for k, c in enumerate(shifted)]), "centres")
+
+        def centred(df: DataFrame) -> DataFrame:
+            moved = {c: F.col(c).cast("double") - F.coalesce(f"_c_{k}", F.lit(0.0)) for k, c in enumerate(shifted)}
+            return df.select(*by, *dict.fromkeys([*([position] if position in df.columns else []), *columns, target])).join(centres, list(by), "left").withColumns(moved)
+
+        usable, steps = centred(usable), centred(steps)
     sums = product_sums(columns, target, intercept)
     names = list(sums)
-    usable = history.dropna(subset=[*columns, target])
     base = written(
         usable.groupBy(*by).agg(*[F.sum(c).alias(f"_b_{n}") for n, c in sums.items()]), "base-sums"
     )
@@ -172,6 +183,13 @@ def expanding_fit(
         {n: F.col(n) + F.coalesce(f"_b_{n}", F.lit(0.0)) for n in names}
     )
     fitted = solve_sums(joined, len(columns) + int(intercept))
+    if shifted:
+        w = F.col("coefficients")
+        back = sum((w[k + 1] * F.coalesce(f"_c_{k}", F.lit(0.0)) for k in range(len(columns))), F.lit(0.0))
+        level = w[0] + F.coalesce(f"_c_{len(columns)}", F.lit(0.0)) - back
+        fitted = fitted.join(centres, list(by), "left").withColumn(
+            "coefficients", F.when(w.isNotNull(), F.concat(F.array(level), F.slice(w, 2, len(columns))))
+        )
     return fitted.select(*by, position, "coefficients")
 
 

@@ -12,6 +12,7 @@ from panelcast.operators.quantiles import group_quantiles
 from panelcast.sources.files import union_frames
 from panelcast.sources.shared import written
 
+# Keys of the summary and comparison tables, direction metrics and the models of the short report.
 SUMMARY_KEYS = ("evaluation", "experiment_key", "price_column", "prediction_horizon", "window_size", "model")
 DIRECTION = ("da", "up_precision", "up_recall", "up_f1", "down_precision", "down_recall", "down_f1")
 COMPARISON_KEYS = (
@@ -108,20 +109,23 @@ def comparison(predictions: DataFrame, models: Sequence[str]) -> DataFrame:
     return predictions.groupBy(*COMPARISON_KEYS).agg(*made)
 
 
+EVENT_KEYS = ("experiment_key", "evaluation", "symbol")
+
+
 def extreme_moves(compared: DataFrame, level: float = 0.95) -> DataFrame:
-    """Flag rows whose absolute return reaches the symbol's quantile."""
+    """Flag rows whose absolute return reaches the quantile of their experiment, evaluation and symbol."""
     moved = compared.withColumn(
         "abs_return_1d", F.abs(F.try_divide(F.col("actual_close") - F.col("current_close"), F.col("current_close")))
     )
-    limits = written(group_quantiles(moved, ["symbol"], ["abs_return_1d"], {"q": level}), "limits")
-    return moved.join(limits, "symbol").withColumn(
+    limits = written(group_quantiles(moved, EVENT_KEYS, ["abs_return_1d"], {"q": level}), "limits")
+    return moved.join(limits, list(EVENT_KEYS)).withColumn(
         "is_extreme_volatility", F.coalesce(F.col("abs_return_1d") >= F.col("abs_return_1d__q"), F.lit(False))
     ).drop("abs_return_1d__q")
 
 
 def event_ids(flagged: DataFrame, rows: int | None = None) -> DataFrame:
-    """Consecutive extreme rows of one (evaluation, symbol) share an event id; other rows have none."""
-    by = ["evaluation", "symbol"]
+    """Consecutive extreme rows of one experiment, evaluation and symbol share an event id; other rows have none."""
+    by = list(EVENT_KEYS)
     numbered = written(number_rows(flagged, by, "target_date", out="_seq"), "flagged")
 
     def compute(frame: DataFrame, w) -> DataFrame:
@@ -138,9 +142,10 @@ def leaderboard(tables: Sequence[DataFrame]) -> DataFrame:
     return union_frames(tables).orderBy("experiment_key", "evaluation", "rmse", "mae")
 
 
-def error_grid(metrics: DataFrame, experiments: Sequence[str]) -> DataFrame:
-    """Mean rmse per evaluation and model, one column per experiment."""
-    return metrics.groupBy("evaluation", "model").pivot("experiment_key", list(experiments)).agg(F.avg("rmse"))
+def error_grid(metrics: DataFrame, experiments: Sequence[str] = ()) -> DataFrame:
+    """Mean rmse per evaluation and model, one column per experiment; without a list, for all experiments there are."""
+    names = list(experiments) or sorted(r.experiment_key for r in metrics.select("experiment_key").distinct().collect())
+    return metrics.groupBy("evaluation", "model").pivot("experiment_key", names).agg(F.avg("rmse"))
 
 
 def direction_means(metrics: DataFrame) -> DataFrame:

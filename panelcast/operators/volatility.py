@@ -1,8 +1,8 @@
 """Return forecasts with a first-order autoregressive mean, weighted by a filtered variance.
 
 Everything at a row uses that row and earlier ones, so one pass gives the refit-at-every-step
-forecasts. The variance recursion forgets: its memory decays by the sum of its lag weights per row,
-so a block that starts ``WARM_UP`` rows early ends in the same state as the whole series.
+forecasts. The variance recursion forgets: what a state leaves behind shrinks per row by the largest root
+of the lag weights, so a block that starts ``warm_up`` rows early ends in the same state as the whole series.
 """
 
 from __future__ import annotations
@@ -38,11 +38,19 @@ SPECS = (Spec(1, 1), Spec(1, 2), Spec(2, 1))
 SHOCK_WEIGHTS = (0.05, 0.1, 0.2)
 VARIANCE_WEIGHTS = (0.6, 0.75, 0.9)
 CANDIDATES = tuple((a, b) for a in SHOCK_WEIGHTS for b in VARIANCE_WEIGHTS if a + b < 1)
-WARM_UP = 600
+FORGOTTEN = 1e-18
 FILTER_BLOCK = 8_192
 SMALLEST_VARIANCE = 1e-12
 
 
+def warm_up(spec: Spec, weights: Sequence[tuple[float, float]] = CANDIDATES) -> int:
+    """Rows after which a state has shrunk to ``FORGOTTEN`` under the slowest of the weights."""
+    slowest = max(max(abs(np.roots([1.0, *[-fade / spec.q] * spec.q]))) for _, fade in weights)
+    if slowest >= 1:
+        raise ValueError("variance weights of 1 or more do not forget")
+    return int(np.ceil(np.log(FORGOTTEN) / np.log(slowest))) + spec.p
+
+
 def _line(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column) -> tuple[Column, Column]:
     """Intercept and slope from (weighted) sums; a flat mean where the slope is not defined."""
     spread = n * sxx - sx * sx
@@ -128,7 +136,7 @@ def filtered_variance(shocks: DataFrame, spec: Spec, rows: int | None = None) ->
     """Rows (symbol, seq, candidate, h): variance of every candidate, block by block."""
     rows = rows or FILTER_BLOCK
     spread = shocks.select("symbol", "seq", "shock2", "level2").withColumn("_home", block_of(F.col("seq"), rows)).withColumn(
-        "_block", F.explode(F.sequence(F.col("_home"), block_of(F.col("seq") + WARM_UP, rows)))
+        "_block", F.explode(F.sequence(F.col("_home"), block_of(F.col("seq") + warm_up(spec), rows)))
     )
 
     def run(block: pd.DataFrame) -> pd.DataFrame:

@@ -17,8 +17,8 @@ COMPARED = ("linear_regression", "arima", "garch_return")
 
 
 def attach_forecast(tests: DataFrame, forecasted: DataFrame, column: str) -> DataFrame:
-    """Supervised rows with a forecast made at (symbol, seq)."""
-    return tests.join(forecasted.select("symbol", "seq", F.col(column).alias("predicted")), ["symbol", "seq"])
+    """Supervised rows with a forecast made at (symbol, seq); null where there is none, as for a symbol without a fit."""
+    return tests.join(forecasted.select("symbol", "seq", F.col(column).alias("predicted")), ["symbol", "seq"], "left")
 
 
 def arima_forecasts(base: DataFrame, horizon: int, p: int = 1) -> DataFrame:

@@ -14,7 +14,7 @@ from panelcast.operators.report import missing_runs
 from panelcast.plans import sql
 from panelcast.plans.catalogue import query
 from panelcast.plans.experiments import WINDOW, arima_forecasts, attach_forecast, predictions
-from panelcast.plans.panels import bounds, panel, samples, split_panel
+from panelcast.plans.panels import panel, samples, split_panel
 from panelcast.config import MODELS, Settings
 
 RND = sql.rnd
@@ -410,7 +410,32 @@ def g12_walk_forward_ar1(spark: SparkSession, folder: str) -> DataFrame:
     return forecast_rows(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "linear_next"))
 
 
-@query("g12_walk_forward_ar3")
+_AR3_DIFFS = """, ar3 AS (SELECT *, lag(d, 1) OVER w AS x1, lag(d, 2) OVER w AS x2, lag(d, 3) OVER w AS x3 FROM diffs WINDOW w AS (PARTITION BY symbol ORDER BY date))"""
+_AR3_SUMS = ", ".join(
+    [f"sum(x{i} * x{j}) OVER e AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if j >= i] + [f"sum(x{i} * d) OVER e AS b{i}" for i in (1, 2, 3)]
+)
+
+
+def _determinant(c1: str, c2: str, c3: str) -> str:
+    """Of the 3 x 3 matrix with columns given by letters: ``a1`` is the first column of the sums, ``b`` the right-hand side."""
+
+    def at(c: str, i: int) -> str:
+        return f"b{i}" if c == "b" else f"a{min(i, int(c[1]))}{max(i, int(c[1]))}"
+
+    rows = [[at(c, i) for c in (c1, c2, c3)] for i in (1, 2, 3)]
+    (a, b, c), (d, e, f), (g, h, k) = rows
+    return f"({a} * ({e} * {k} - {f} * {h}) - {b} * ({d} * {k} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+@query(
+    "g12_walk_forward_ar3",
+    sql.samples() + _DIFFS + _AR3_DIFFS + f""", running AS (SELECT symbol, date, d, x1, x2, {_AR3_SUMS} FROM ar3 WHERE x3 IS NOT NULL
+      WINDOW e AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    fitted AS (SELECT symbol, date, d, x1, x2, {_determinant('b', 'a2', 'a3')} / {_determinant('a1', 'a2', 'a3')} AS p1, {_determinant('a1', 'b', 'a3')} / {_determinant('a1', 'a2', 'a3')} AS p2,
+      {_determinant('a1', 'a2', 'b')} / {_determinant('a1', 'a2', 'a3')} AS p3 FROM running),
+    scored AS (SELECT s.*, current_close + p1 * d + p2 * x1 + p3 * x2 AS predicted FROM samples s JOIN fitted r ON r.symbol = s.symbol AND r.date = s.date WHERE split = 'test')
+    SELECT {FORECAST} FROM scored""",
+)
 def g12_walk_forward_ar3(spark: SparkSession, folder: str) -> DataFrame:
     made = ar.walk_forward(split_panel(spark, folder), 3)
     return forecast_rows(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "linear_next"))
@@ -568,5 +593,5 @@ def flagship_arima_backtest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("split_boundaries_text", sql.split_panel() + " SELECT CAST(train_end AS VARCHAR) AS train_end, CAST(validation_end AS VARCHAR) AS validation_end FROM ends")
 def split_boundaries_text(spark: SparkSession, folder: str) -> DataFrame:
-    ends = bounds(spark, folder)
-    return panel(spark, folder).limit(1).select(F.lit(ends.train_end).alias("train_end"), F.lit(ends.validation_end).alias("validation_end"))
+    ends = splits.boundary_dates(panel(spark, folder))
+    return ends.select(F.col("train_end").cast("string").alias("train_end"), F.col("validation_end").cast("string").alias("validation_end"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.functions.columns import rounded
 from panelcast.operators import autoregression as ar
 from panelcast.operators import report
-from panelcast.operators.evaluate import METRIC_KEYS, METRICS, metrics, sorted_metrics, sorted_predictions
+from panelcast.operators.evaluate import METRIC_KEYS, METRICS, forecast_counts, metrics, sorted_metrics, sorted_predictions
 from panelcast.plans import sql
 from panelcast.plans.catalogue import query
 from panelcast.plans.experiments import COMPARED, metric_rows, predictions
@@ -144,11 +144,10 @@ def h15_comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:
-    one = report.comparison(predictions(spark, folder), COMPARED).where("experiment_key = 'adjclose_h1_w20'")
-    return report.extreme_moves(one)
+    return report.extreme_moves(report.comparison(predictions(spark, folder), COMPARED))
 
 
-_EVENT_ID = ["symbol", "evaluation", "feature_date", "target_date", "is_extreme_volatility"]
+_EVENT_ID = ["experiment_key", "symbol", "evaluation", "feature_date", "target_date", "is_extreme_volatility"]
 
 
 @query("h16_extreme_moves", sql.flagged(COMPARED) + f" SELECT {', '.join(_EVENT_ID)}, {RND('abs_return_1d', 6)} AS abs_return_1d FROM flagged")
@@ -156,17 +155,28 @@ def h16_extreme_moves(spark: SparkSession, folder: str) -> DataFrame:
     return _flagged(spark, folder).select(*_EVENT_ID, rounded("abs_return_1d", 6).alias("abs_return_1d"))
 
 
+_RUN = "PARTITION BY experiment_key, evaluation, symbol ORDER BY target_date"
+
+
 @query(
     "h17_event_ids",
     sql.flagged(COMPARED) + f""", started AS (SELECT *, (is_extreme_volatility AND NOT coalesce(lag(is_extreme_volatility) OVER w, false))::INTEGER AS start
-    FROM flagged WINDOW w AS (PARTITION BY evaluation, symbol ORDER BY target_date)),
-    counted AS (SELECT *, sum(start) OVER (PARTITION BY evaluation, symbol ORDER BY target_date ROWS UNBOUNDED PRECEDING) AS event FROM started)
+    FROM flagged WINDOW w AS ({_RUN})),
+    counted AS (SELECT *, sum(start) OVER ({_RUN} ROWS UNBOUNDED PRECEDING) AS event FROM started)
     SELECT {', '.join(_EVENT_ID)}, CASE WHEN is_extreme_volatility THEN printf('%s-%s-EV%03d', symbol, evaluation, event::BIGINT) END AS event_id FROM counted""",
 )
 def h17_event_ids(spark: SparkSession, folder: str) -> DataFrame:
     return report.event_ids(_flagged(spark, folder)).select(*_EVENT_ID, "event_id")
 
 
+@query(
+    "h2_forecast_counts",
+    sql.predictions() + f" SELECT {sql.METRIC_KEYS}, count(*) AS row_count, count(predicted) AS forecast_count FROM predictions GROUP BY ALL",
+)
+def h2_forecast_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return forecast_counts(predictions(spark, folder))
+
+
 @query("h18_leaderboard", sql.metrics() + f" SELECT {sql.METRIC_KEYS}, {metric_output_sql(['rmse', 'mae'])} FROM metrics ORDER BY experiment_key, evaluation, rmse, mae")
 def h18_leaderboard(spark: SparkSession, folder: str) -> DataFrame:
     made = report.leaderboard([metric_rows(spark, folder, horizons=(h,)) for h in (1, 5)])
@@ -187,13 +197,13 @@ def a9_result_sinks(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT experiment_key, model, evaluation, symbol, step, feature_date, NULL, 'late' FROM predictions WHERE prediction_horizon = 5""",
 )
 def a10_h19_combined_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """CSV outputs of two runs with different columns, gathered into one table."""
+    """CSV outputs of two runs with different columns in different order in one tree, gathered into one table."""
     path = new_path(spark, "runs")
     keys = ["experiment_key", "model", "evaluation", "symbol", "step", "feature_date"]
     one, two = (predictions(spark, folder, horizons=(h,)) for h in (1, 5))
     one.select(*keys, "target_date").write.option("header", True).csv(f"{path}/one")
-    two.select(*keys, F.lit("late").alias("note")).write.option("header", True).csv(f"{path}/two")
-    made = files.read_tables(spark, [f"{path}/one", f"{path}/two"], ["feature_date", "target_date"])
+    two.select(F.lit("late").alias("note"), *reversed(keys)).write.option("header", True).csv(f"{path}/two")
+    made = files.read_tables(spark, [path], ["feature_date", "target_date"])
     return made.withColumn("step", F.col("step").cast("int")).select(*keys, "target_date", "note")
 
 
@@ -207,7 +217,7 @@ _EXPERIMENTS = ("adjclose_h1_w20", "adjclose_h5_w20")
     ) + " FROM metrics GROUP BY 1, 2",
 )
 def h20_error_grid(spark: SparkSession, folder: str) -> DataFrame:
-    made = report.error_grid(metric_rows(spark, folder), _EXPERIMENTS)
+    made = report.error_grid(metric_rows(spark, folder))
     return made.select("evaluation", "model", *[rounded(e, 3).alias(e) for e in _EXPERIMENTS])
 
 

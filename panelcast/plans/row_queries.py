@@ -10,7 +10,7 @@ from panelcast.operators import clean, features, profile
 from panelcast.operators.ordered import number_rows
 from panelcast.plans import sql
 from panelcast.plans.catalogue import query
-from panelcast.plans.panels import SOURCES, full_panel, panel, prepare, samples, split_panel
+from panelcast.plans.panels import SOURCES, full_panel, panel, prepare, prepare_dataset, samples, split_panel
 from panelcast.sources import files, sinks
 from panelcast.sources.shared import new_path
 
@@ -67,26 +67,47 @@ def a1_read_bar_files(spark: SparkSession, folder: str) -> DataFrame:
     return clean.clean_panel(raw).select("symbol", "date", *PRICES, "volume")
 
 
+_HEADERS = {
+    "one": {"date": "date", "symbol": "ticker", "open": "open", "high": "high", "low": "low", "close": "close", "adjclose": "Adj Close", "volume": "volume"},
+    "two": {"symbol": "Company", "year": "year", "month": "month", "day": "day", "hour": "hour", "open": "open", "high": "high", "low": "low", "close": "Price", "volume": "Vol"},
+}
+
+
 @query(
     "a2_a3_inferred_headers",
-    """SELECT * FROM (VALUES ('adjclose', 1::BIGINT), ('close', 2), ('date', 1), ('day', 1), ('high', 2), ('hour', 1), ('low', 2),
-    ('month', 1), ('open', 2), ('symbol', 2), ('volume', 2), ('year', 1)) v(logical, headers)
-    WHERE (SELECT count(DISTINCT CASE WHEN event_type < 'f' THEN 0 ELSE 1 END) FROM events) = 2""",
+    "WITH bars AS (" + sql.BARS["events"] + "), groups AS (SELECT DISTINCT symbol, CASE WHEN symbol < 'f' THEN 'one' ELSE 'two' END AS kind FROM bars) SELECT symbol AS file, logical, physical FROM groups JOIN (VALUES "
+    + ", ".join(f"('{k}', '{logical}', '{physical}')" for k, m in _HEADERS.items() for logical, physical in m.items())
+    + ") m(kind, logical, physical) USING (kind)",
 )
 def a2_a3_inferred_headers(spark: SparkSession, folder: str) -> DataFrame:
-    raw, maps = files.read_bar_files(spark, _bar_files(spark, folder))
-    pairs = [(logical,) for m in maps for logical, physical in m.columns.items() if physical]
-    return spark.createDataFrame(pairs, "logical string").groupBy("logical").agg(F.count("*").alias("headers"))
+    """One row per file and logical column, for files of two layouts in one tree, one file per symbol."""
+    path = new_path(spark, "bar-trees")
+    bars = SOURCES["events"](spark, folder).withColumn("file", F.col("symbol"))
+    few = bars.where("symbol < 'f'").withColumnRenamed("symbol", "ticker").withColumnRenamed("adjclose", "Adj Close")
+    few.repartition("file").write.partitionBy("file").option("header", True).csv(f"{path}/deep/one")
+    rest = bars.where("symbol >= 'f'").select(
+        "file", F.col("symbol").alias("Company"), F.year("date").alias("year"), F.month("date").alias("month"),
+        F.dayofmonth("date").alias("day"), F.hour("date").alias("hour"), "open", "high", "low",
+        F.col("close").alias("Price"), F.col("volume").alias("Vol"),
+    )
+    rest.repartition("file").write.partitionBy("file").option("header", True).csv(f"{path}/two")
+    found = files.inferred_headers(spark, path)
+    return found.select(F.regexp_extract("path", "file=([^/]+)/", 1).alias("file"), "logical", "physical")
 
 
 @query(
     "a4_symbol_from_file",
-    "SELECT event_id, upper(event_type || '.v1') AS symbol FROM events",
+    "SELECT upper(event_type || ' x') AS symbol, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1",
 )
 def a4_symbol_from_file(spark: SparkSession, folder: str) -> DataFrame:
-    events = spark.read.parquet(f"{folder}/events.parquet")
-    path = F.concat(F.lit("/data/in/"), "event_type", F.lit(".v1.csv"))
-    return events.select("event_id", files.symbol_from_file(path).alias("symbol"))
+    """Rows of real files without a symbol column, whose names hold a blank; the symbol comes from the name."""
+    path = new_path(spark, "named-files")
+    events = spark.read.parquet(f"{folder}/events.parquet").select("event_id", F.concat("event_type", F.lit(" x")).alias("name"))
+    events.repartition("name").write.partitionBy("name").parquet(path)
+    raw = spark.read.parquet(path).select("event_id", files.plain_path(F.col("_metadata.file_path")).alias("path"))
+    file = F.concat(F.regexp_extract("path", "name=([^/]+)/", 1), F.lit(".csv"))
+    named = raw.select("event_id", files.symbol_from_file(F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))).alias("symbol"))
+    return named.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query(
@@ -447,19 +468,42 @@ def d7_columns_of_group(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "d8_residual_model_columns",
-    _CATALOG + """, shared AS (SELECT feature_group, "column", min(ordinal) AS k FROM catalog GROUP BY 1, 2
-      HAVING count(*) = (SELECT count(DISTINCT symbol) FROM catalog)),
-    chosen AS (SELECT -1 AS g, 0 AS k, 'linear_residual' AS "column" UNION ALL SELECT CASE feature_group WHEN 'raw_price_volume' THEN 0
-      WHEN 'price_returns_volatility' THEN 1 ELSE 2 END, k, "column" FROM shared WHERE feature_group IN
-      ('raw_price_volume', 'price_returns_volatility', 'provided_technical_indicators') AND "column" <> 'half')
-    SELECT (row_number() OVER (ORDER BY g, k) - 1)::BIGINT AS ordinal, "column" FROM chosen""",
+    _CATALOG + """, listed AS (SELECT symbol, "column", min((CASE feature_group WHEN 'raw_price_volume' THEN 1 WHEN 'price_returns_volatility' THEN 2 ELSE 3 END) * 1000000 + ordinal) AS k
+      FROM catalog WHERE feature_group IN ('raw_price_volume', 'price_returns_volatility', 'provided_technical_indicators') AND "column" <> 'half' GROUP BY 1, 2),
+    chosen AS (SELECT DISTINCT symbol, 'linear_residual' AS "column", 0 AS k FROM catalog UNION ALL SELECT symbol, "column", k FROM listed)
+    SELECT symbol, (row_number() OVER (PARTITION BY symbol ORDER BY k) - 1)::INTEGER AS ordinal, "column" FROM chosen""",
 )
 def d8_residual_model_columns(spark: SparkSession, folder: str) -> DataFrame:
-    catalog = profile.feature_catalog(profiled_rows(spark, folder))
-    names = ("raw_price_volume", "price_returns_volatility", "provided_technical_indicators")
-    groups = {g: profile.shared_columns(profile.columns_of_group(catalog, g)) for g in names}
-    picked = profile.residual_model_columns(groups, "linear_residual", ["half"])
-    return spark.createDataFrame(list(enumerate(picked)), "ordinal long, column string")
+    return profile.residual_model_columns(profile.feature_catalog(profiled_rows(spark, folder)), "linear_residual", ["half"])
+
+
+_DATED = {
+    "year": "year", "month": "month", "day": "day", "hour": "hour", "minute": "minute", "feature_year": "year", "feature_month": "month", "feature_day": "day",
+}
+_PREPARED = [
+    "date", "feature_date", "target_date", "symbol", "market", "age", "year", "month", "day", "hour", "minute", "open", "high", "low", "close", "adjclose", "volume",
+    "TARGET", "target_next_close", "target_next_adjclose",
+    "feature_year", "feature_month", "feature_day", "feature_day_of_week", "feature_is_month_start", "feature_is_month_end", "feature_hour", "feature_minute",
+    *features.FEATURES,
+]
+_MEASURED = [*PRICES, "volume", "target_next_close", "target_next_adjclose", *features.FEATURES]
+
+
+@query(
+    "prepared_dataset_from_files",
+    sql.panel("events") + sql.feature_table() + f""", led AS (SELECT *, date AS feature_date, lead(date) OVER n AS target_date, lead(close) OVER n AS target_next_close,
+      lead(adjclose) OVER n AS target_next_adjclose FROM featured WINDOW n AS (PARTITION BY symbol ORDER BY date))
+    SELECT date, feature_date, target_date, symbol, NULL::VARCHAR AS market, NULL::DOUBLE AS age, NULL::DOUBLE AS "TARGET",
+      {', '.join(f'{part}(date)::INTEGER AS {name}' for name, part in _DATED.items())}, hour(date)::INTEGER AS feature_hour, minute(date)::INTEGER AS feature_minute,
+      (isodow(date) - 1)::INTEGER AS feature_day_of_week, (day(date) = 1)::INTEGER AS feature_is_month_start,
+      (date::DATE = last_day(date))::INTEGER AS feature_is_month_end, {', '.join(f"{RND(c, 6)} AS {c}" for c in _MEASURED)} FROM led""",
+)
+def prepared_dataset_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Bar files of two layouts to the prepared panel, written and loaded again, in canonical column order."""
+    path = new_path(spark, "prepared")
+    prepare_dataset(spark, _bar_files(spark, folder), path)
+    made = files.read_panel(spark, f"{path}/panel")
+    return made.select(*_PREPARED).withColumns({c: rounded(c, 6) for c in _MEASURED})
 
 
 @query(

@@ -109,11 +109,12 @@ def feature_table(base: str = "panel", volume: str = "volume", name: str = "feat
     w5 AS (PARTITION BY symbol ORDER BY date ROWS 4 PRECEDING), w10 AS (PARTITION BY symbol ORDER BY date ROWS 9 PRECEDING))"""
 
 
+_WHOLE = "CASE WHEN count(predicted) = count(*) THEN {} END"
 METRICS = {
-    "mae": "avg(abs(actual_close - predicted))",
-    "mse": "avg((actual_close - predicted) ** 2)",
-    "rmse": "sqrt(avg((actual_close - predicted) ** 2))",
-    "smape": "avg(2 * abs(actual_close - predicted) / greatest(abs(actual_close) + abs(predicted), 1e-8))",
+    "mae": _WHOLE.format("avg(abs(actual_close - predicted))"),
+    "mse": _WHOLE.format("avg((actual_close - predicted) ** 2)"),
+    "rmse": _WHOLE.format("sqrt(avg((actual_close - predicted) ** 2))"),
+    "smape": _WHOLE.format("avg(2 * abs(actual_close - predicted) / greatest(abs(actual_close) + abs(predicted), 1e-8))"),
     "da": "avg(CASE WHEN moved <> 0 THEN CASE WHEN guessed = moved THEN 1.0 ELSE 0.0 END END)",
     "direction_count": "count(*) FILTER (WHERE moved <> 0)",
     "up_precision": "count(*) FILTER (WHERE moved = 1 AND guessed = 1) / nullif(count(*) FILTER (WHERE moved <> 0 AND guessed = 1), 0)",
@@ -131,6 +132,7 @@ def metric_table(source: str, keys: str, name: str = "metrics") -> str:
 {name} AS (SELECT *, {f1} FROM {name}_base)"""
 
 
+# The columns of a prediction table, in order.
 PREDICTION_COLUMNS = (
     "feature_date", "target_date", "symbol", "date", "current_close", "actual_close", "predicted", "abs_error",
     "direction_correct", "model", "evaluation", "step", "split_start_date", "feature_count", "feature_set",
@@ -221,6 +223,6 @@ def compared(models: tuple[str, ...], source: str = "lineitem") -> str:
 
 def flagged(models: tuple[str, ...], source: str = "lineitem", level: float = 0.95) -> str:
     return compared(models, source) + f""", one AS (SELECT *, abs((actual_close - current_close) / nullif(current_close, 0)) AS abs_return_1d
-  FROM compared WHERE experiment_key = 'adjclose_h1_w20'),
-limits AS (SELECT symbol, quantile_cont(abs_return_1d, {level}) AS q FROM one GROUP BY 1),
-flagged AS (SELECT one.*, coalesce(abs_return_1d >= q, false) AS is_extreme_volatility FROM one JOIN limits USING (symbol))"""
+  FROM compared),
+limits AS (SELECT experiment_key, evaluation, symbol, quantile_cont(abs_return_1d, {level}) AS q FROM one GROUP BY 1, 2, 3),
+flagged AS (SELECT one.*, coalesce(abs_return_1d >= q, false) AS is_extreme_volatility FROM one JOIN limits USING (experiment_key, evaluation, symbol))"""

@@ -40,7 +40,7 @@ def bars_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
         sales,
         F.col("p_brand"),
         F.col("l_shipdate"),
-        F.col("l_extendedprice") / F.col("l_quantity"),
+        F.try_divide("l_extendedprice", "l_quantity"),
         F.sum("l_quantity"),
         ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
     )

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import csv
-from collections import defaultdict
-from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass
 from functools import reduce
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,33 +92,46 @@ def union_frames(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(folder)
-        .select("path")
-    )
-    return sorted(r.path for r in listed.toLocalIterator())
+def plain_path(path: Column) -> Column:
+    """A file path as text: ``_metadata.file_path`` is an encoded address in which a blank is %20."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def file_headers(spark: SparkSession, folders: Sequence[str], pattern: str = "*.csv") -> DataFrame:
+    """(path, header): the names in the first line of every file that has one, read by the executors."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(list(folders))
+    at_start = lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+        F.regexp_replace("value", "^\ufeff", "").alias("line"),
+    ).where("start = 0")
+    first = at_start.groupBy("path").agg(F.min(F.struct("row", "line")).alias("first"))
+
+    def names(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lines in parts:
+            yield pd.Series([[name.strip() for name in next(csv.reader([line]), [])] for line in lines], dtype=object)
+
+    return first.select("path", F.pandas_udf(names, "array<string>")("first.line").alias("header"))
 
 
-def _header_lines(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, ...]]:
-    """Header of each file; driver threads open the files and read one line, so no job runs per file."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def _files_by_header(spark: SparkSession, folders: Sequence[str], pattern: str) -> list[tuple[tuple[str, ...], list[str]]]:
+    """Distinct headers, each with its files; like Spark's own listing of files, but no file is opened here."""
+    found = file_headers(spark, folders, pattern).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [(tuple(r.header), [unquote(p) for p in r.paths]) for r in sorted(found.collect(), key=lambda r: r.paths[0])]
 
-    def one(path: str) -> tuple[str, ...]:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        stream = place.getFileSystem(conf).open(place)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        try:
-            line = reader.readLine() or ""
-        finally:
-            reader.close()
-        return tuple(name.strip() for name in next(csv.reader([line.lstrip("\ufeff")]), []))
 
-    with ThreadPoolExecutor(32) as pool:
-        return list(pool.map(one, paths))
+def _read_group(spark: SparkSession, header: Sequence[str], paths: list[str]) -> DataFrame:
+    """Files of one header as strings with ``ingest_seq``, the place of each row in the input."""
+    names = [n if n and n not in header[:i] else f"_column{i}" for i, n in enumerate(header)]
+    schema = ", ".join(f"`{c}` string" for c in names)
+    raw = spark.read.schema(schema).option("header", True).csv(paths)
+    place = F.struct(
+        plain_path(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return raw.select("*", place.alias("ingest_seq"))
 
 
 def read_bar_files(spark: SparkSession, folder: str) -> tuple[DataFrame, list[HeaderMap]]:
@@ -127,33 +140,52 @@ def read_bar_files(spark: SparkSession, folder: str) -> tuple[DataFrame, list[He
     Files are grouped by header, so the plan has one scan per distinct header. ``ingest_seq`` orders
     rows by path and then by position in the file, however the files were split into tasks.
     """
-    paths = list_files(spark, folder)
-    if not paths:
+    by_header = _files_by_header(spark, [folder], "*.csv")
+    if not by_header:
         raise FileNotFoundError(f"no CSV files under {folder}")
-    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path, header in zip(paths, _header_lines(spark, paths), strict=True):
-        by_header[header].append(path)
-    maps = [infer_header(header) for header in by_header]
-    frames = []
-    for header in maps:
-        schema = ", ".join(f"`{c}` string" for c in header.header)
-        raw = spark.read.schema(schema).option("header", True).csv(by_header[header.header])
-        place = F.struct(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("row"),
-        )
-        raw = raw.select("*", place.alias("ingest_seq"))
-        frames.append(standardize(raw, header, F.col("ingest_seq.path")))
+    maps = [infer_header(header) for header, _ in by_header]
+    frames = [standardize(_read_group(spark, header, paths), m, F.col("ingest_seq.path")) for (header, paths), m in zip(by_header, maps, strict=True)]
     return union_frames(frames), maps
 
 
-def read_tables(spark: SparkSession, paths: Sequence[str], dates: Sequence[str]) -> DataFrame:
-    """Gather per-run CSV outputs into one table; dates are parsed only where the columns are present."""
-    frames = []
-    for path in paths:
-        frame = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
-        frames.append(
-            frame.withColumns({d: F.col(d).try_cast("timestamp_ntz") for d in dates if d in frame.columns})
-        )
-    return union_frames(frames)
+def inferred_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, logical, physical): the column behind every logical column that a file has, one row each."""
+    headers = file_headers(spark, [folder])
+    plain = F.transform("header", lambda h: F.replace(F.lower(h), F.lit("-"), F.lit("_")))
+    last = lambda alias: F.size("header") - F.array_position(F.reverse(plain), F.lit(alias))
+    wanted = []
+    for logical, aliases in ALIASES.items():
+        names = [plain_name(a) for a in aliases]
+        at = F.coalesce(*[F.when(F.array_contains(plain, F.lit(a)), last(a)) for a in names])
+        wanted.append(F.struct(F.lit(logical).alias("logical"), F.get("header", at.cast("int")).alias("physical")))
+    return headers.select(plain_path(F.col("path")).alias("path"), F.explode(F.array(*wanted)).alias("m")).select("path", "m.*").where("physical is not null")
+
+
+def read_tables(spark: SparkSession, paths: Sequence[str], dates: Sequence[str], pattern: str = "*.csv") -> DataFrame:
+    """Gather per-run CSV outputs into one table of strings by column name; files with differing headers may share a tree.
+
+    Dates are parsed where the columns are present. ``pattern`` keeps other files, such as an earlier combined
+    table, out of the result.
+    """
+    frames = [_read_group(spark, header, files).drop("ingest_seq") for header, files in _files_by_header(spark, paths, pattern)]
+    if not frames:
+        raise FileNotFoundError(f"no files {pattern} under {list(paths)}")
+    made = union_frames(frames)
+    return made.withColumns({d: F.col(d).try_cast("timestamp_ntz") for d in dates if d in made.columns})
+
+
+def read_panel(spark: SparkSession, path: str, horizon: int = 1) -> DataFrame:
+    """A prepared panel from Parquet, or from CSV with its dates parsed; target columns are made where it has none."""
+    from panelcast.operators.features import forward_targets
+    from panelcast.operators.ordered import number_rows
+
+    dates = ("date", "feature_date", "target_date")
+    panel = read_tables(spark, [path], dates) if path.rstrip("/").endswith((".csv", "csv")) else spark.read.parquet(path)
+    panel = panel.withColumns({d: F.col(d).try_cast("timestamp_ntz") for d in dates if d in panel.columns})
+    numbers = {c: F.col(c).try_cast("double") for c, t in panel.dtypes if t == "string" and c in ("open", "high", "low", "close", "adjclose", "volume", "age", "TARGET", "target_next_close", "target_next_adjclose") or (t == "string" and c.startswith("feature_") and c != "feature_date")}
+    panel = panel.withColumns(numbers)
+    if "seq" not in panel.columns or numbers:
+        panel = number_rows(panel.drop("seq"), ["symbol"])
+    if {"feature_date", "target_date"} <= set(panel.columns):
+        return panel
+    return forward_targets(panel.drop("feature_date", "target_date", "target_next_close", "target_next_adjclose"), horizon)

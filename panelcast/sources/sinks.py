@@ -24,8 +24,11 @@ def write_profile_json(profile: DataFrame, path: str) -> None:
 
 
 def write_results(df: DataFrame, path: str) -> None:
-    """Predictions, metrics or logs; one folder per experiment and model."""
-    df.write.mode("append").partitionBy("experiment_key", "model").parquet(path)
+    """Predictions, metrics or logs; one folder per experiment and model.
+
+    The folders that ``df`` has rows for are replaced, so a rerun doubles nothing; others stay.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("experiment_key", "model").parquet(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -114,3 +114,19 @@ def test_wide_fit_and_walk_forward(samples, table):
 def test_selection_log(samples):
     made = reg.selection_log(samples, ["close"]).collect()
     assert {r.symbol for r in made} == set(SIZES) and all(r.rmse > 0 and r.phase == "selection" for r in made)
+
+
+@pytest.mark.parametrize("level", [1e3, 1e5, 1e7])
+def test_walk_forward_keeps_its_digits_at_any_level(spark, level):
+    rng = np.random.default_rng(4)
+    n = 300
+    x = np.cumsum(rng.normal(0, 1, n))
+    y = 2 * x + rng.normal(0, 0.1, n)
+    rows = [("A", "train" if i < 200 else "test", i - 199 if i >= 200 else i + 1, float(level + x[i]), float(level + y[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, split string, step long, x double, target double")
+    df = df.withColumns({"feature_date": F.lit(None).cast("timestamp_ntz"), "target_date": F.lit(None).cast("timestamp_ntz"), "current_close": F.col("x")})
+    made = {r.step: r.predicted for r in reg.walk_forward_linear(df, ["x"], limits=None).collect()}
+    for step in (1, 50, 100):
+        past = slice(0, 199 + step)
+        slope, flat = np.polyfit(x[past], y[past], 1)
+        assert made[step] - level == pytest.approx(flat + slope * x[199 + step], abs=1e-6 * max(1.0, level / 1e5))

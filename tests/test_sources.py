@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.operators.clean import clean_panel
-from panelcast.sources.files import find_column, infer_header, read_bar_files, read_tables, symbol_from_file
+from panelcast.sources.files import find_column, infer_header, inferred_headers, read_bar_files, read_panel, read_tables, symbol_from_file
 from panelcast.sources.sinks import read_results, write_results
 
 BARS = "date,ticker,open,high,low,close,adjclose,volume,RSIadjclose15,TARGET\n" + "".join(
@@ -69,3 +69,45 @@ def test_results_round_trip_and_ragged_tables(spark, tmp_path):
     made = read_tables(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], ["date"])
     assert dict(made.dtypes)["date"] == "timestamp_ntz"
     assert made.where("date is null and y = '3'").count() == 1
+
+
+def test_files_with_differing_headers_in_one_tree(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a b.csv").write_text("model,rmse,symbol\narima,1.5,AAA\n")
+    (tmp_path / "two.csv").write_text("symbol,model,epoch,rmse\nBBB,lin,3,2.5\n")
+    (tmp_path / "combined.txt").write_text("symbol\nZZZ\n")
+    (tmp_path / "empty.csv").write_text("")
+    made = {tuple(r) for r in read_tables(spark, [str(tmp_path)], []).select("symbol", "model", "rmse", "epoch").collect()}
+    assert made == {("AAA", "arima", "1.5", None), ("BBB", "lin", "2.5", "3")}
+
+
+def test_symbol_from_a_file_name_with_blanks(spark, tmp_path):
+    for name in ("brk b.csv", "x+y.csv"):
+        (tmp_path / name).write_text("date,open,high,low,close,volume\n2024-01-01,1,1,1,1,1\n")
+    raw, _ = read_bar_files(spark, str(tmp_path))
+    assert sorted(r.symbol for r in raw.select("symbol").collect()) == ["BRK B", "X+Y"]
+
+
+def test_headers_per_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"Ticker","Open-Price",Open_Price,date\n')
+    made = {(r.logical, r.physical) for r in inferred_headers(spark, str(tmp_path)).collect()}
+    assert made == {("symbol", "Ticker"), ("open", "Open_Price"), ("date", "date")}
+
+
+def test_a_rerun_replaces_its_results(spark, tmp_path):
+    df = spark.createDataFrame([("k1", "m", 1.0), ("k2", "m", 2.0)], "experiment_key string, model string, rmse double")
+    for _ in range(2):
+        write_results(df.where("experiment_key = 'k1'"), str(tmp_path / "out"))
+        write_results(df.where("experiment_key = 'k2'"), str(tmp_path / "out"))
+    assert read_results(spark, str(tmp_path / "out")).count() == 2
+
+
+def test_reloaded_panel(spark, tmp_path):
+    rows = [("A", f"2024-01-0{i}", str(i), str(i + 1)) for i in range(1, 5)]
+    df = spark.createDataFrame(rows, "symbol string, date string, close string, adjclose string")
+    df.write.option("header", True).csv(str(tmp_path / "panel.csv"))
+    made = read_panel(spark, str(tmp_path / "panel.csv")).orderBy("date").collect()
+    assert [(str(r.target_date)[:10], r.target_next_close, r.seq) for r in made[:3]] == [(f"2024-01-0{i}", float(i), i - 1) for i in (2, 3, 4)]
+    done = spark.createDataFrame([("A", "2024-01-01", "2024-01-01", "2024-01-09", 1)], "symbol string, date string, feature_date string, target_date string, seq long")
+    done.write.parquet(str(tmp_path / "done"))
+    assert str(read_panel(spark, str(tmp_path / "done")).first().target_date)[:10] == "2024-01-09"

@@ -75,3 +75,10 @@ def test_selection_takes_the_smallest_validation_error(base):
         assert len(mine) == len(vol.SPECS) and [r.ordinal for r in mine if r.best] == [min(mine, key=lambda r: (r.rmse, r.ordinal)).ordinal]
     assert chosen.where("split <> 'test'").count() == 0 and chosen.count() > 0
     assert chosen.where("target_date <= feature_date").count() == 0
+
+
+def test_warm_up_follows_the_weights():
+    assert vol.warm_up(vol.Spec(1, 1), [(0.1, 0.5)]) == 61
+    assert vol.warm_up(vol.Spec(1, 2)) > vol.warm_up(vol.Spec(1, 1)) > 390
+    with pytest.raises(ValueError):
+        vol.warm_up(vol.Spec(1, 1), [(0.0, 1.0)])
