@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +16,17 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import Memo, batches, mix, signed, written
 
 #: Units that count as such after a number, and number words.
-UNITS = tuple(
+UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles g kg mg lb lbs pound pounds ounce ounces ton tons l ml litre litres liter liters "
     "gallon gallons second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros "
     "cent cents degree degrees meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms "
     "tage tag stunden stunde jahre jahr jours jour heures heure ans kilos dias horas euros".split()
 )
-NUMBER_WORDS = tuple("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
-TOKEN = regex.compile(r"(?P<n>\p{N}[\p{N}.,]*\p{N}|\p{N})|(?P<w>[\p{L}\p{M}_]+)|(?P<u>[%$€£])|(?P<e>[.!?\n])")
-NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
+NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
+TOKEN = re.compile(r"\d(?:[\d.,]*\d)?|[^\W\d]+|[%$€£]|[.!?\n]")
+SLOTS = ("<num>", "<unit>", "<name>")
+_END, _NUMBER, _UNIT, _SIGN, _NAME = (np.uint64(1 << i) for i in range(5))
+_FLAGS = np.uint64(63)
 
 
 @dataclass(frozen=True)
@@ -43,71 +45,93 @@ class Rules:
     most_keys: int = 1 << 20
 
 
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """Template words of a text and the values that stand there.
-
-    Numbers and number words become ``<num>``, units after a number ``<unit>``, and capitalised words
-    ``<name>`` if they are not the first of a sentence or occur capitalised elsewhere within one.
+def _known(token: str) -> int:
+    """A hash of the token in lower case, and in the lowest six bits what the token can be."""
+    low = token.lower()
+    flags = 0
+    if token in ".!?\n":
+        flags = _END
+    elif token[0].isdigit() or low in NUMBER_WORDS:
+        flags = _NUMBER
+    elif token in "%$€£":
+        flags = _UNIT | _SIGN
+    elif low in UNITS:
+        flags = _UNIT
+    if len(token) > 1 and token[0].isupper() and not token.isupper() and not flags & _NUMBER:
+        flags |= _NAME
+    return (xxhash.xxh64_intdigest(low.encode("utf-8", "replace")) & ~63) | int(flags)
+
+
+class Templates:
+    """Reads texts as templates: words, and typed slots in place of values.
+
+    Numbers and number words are ``<num>``, units and signs after a number ``<unit>`` (other signs are left out),
+    and capitalised words ``<name>`` if they are not the first of a sentence or occur capitalised elsewhere within one.
     """
-    found = []
-    start = True
-    for m in TOKEN.finditer(text or ""):
-        kind, value = m.lastgroup, m.group()
-        if kind == "e":
-            start = True
-            continue
-        found.append((kind, value, start))
-        start = False
-    names = {v for k, v, first in found if k == "w" and not first and len(v) > 1 and v[0].isupper() and not v.isupper()}
-    words, values = [], []
-    for kind, value, _ in found:
-        low = value.lower()
-        if kind == "n" or low in NUMBER_WORDS:
-            word = NUMBER
-        elif (kind == "u" or low in UNITS) and words and words[-1] == NUMBER:
-            word = UNIT
-        elif kind == "u":
-            continue
-        elif value in names:
-            word = NAME
-        else:
-            word = low
-        words.append(word)
-        values.append(low)
-    return words, values
+
+    def __init__(self):
+        self.known = Memo(_known)
+
+    def read(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, places of the template's words among them, kind of each: 0 or 1 + its slot, hash of its value)."""
+        tokens = TOKEN.findall(text or "")
+        v = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
+        end = (v & _END) > 0
+        first = np.concatenate([[True], end[:-1]])
+        at = np.flatnonzero(~end)
+        v, first = v[at], first[at]
+        number = (v & _NUMBER) > 0
+        after = np.concatenate([[False], number[:-1]])
+        kind = np.zeros(len(v), np.int8)
+        named = (v & _NAME) > 0
+        if (inside := named & ~first).any():
+            kind[named & np.isin(v, np.unique(v[inside]))] = 3
+        kind[after & ((v & _UNIT) > 0)] = 2
+        kind[number] = 1
+        use = (kind > 0) | ((v & _SIGN) == 0)
+        return tokens, at[use], kind[use], (v & ~_FLAGS)[use]
+
+
+def template(text: str | None) -> list[str]:
+    tokens, at, kind, _ = Templates().read(text)
+    return [SLOTS[k - 1] if k else tokens[i].lower() for i, k in zip(at, kind, strict=True)]
 
 
 class Windows:
-    """Hashed template windows of texts."""
+    """Hashed template windows of texts; only those with a key in the sorted ``keep`` if given."""
 
-    def __init__(self, rules: Rules):
-        self.rules = rules
-        self.hash = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")))
+    def __init__(self, rules: Rules, keep: np.ndarray | None = None):
+        self.rules, self.keep, self.templates = rules, keep, Templates()
+        if keep is not None:
+            self.likely = np.zeros(1 << 20, bool)
+            self.likely[keep >> np.uint64(44)] = True
 
-    def of(self, text: str | None, keep: np.ndarray | None = None) -> Iterator[tuple[int, int, list[int]]]:
-        """(hash, first word, hashed slot values) of each window with enough literal words; only hashes in ``keep`` if given.
+    def of(self, text: str | None) -> Iterator[tuple[int, int, list[int]]]:
+        """(key, first word, hashed slot values) of each window with enough literal words.
 
         A text with fewer words than a window is one window.
         """
-        words, values = template(text)
-        size = min(self.rules.window, len(words))
+        _, _, kind, values = self.templates.read(text)
+        size = min(self.rules.window, len(kind))
         if not size:
             return
-        h = np.fromiter(map(self.hash.__getitem__, words), np.uint64, len(words))
-        slot = np.array([w[0] == "<" for w in words])
-        keys = np.full(len(words) - size + 1, size, np.uint64)
+        slot = kind > 0
+        h = np.where(slot, kind.astype(np.uint64), values)
+        keys = np.full(len(h) - size + 1, size, np.uint64)
         for i in range(size):
-            keys = keys * np.uint64(0x9E3779B97F4A7C15) + h[i : len(words) - size + 1 + i]
+            keys = keys * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i]
         keys = mix(keys)
         sums = np.concatenate([[0], np.cumsum(slot)])
         use = size - (sums[size:] - sums[:-size]) >= min(self.rules.literals, size)
-        if keep is not None and use.any():
-            at = np.minimum(np.searchsorted(keep, keys), len(keep) - 1)
-            use &= (keep[at] == keys) if len(keep) else False
-        whole = signed(keys)
-        for i in np.flatnonzero(use).tolist():
-            slots = [self.hash[values[j]] for j in range(i, i + size) if slot[j]]
-            yield whole[i], i, signed(np.array(slots, np.uint64))
+        if self.keep is not None:
+            use = np.flatnonzero(use & self.likely[keys >> np.uint64(44)])
+            if len(use):
+                at = np.minimum(np.searchsorted(self.keep, keys[use]), len(self.keep) - 1)
+                use = use[self.keep[at] == keys[use]]
+        else:
+            use = np.flatnonzero(use)
+        for i, key in zip(use.tolist(), signed(keys[use]), strict=True):
+            yield key, i, signed(values[i : i + size][slot[i : i + size]])
 
 
 def windows(texts: DataFrame, id_column: str, text_column: str, rules: Rules, keep: np.ndarray | None = None) -> DataFrame:
@@ -116,8 +140,8 @@ def windows(texts: DataFrame, id_column: str, text_column: str, rules: Rules, ke
     arrow = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("key", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.int64()))])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Windows(rules)
-        rows = ((i, *w) for frame in frames for i, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True) for w in made.of(t, keep))
+        made = Windows(rules, keep)
+        rows = ((i, *w) for frame in frames for i, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True) for w in made.of(t))
         return batches(rows, arrow)
 
     return texts.select(id_column, text_column).mapInArrow(run, f"id {kind}, key long, at int, slots array<long>")
