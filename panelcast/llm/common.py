@@ -22,6 +22,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows of a few numbers that every executor can hold (some tens of MB).
+FEW_ROWS = 1 << 19
+
+
+def if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if it has ``most`` rows or fewer; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1
