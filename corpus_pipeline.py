@@ -19,11 +19,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less later copies of three-line windows; a document of which nothing is left goes."""
+    """Documents less later copies of three-line windows, ``n_chars`` of the new text; one of which nothing is left goes."""
     named = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     kept = line_windows.dedup_lines(named)
-    alive = kept.where((F.col("_lines.n_removed") == 0) | (F.btrim("text", F.lit(" \t\r\n")) != ""))
-    return alive.select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")
+    cut = F.col("_lines.n_removed") > 0
+    alive = kept.where(~cut | (F.btrim("text", F.lit(" \t\r\n")) != ""))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return alive.select(row.alias("row")).select("row.*")
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
