@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions.columns import clip, finite
 from panelcast.operators.quantiles import group_quantiles
+from panelcast.operators.splits import sliding_windows
 from panelcast.sources.shared import written
 
 
@@ -71,6 +72,14 @@ def fit_and_scale(
     return standardised(samples, written(fit_statistics(samples, columns, limits), "statistics"), columns)
 
 
+def scaled_branch_windows(
+    samples: DataFrame, branches: Mapping[str, Sequence[str]], length: int, limits: tuple[float, float] = (0.01, 0.99)
+) -> DataFrame:
+    """Sliding windows with one array per branch, scaled by statistics of the training rows of its columns."""
+    columns = list(dict.fromkeys(c for own in branches.values() for c in own))
+    return sliding_windows(fit_and_scale(samples, columns, limits), branches, length)
+
+
 def dense_rows(samples: DataFrame, columns: Sequence[str], target: str = "target") -> DataFrame:
     """Feature vector and target; nothing is filled, and rows with gaps are flagged."""
     x = F.array(*[F.col(c).cast("double") for c in columns])

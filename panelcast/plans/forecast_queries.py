@@ -25,6 +25,7 @@ def forecast_rows(df: DataFrame, digits: int = 2) -> DataFrame:
     return df.select(*KEYS, "target", rounded("predicted", digits).alias("predicted"))
 
 
+ROUGH = f"symbol, feature_date, target_date, step, target, {RND('predicted', 1)} AS predicted"
 FORECAST = f"symbol, feature_date, target_date, step, target, {RND('predicted', 2)} AS predicted"
 
 
@@ -162,6 +163,28 @@ def _gaps(spark: SparkSession, folder: str) -> DataFrame:
     return samples(spark, folder).withColumn("volume", F.when(F.col("seq") % 11 != 0, F.col("volume")))
 
 
+_BRANCHES = {"x": ["close", "volume"], "opens": ["open"]}
+_THREE = ["close", "volume", "open"]
+
+
+@query(
+    "e9_scaled_branch_windows",
+    sql.samples() + ", lims AS (SELECT symbol, " + ", ".join(f"quantile_cont({c}, 0.01) AS {c}_l, quantile_cont({c}, 0.99) AS {c}_h" for c in _THREE)
+    + " FROM samples WHERE split = 'train' GROUP BY 1), cut AS (SELECT s.symbol, feature_date, split, " + ", ".join(f"{sql.clip(c, c + '_l', c + '_h')} AS {c}" for c in _THREE)
+    + " FROM samples s JOIN lims USING (symbol)), size AS (SELECT symbol, " + ", ".join(f"avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS {c}_s" for c in _THREE)
+    + " FROM cut WHERE split = 'train' GROUP BY 1), even AS (SELECT c.symbol, feature_date, split, " + ", ".join(f"({c} - {c}_m) / {c}_s AS {c}" for c in _THREE)
+    + """ FROM cut c JOIN size USING (symbol)), summed AS (SELECT symbol, feature_date, split, close AS newest, sum(close + volume) OVER w AS x, sum(open) OVER w AS opens, count(*) OVER w AS n
+      FROM even WINDOW w AS (PARTITION BY symbol ORDER BY feature_date ROWS 9 PRECEDING))
+    SELECT symbol, feature_date, split, """ + f"{RND('newest', 6)} AS newest, {RND('x', 5)} AS x, {RND('opens', 5)} AS opens FROM summed WHERE n = 10",
+)
+def e9_scaled_branch_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of two branches on scaled rows: newest close and the sums of both branches."""
+    made = transforms.scaled_branch_windows(samples(spark, folder), _BRANCHES, 10)
+    total = {b: F.aggregate(F.flatten(b), F.lit(0.0), lambda a, v: a + v) for b in _BRANCHES}
+    newest = F.element_at("x", -1)[0]
+    return made.select("symbol", "feature_date", "split", rounded(newest, 6).alias("newest"), *[rounded(t, 5).alias(b) for b, t in total.items()])
+
+
 @query(
     "f1_clip_bounds",
     _BOUNDS + " SELECT symbol, " + sql.rounded_columns([f"{c}__{k}" for c in _FITTED for k in ("lo", "hi")], 7) + " FROM bounds",
@@ -482,8 +505,8 @@ def _featured_samples(spark: SparkSession, folder: str) -> DataFrame:
     return samples(spark, folder).join(made, ["symbol", "seq"])
 
 
-def _cast(df: DataFrame) -> DataFrame:
-    return forecast_rows(df.withColumn("step", F.col("step").cast("long")))
+def _cast(df: DataFrame, digits: int = 2) -> DataFrame:
+    return forecast_rows(df.withColumn("step", F.col("step").cast("long")), digits)
 
 
 @query("g9_residual_hybrid")
@@ -496,6 +519,51 @@ def g10_window_regression(spark: SparkSession, folder: str) -> DataFrame:
     return _cast(sequence.holdout(_featured_samples(spark, folder), _WIDE, _SEQUENCE_WINDOW))
 
 
+def _three_back(rows: str) -> str:
+    """Tables over ``rows`` (symbol, date, split, v, y, ..): windows of three rows, their holdout fit and their expanding fit, by Cramer's rule."""
+    frame = "PARTITION BY symbol ORDER BY date"
+    sums = ", ".join([f"covar_pop(x{i}, x{j}) {{0}} AS a{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if j >= i] + [f"covar_pop(x{i}, y) {{0}} AS b{i}, avg(x{i}) {{0}} AS m{i}" for i in (1, 2, 3)])
+    full = _determinant("a1", "a2", "a3")
+    slopes = f"{_determinant('b', 'a2', 'a3')} / {full} AS w1, {_determinant('a1', 'b', 'a3')} / {full} AS w2, {_determinant('a1', 'a2', 'b')} / {full} AS w3"
+    guess = "my + w1 * (x1 - m1) + w2 * (x2 - m2) + w3 * (x3 - m3)"
+    return f""", three AS (SELECT * FROM (SELECT *, lag(v, 2) OVER w AS x1, lag(v, 1) OVER w AS x2, v AS x3, count(*) OVER w3 AS n FROM {rows}
+      WINDOW w AS ({frame}), w3 AS ({frame} ROWS 2 PRECEDING)) WHERE n = 3),
+    held_sums AS (SELECT symbol, avg(y) AS my, {sums.format('')} FROM three WHERE split <> 'test' GROUP BY 1),
+    held AS (SELECT symbol, my, m1, m2, m3, {slopes} FROM held_sums),
+    held_out AS (SELECT t.*, {guess} AS guess FROM three t JOIN held USING (symbol) WHERE split = 'test'),
+    walk_sums AS (SELECT *, avg(y) OVER e AS my, {sums.format('OVER e')} FROM three WINDOW e AS ({frame} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    walk AS (SELECT *, {slopes} FROM walk_sums WHERE split = 'test'),
+    walked AS (SELECT *, {guess} AS guess FROM walk)"""
+
+
+_CLOSES = sql.samples() + f""", lim AS (SELECT symbol, quantile_cont(close, 0.01) AS lo, quantile_cont(close, 0.99) AS hi FROM samples WHERE split <> 'test' GROUP BY 1),
+    rows3 AS (SELECT s.*, {sql.clip('close')} AS v, target AS y FROM samples s JOIN lim USING (symbol))""" + _three_back("rows3")
+
+
+@query("g10_window_regression_three_back", _CLOSES + f", scored AS (SELECT *, guess AS predicted FROM held_out) SELECT {ROUGH} FROM scored")
+def g10_window_regression_three_back(spark: SparkSession, folder: str) -> DataFrame:
+    return _cast(sequence.holdout(samples(spark, folder), ["close"], 3), 1)
+
+
+@query("g13_window_walk_forward_three_back", _CLOSES + f", scored AS (SELECT *, guess AS predicted FROM walked) SELECT {ROUGH} FROM scored")
+def g13_window_walk_forward_three_back(spark: SparkSession, folder: str) -> DataFrame:
+    return _cast(sequence.walk_forward(samples(spark, folder), ["close"], 3), 1)
+
+
+_RESIDUALS = sql.split_panel() + _DIFFS + f""", ar AS (SELECT symbol, sum(d * d1) / sum(d1 * d1) AS phi FROM diffs WHERE split <> 'test' GROUP BY 1),
+    res AS (SELECT f.symbol, date, seq, split, adjclose, d - phi * coalesce(d1, 0) AS r, adjclose + phi * d AS ahead FROM diffs f JOIN ar USING (symbol) WHERE d IS NOT NULL),
+    sup AS (SELECT *, date AS feature_date, lead(date) OVER w AS target_date, lead(adjclose) OVER w AS target, lead(r) OVER w AS y,
+      row_number() OVER w + CASE WHEN split = 'train' THEN 1 ELSE 0 END AS step FROM res WINDOW w AS (PARTITION BY symbol, split ORDER BY date)),
+    lim AS (SELECT symbol, quantile_cont(r, 0.01) AS lo, quantile_cont(r, 0.99) AS hi FROM sup WHERE split <> 'test' AND target IS NOT NULL GROUP BY 1),
+    rows3 AS (SELECT s.*, {sql.clip('r')} AS v FROM sup s JOIN lim USING (symbol) WHERE target IS NOT NULL)""" + _three_back("rows3")
+
+
+@query("g9_residual_hybrid_three_back", _RESIDUALS + f", scored AS (SELECT *, ahead + guess AS predicted FROM held_out) SELECT {ROUGH} FROM scored")
+def g9_residual_hybrid_three_back(spark: SparkSession, folder: str) -> DataFrame:
+    """The residual alone, three rows back."""
+    return _cast(sequence.residual_hybrid(split_panel(spark, folder), [], 3), 1)
+
+
 @query("g10_window_regression_pooled")
 def g10_window_regression_pooled(spark: SparkSession, folder: str) -> DataFrame:
     return _cast(sequence.pooled_holdout(_featured_samples(spark, folder), _WIDE, _SEQUENCE_WINDOW))

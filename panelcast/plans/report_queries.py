@@ -268,6 +268,19 @@ def h24_primary_subset(spark: SparkSession, folder: str) -> DataFrame:
     return kept.groupBy("experiment_key", "evaluation", "model").agg(F.count("*").alias("n"))
 
 
+_PRIMARY = ("arima", "garch_return")
+
+
+@query(
+    "h24_primary_comparison",
+    sql.compared(_PRIMARY) + f" SELECT {', '.join(_WIDE_ID)}, {', '.join(f'dir_correct_{m}' for m in _PRIMARY)}, {sql.rounded_columns([f'pred_{m}' for m in _PRIMARY], 2)} FROM compared",
+)
+def h24_primary_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """The primary models side by side, per experiment, evaluation and symbol."""
+    made = report.comparison(report.primary_subset(predictions(spark, folder), COMPARED), _PRIMARY)
+    return made.select(*_WIDE_ID, *[f"dir_correct_{m}" for m in _PRIMARY], *[rounded(f"pred_{m}", 2).alias(f"pred_{m}") for m in _PRIMARY])
+
+
 @query("h25_largest_symbols", sql.panel() + " SELECT symbol, count(*) AS rows FROM panel GROUP BY 1 ORDER BY rows DESC, symbol LIMIT 2")
 def h25_largest_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return report.largest_symbols(panel(spark, folder))
