@@ -45,22 +45,27 @@ def sides(blocks: np.ndarray) -> np.ndarray:
 
 
 def likely_rows(rows: list[tuple], agree: int, ratio: float) -> list[tuple]:
-    """Rows (bucket, bi, bj, block, digest, n, bits) that have a partner of similar size and sketch in their task."""
+    """Rows (bucket, bi, bj, block, digest, n, bits, buckets) that have a partner in a pair that this task owns, of similar size and sketch."""
     rows = list({r[4]: r for r in rows}.values())
     if len(rows) <= 6:
         hits = set()
+        lower = [{*r[7][r[7] < r[0]].tolist()} for r in rows]
         for i, a in enumerate(rows):
             for j in range(i + 1, len(rows)):
                 b = rows[j]
-                if (a[1] == a[2] or a[3] != b[3]) and min(a[5], b[5]) >= ratio * max(a[5], b[5]) and 64 - ((a[6] ^ b[6]) & 0xFFFFFFFFFFFFFFFF).bit_count() >= agree:
+                if (a[1] == a[2] or a[3] != b[3]) and min(a[5], b[5]) >= ratio * max(a[5], b[5]) and 64 - ((a[6] ^ b[6]) & 0xFFFFFFFFFFFFFFFF).bit_count() >= agree and lower[i].isdisjoint(lower[j]):
                     hits |= {i, j}
         return [rows[i] for i in sorted(hits)]
     rows.sort(key=lambda r: r[3])
-    n = np.array([r[5] for r in rows], np.float64)
+    n = np.array([r[5] for r in rows], np.float32)
     bits = np.array([r[6] for r in rows], np.int64).view(np.uint64)
     pairs = sides(np.array([r[3] for r in rows]))
-    pairs &= np.minimum(n[:, None], n[None, :]) >= ratio * np.maximum(n[:, None], n[None, :])
-    pairs &= np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 64 - agree
+    for i in range(0, len(rows), 256):
+        part = pairs[i : i + 256]
+        part &= np.bitwise_count(bits[i : i + 256, None] ^ bits[None, :]) <= 64 - agree
+        part &= np.minimum(n[i : i + 256, None], n[None, :]) >= ratio * np.maximum(n[i : i + 256, None], n[None, :])
+    if pairs.any():
+        pairs &= ~unowned(rows[0][0], [r[7] for r in rows])
     return [rows[i] for i in np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))]
 
 
@@ -128,7 +133,7 @@ def tasks(rows: DataFrame, leaf: int, weight: int) -> DataFrame:
     blocks = F.ceil(F.greatest(F.col("size") / leaf, F.col("tokens") / weight)).cast("int")
     own = F.pmod(F.xxhash64("digest", F.lit(7)), F.col("blocks")).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "digest", "n", "bits")
+    return dealt.select("bucket", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "digest", "n", "bits", "buckets")
 
 
 def by_task(rows: DataFrame) -> DataFrame:
@@ -147,17 +152,21 @@ def distinct_buckets(buckets: DataFrame) -> DataFrame:
 
 
 def likely_tasks(buckets: DataFrame, agree: int, ratio: float, leaf: int, weight: int, name: str) -> DataFrame:
-    """(bucket, bi, bj, block, digest): a written table of the rows that have a likely partner in their task.
+    """(bucket, bi, bj, block, digest, buckets): a written table of the rows that have a likely partner in their task.
 
-    Partners agree in ``agree`` of 64 sketch bits, and their ``n`` are within ``ratio`` of each other.
+    Partners agree in ``agree`` of 64 sketch bits, and their ``n`` are within ``ratio`` of each other. ``buckets`` are all
+    buckets of the row's class, by which a task knows the pairs that it owns; their number follows the paths
+    of a class, not the table.
     """
-    arrow = pa.schema([("bucket", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("block", pa.int32()), ("digest", pa.binary())])
+    schema = "bucket long, bi int, bj int, block int, digest binary, buckets array<long>"
+    arrow = pa.schema([("bucket", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("block", pa.int32()), ("digest", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return batches((r[:5] for group in groups(frames, 3) for r in likely_rows(group, agree, ratio)), arrow)
+        return batches(((*r[:5], r[7]) for group in groups(frames, 3) for r in likely_rows(group, agree, ratio)), arrow)
 
-    dealt = by_task(tasks(distinct_buckets(buckets), leaf, weight))
-    return written(dealt.mapInArrow(run, "bucket long, bi int, bj int, block int, digest binary"), name)
+    kept = distinct_buckets(buckets)
+    met = kept.groupBy("digest").agg(F.collect_set("bucket").alias("buckets"))
+    return written(by_task(tasks(kept.join(met, "digest"), leaf, weight)).mapInArrow(run, schema), name)
 
 
 def per_record(records: DataFrame, classes: DataFrame, links: DataFrame, name: str) -> DataFrame:

@@ -128,8 +128,8 @@ def near_vectors(vectors: DataFrame, caps: Caps = Caps(), id_column: str = "vec_
     steps = linked.select("digest", F.lit(1).alias("n"), "bits", F.explode("paths").alias("bucket")).distinct()
     buckets = written(steps.join(sized(steps), "bucket"), "caps-buckets")
     likely = likely_tasks(buckets, caps.agree, 1.0, caps.leaf, 1 << 40, "caps-likely")
-    met = likely.groupBy("digest").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-    values = linked.select("digest", "v").join(met, "digest").dropDuplicates(["digest"]).join(classes.select("digest", "copies"), "digest")
+    wanted = likely.select("digest").distinct().join(classes.select("digest", "copies"), "digest")
+    values = linked.select("digest", "v").join(wanted, "digest").dropDuplicates(["digest"])
     full = by_task(likely.join(values, "digest").select("bucket", "bi", "bj", "block", "digest", "copies", "buckets", "v"))
 
     def verified(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

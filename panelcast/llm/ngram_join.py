@@ -32,7 +32,7 @@ class Join:
     threshold: float = 0.8
     recall: float = 0.999
     split: float = 3.0
-    leaf: int = 512
+    leaf: int = 1024
     leaf_tokens: int = 1 << 20
 
     @property
@@ -160,9 +160,8 @@ def jaccard_join(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id"
     Words are runs of letters, digits and underscores in lower case; a text with fewer words than an n-gram
     has one n-gram of all of them, and a text without words (or null) links with nothing. Documents with equal
     sets form one class, so copies are compared once. Each run starts a path per chosen token of a set; classes
-    that share a path form a bucket. Buckets up to ``leaf`` are compared, larger ones are split on further
-    tokens as long as that at least halves them; what remains is compared in pairs of blocks. Pairs
-    must agree in size and in a 64-bit sketch before their sets are fetched and compared exactly. A pair that
+    that share a path form a bucket. Buckets up to ``leaf`` are compared; larger ones are split on further
+    tokens if that at least halves them, else they are compared in pairs of blocks. Pairs must agree in size and in a 64-bit sketch before their sets are fetched and compared exactly. A pair that
     meets in several buckets counts in the one with the smallest number.
     Ids are told apart by value; rows that share id and text count as copies; a null id is larger than any other.
     """
@@ -177,29 +176,31 @@ def jaccard_join(docs: DataFrame, join: Join = Join(), id_column: str = "doc_id"
         wanted = large.select("digest").distinct().join(classes, "digest").select("digest", F.col("class_id").alias("id"))
         hot = written(token_sets(docs, wanted, id_column, text_column, join).dropDuplicates(["digest"]), "join-hot-sets")
         while large.limit(1).count():
-            children = _children(large, hot, join)
-            rows = written(children.withColumnRenamed("size", "parent").join(sized(children), "bucket"), "join-buckets")
-            final = (F.col("size") <= join.leaf) | (F.col("size") * 2 > F.col("parent"))
-            done.append(rows.where(final).drop("parent"))
-            large = rows.where(~final).drop("parent")
+            children = written(_children(large, hot, join), "join-children")
+            sizes = sized(children).join(children.groupBy("bucket").agg(F.min("parent").alias("parent"), F.min("parent_size").alias("parent_size")), "bucket")
+            stuck = written(sizes.where(F.col("size") * 2 > F.col("parent_size")).select(F.col("parent").alias("bucket")).distinct(), "join-stuck")
+            done.append(large.join(stuck, "bucket", "left_semi"))
+            on = sizes.join(stuck.withColumnRenamed("bucket", "parent"), "parent", "left_anti").drop("parent", "parent_size")
+            rows = written(children.drop("parent", "parent_size").join(on, "bucket"), "join-buckets")
+            done.append(rows.where(F.col("size") <= join.leaf))
+            large = rows.where(F.col("size") > join.leaf)
     buckets = done[0]
     for more in done[1:]:
         buckets = buckets.unionByName(more)
     likely = likely_tasks(buckets, join.agree, join.threshold, join.leaf, join.leaf_tokens, "join-likely")
-    met = likely.groupBy("digest").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-    wanted = met.join(classes, "digest").select("digest", F.col("class_id").alias("id"), "copies", "buckets")
-    sets = token_sets(docs, wanted, id_column, text_column, join).join(wanted.select("digest", "copies", "buckets"), "digest")
+    wanted = likely.select("digest").distinct().join(classes, "digest").select("digest", F.col("class_id").alias("id"), "copies")
+    sets = token_sets(docs, wanted, id_column, text_column, join).join(wanted.select("digest", "copies"), "digest")
     full = likely.join(sets, "digest").select("bucket", "bi", "bj", "block", "digest", "copies", "buckets", "tokens")
     return Similar(found.select("id", "digest"), classes, by_task(full), join)
 
 
 def _children(large: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The next step: (bucket, digest, n, bits, size of the parent) of every path that goes on."""
+    """The next step: (bucket, digest, n, bits, parent, its size) of every path that goes on."""
     rate = join.split / join.threshold
     rows = large.select("bucket", "digest", "n", "bits", "size").join(sets, "digest")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = pa.schema([("bucket", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bits", pa.int64()), ("size", pa.int64())])
+        arrow = pa.schema([("bucket", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("bits", pa.int64()), ("parent", pa.int64()), ("parent_size", pa.int64())])
 
         def steps() -> Iterator[tuple]:
             for frame in frames:
@@ -207,9 +208,9 @@ def _children(large: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
                 for bucket, digest, n, bits, size, tokens in zip(*columns, arrays(frame.column(5)), strict=True):
                     path = np.array([bucket], np.int64).view(np.uint64)
                     for child in signed(chosen(tokens.view(np.uint64), path, rate / n)):
-                        yield child, digest, n, bits, size
+                        yield child, digest, n, bits, bucket, size
 
         return batches(steps(), arrow)
 
-    out = rows.select("bucket", "digest", "n", "bits", "size", "tokens").mapInArrow(run, "bucket long, digest binary, n int, bits long, size long")
+    out = rows.select("bucket", "digest", "n", "bits", "size", "tokens").mapInArrow(run, "bucket long, digest binary, n int, bits long, parent long, parent_size long")
     return out.dropDuplicates(["bucket", "digest"])
