@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.buckets import LINKS, LINKS_ARROW, arrays, by_task, groups, likely_tasks, pair_rows, per_record, shared_counts, sides, sized, summary, unowned
-from panelcast.llm.common import batches, mix, shingles, signed, word_hashes, written
+from panelcast.llm.common import batches, if_few, mix, shingles, signed, word_hashes, written
 
 _SKETCH = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _FULL = 2.0**64
@@ -96,9 +96,10 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, join: Join) ->
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str, join: Join) -> DataFrame:
-    """(digest, tokens) of the classes in ``wanted`` (digest, id), from their documents."""
+    """(digest, tokens) of the classes in ``wanted`` (digest, id), from their documents; texts stay in place if few are wanted."""
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    texts = source.join(wanted.select("id").distinct(), source["id"].eqNullSafe(wanted["id"]), "left_semi").select("text")
+    ids = if_few(written(wanted.select(F.col("id").alias("wanted")).distinct(), "join-wanted"))
+    texts = source.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
