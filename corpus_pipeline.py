@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import decontaminate, language, line_windows, ngram_join, packing
-from panelcast.llm.common import table, written
+from panelcast.llm.common import if_few, table, written
 from panelcast.llm.queries import SEQUENCE, VOCABULARY
 
 
@@ -30,17 +30,22 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return alive.select(row.alias("row")).select("row.*")
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the ids in ``gone``; a null id stays."""
+    return docs.join(if_few(written(gone, "pipeline-gone")), "doc_id", "left_anti").select(docs.columns)
+
+
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; one without an id stays."""
     groups = ngram_join.jaccard_join(docs).per_document()
     gone = groups.where("id <> group_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, gone)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; one without an id stays."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, found.select("doc_id").distinct())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
