@@ -32,6 +32,26 @@ def groups(frames: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]
         yield held
 
 
+def column_groups(frames: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of each run of rows that agree in the first ``keys`` columns, equal neighbours once; rows come sorted by all columns."""
+    held: list[np.ndarray] | None = None
+    for frame in frames:
+        columns = [c.to_numpy(zero_copy_only=False) for c in frame.columns]
+        if held is not None:
+            columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        steps = [c[1:] != c[:-1] for c in columns]
+        new = np.concatenate([[True], np.logical_or.reduce(steps)])
+        columns = [c[new] for c in columns]
+        starts = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:keys]])) + 1, [len(columns[0])]])
+        for i, j in zip(starts[:-2], starts[1:-1], strict=True):
+            yield [c[i:j] for c in columns]
+        held = [c[starts[-2] :] for c in columns]
+    if held is not None:
+        yield held
+
+
 def arrays(column: pa.ListArray) -> list[np.ndarray]:
     values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
