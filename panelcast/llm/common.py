@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.sources.shared import written
 
-WORD = regex.compile(r"\w+")
+WORD = re.compile(r"\w+")
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,18 +51,60 @@ class Memo(dict):
         return value
 
 
-def word_hashes() -> Memo:
-    return Memo(lambda word: xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")))
+class WordHashes:
+    """64-bit hashes of the words of a text: runs of letters, digits and underscores in lower case, as ``\\w+`` finds them.
 
+    A word's hash is a polynomial in its code points, taken for all words of a stretch of text at once.
+    """
 
-def shingles(text: str | None, memo: Memo, width: int) -> np.ndarray:
+    def __init__(self, stretch: int = 1 << 22):
+        self.plain = np.array([chr(c).isalnum() or c == ord("_") for c in range(1 << 16)])
+        self.stretch = stretch
+
+    def _in_word(self, codes: np.ndarray) -> np.ndarray:
+        low = codes < 1 << 16
+        out = np.zeros(len(codes), bool)
+        out[low] = self.plain[codes[low]]
+        if not low.all():
+            high, at = np.unique(codes[~low], return_inverse=True)
+            out[~low] = np.array([chr(c).isalnum() for c in high.tolist()])[at]
+        return out
+
+    def of(self, text: str | None) -> np.ndarray:
+        codes = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), "<u4")
+        parts, start = [], 0
+        while start < len(codes):
+            end = start + self.stretch
+            inside = self._in_word(codes[start:end])
+            while end < len(codes) and inside.all():  # a word longer than a stretch
+                end += self.stretch
+                inside = self._in_word(codes[start:end])
+            if end < len(codes):
+                inside = inside[: len(inside) - int(np.argmin(inside[::-1]))]
+            parts.append(self._hashes(codes[start : start + len(inside)], inside))
+            start += len(inside)
+        return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+    @staticmethod
+    def _hashes(codes: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        letters = np.flatnonzero(inside)
+        if not len(letters):
+            return np.empty(0, np.uint64)
+        first = np.concatenate([[True], np.diff(letters) > 1])
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, len(letters)))
+        place = np.arange(len(letters)) - np.repeat(starts, sizes)
+        powers = np.cumprod(np.full(int(sizes.max()), _STEP))
+        return mix(np.add.reduceat((codes[letters].astype(np.uint64) + np.uint64(1)) * powers[place], starts))
+
+
+def shingles(text: str | None, words: WordHashes, width: int) -> np.ndarray:
     """64-bit hashes of the word n-grams of ``text`` in order; one for all words if there are fewer than ``width``."""
-    words = WORD.findall((text or "").lower())
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    size = min(width, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
+    h = words.of(text)
+    if not len(h):
+        return h
+    size = min(width, len(h))
+    out = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
         out = out * _STEP + h[i : len(h) - size + 1 + i]
     return mix(out)

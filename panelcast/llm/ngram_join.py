@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.buckets import LINKS, LINKS_ARROW, arrays, by_task, groups, likely_tasks, pair_rows, per_record, shared_counts, sides, sized, summary, unowned
-from panelcast.llm.common import batches, if_few, mix, shingles, signed, word_hashes, written
+from panelcast.llm.common import WordHashes, batches, if_few, mix, shingles, signed, written
 
 _SKETCH = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _FULL = 2.0**64
@@ -80,11 +80,11 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, join: Join) ->
     roots = np.arange(1, join.repeats + 1, dtype=np.uint64)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_hashes()
+        words = WordHashes()
         for frame in frames:
             digest, n, bits, paths = [], [], [], []
             for text in frame.column(1).to_pylist():
-                t = np.unique(shingles(text, memo, join.width))
+                t = np.unique(shingles(text, words, join.width))
                 digest.append(_digest(t) if len(t) else None)
                 n.append(len(t))
                 bits.append(sketch(t) if len(t) else 0)
@@ -102,9 +102,9 @@ def token_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column:
     texts = source.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_hashes()
+        words = WordHashes()
         for frame in frames:
-            sets = [np.unique(shingles(t, memo, join.width)) for t in frame.column(0).to_pylist()]
+            sets = [np.unique(shingles(t, words, join.width)) for t in frame.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "tokens"])
 
     return texts.mapInArrow(run, "digest binary, tokens array<long>")
