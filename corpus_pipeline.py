@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm import decontaminate, language, line_windows, ngram_join, packing
-from panelcast.llm.common import if_few, table, written
+from panelcast.llm.common import if_few, small_batches, table, written
 from panelcast.llm.queries import SEQUENCE, VOCABULARY
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in a learned language; others, empty and null texts go."""
+    small_batches(spark)
     named = docs.select(F.struct("*").alias("row"), F.col("text"))
     found = language.identify(named, language.fit(docs))
     return found.where(~F.col("_language.rejected")).select("row.*")
@@ -20,6 +21,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less later copies of three-line windows, ``n_chars`` of the new text; one of which nothing is left goes."""
+    small_batches(spark)
     named = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     kept = line_windows.dedup_lines(named)
     cut = F.col("_lines.n_removed") > 0
@@ -37,6 +39,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; one without an id stays."""
+    small_batches(spark)
     groups = ngram_join.jaccard_join(docs).per_document()
     gone = groups.where("id <> group_id").select(F.col("id").alias("doc_id")).distinct()
     return _without(docs, gone)
@@ -50,6 +53,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' ids in sequences."""
+    small_batches(spark)
     return packing.pack_with_vocabulary(docs, public_tokenizers.path(VOCABULARY), SEQUENCE)
 
 

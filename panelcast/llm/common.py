@@ -17,7 +17,17 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20, rows: int = 2048) -> None:
+    """Bounds the Arrow batches that tasks send to Python: texts are long, and idle workers keep what they once held."""
+    for name, most in (("maxBytesPerBatch", size), ("maxRecordsPerBatch", rows)):
+        setting = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(setting).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(setting, str(most))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -110,6 +120,14 @@ def shingles(text: str | None, words: WordHashes, width: int) -> np.ndarray:
     return mix(out)
 
 
+def parts(frames: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``most`` rows, so that few texts exist as Python strings at a time."""
+    for frame in frames:
+        for start in range(0, frame.num_rows, most):
+            yield frame.slice(start, most)
+    pa.default_memory_pool().release_unused()  # the worker may stay idle beside others
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches."""
     held: list[tuple] = []

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Memo, batches, mix, signed, written
+from panelcast.llm.common import Memo, batches, mix, parts, signed, written
 
 #: Units that count as such after a number, and number words.
 UNITS = frozenset(
@@ -141,7 +141,7 @@ def windows(texts: DataFrame, id_column: str, text_column: str, rules: Rules, ke
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Windows(rules, keep)
-        rows = ((i, *w) for frame in frames for i, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True) for w in made.of(t))
+        rows = ((i, *w) for frame in parts(frames) for i, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True) for w in made.of(t))
         return batches(rows, arrow)
 
     return texts.select(id_column, text_column).mapInArrow(run, f"id {kind}, key long, at int, slots array<long>")

@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import mix
+from panelcast.llm.common import mix, parts
 
 UNKNOWN = "und"
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -105,7 +105,7 @@ def document_frequencies(rows: DataFrame, text_column: str, settings: Settings)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(settings.dimensions, np.int64), 0
-        for frame in frames:
+        for frame in parts(frames):
             for text in frame.column(0).to_pylist():
                 if has_letter(text):
                     total += counts(text, settings) > 0
@@ -177,9 +177,10 @@ def predictor(model: Model) -> Callable[[Column], Column]:
     """A column function: text to struct(lang_pred, score, rejected)."""
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            yield pd.DataFrame(list(model.predict(texts.tolist())), columns=["lang_pred", "score", "rejected"])
+    def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in series:
+            found = (row for i in range(0, len(texts), 512) for row in model.predict(texts.iloc[i : i + 512].tolist()))
+            yield pd.DataFrame(list(found), columns=["lang_pred", "score", "rejected"])
 
     return predict
 

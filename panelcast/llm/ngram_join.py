@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.llm.buckets import LINKS, LINKS_ARROW, arrays, by_task, groups, likely_tasks, pair_rows, per_record, shared_counts, sides, sized, summary, unowned
-from panelcast.llm.common import WordHashes, batches, if_few, mix, shingles, signed, written
+from panelcast.llm.common import WordHashes, batches, if_few, mix, parts, shingles, signed, written
 
 _SKETCH = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _FULL = 2.0**64
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, join: Join) ->
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for frame in frames:
+        for frame in parts(frames):
             digest, n, bits, paths = [], [], [], []
             for text in frame.column(1).to_pylist():
                 t = np.unique(shingles(text, words, join.width))
@@ -103,7 +103,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for frame in frames:
+        for frame in parts(frames):
             sets = [np.unique(shingles(t, words, join.width)) for t in frame.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "tokens"])
 

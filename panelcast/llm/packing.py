@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from panelcast.llm.common import Memo, batches
+from panelcast.llm.common import Memo, batches, parts
 from panelcast.llm.token_counts import PIECES, Pieces, byte_symbols
 
 
@@ -155,7 +155,7 @@ def pack_documents(
     def pieces(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         encode = encoder()
         sequences = Sequences(size, TaskContext.get().partitionId() << 40)
-        for frame in frames:
+        for frame in parts(frames):
             for doc, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
                 ids = b"".join([*encode(text or ""), end])
                 total = len(ids) // 4

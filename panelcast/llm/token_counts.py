@@ -11,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from panelcast.llm.common import Memo
+from panelcast.llm.common import Memo, parts
 
 #: The pre-tokeniser of byte-level vocabularies.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,7 +101,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", te
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = MergeCounter(vocabulary)
-        for frame in frames:
+        for frame in parts(frames):
             texts = [t or "" for t in frame.column(1).to_pylist()]
             sizes = pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([frame.column(0), sizes, pa.array(map(counter.count, texts), pa.int64())], names=[id_column, "n_bytes", "n_tokens"])
