@@ -70,7 +70,7 @@ class Templates:
     """
 
     def __init__(self):
-        self.known = Memo(_known)
+        self.known = Memo(_known, 1 << 17)
 
     def read(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, places of the template's words among them, kind of each: 0 or 1 + its slot, hash of its value)."""

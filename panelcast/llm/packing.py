@@ -49,7 +49,7 @@ class TokenBytes:
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
         self.pieces = Pieces(list(self.special))
         encode = piece_encoder(path)
-        self.known = Memo(lambda piece: np.array(encode(piece), "<u4").tobytes())
+        self.known = Memo(lambda piece: np.array(encode(piece), "<u4").tobytes(), 1 << 18)
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of the whole text, a bounded part at a time."""
