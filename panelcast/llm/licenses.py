@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences, lower case, words only.
+#: Known licence sentences as ``SENTENCE_END`` parts the published texts, lower case, words only; also by lines
+#: where a copyright line without a full stop comes before, and whole where a text has no colon or semicolon.
 SENTENCES = {
     "mit-named": "released under the mit license",
     "mit-named-2": "licensed under the mit license",
@@ -17,18 +18,36 @@ SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "mit-grant-1": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-grant-line-1": "permission is hereby granted free of charge to any person obtaining a copy",
+    "mit-grant-line-2": "of this software and associated documentation files the software to deal",
+    "mit-grant-line-3": "in the software without restriction including without limitation the rights",
+    "mit-grant-line-4": "to use copy modify merge publish distribute sublicense and or sell",
+    "mit-grant-line-5": "copies of the software and to permit persons to whom the software is",
+    "mit-grant-line-6": "furnished to do so subject to the following conditions",
     "apache-named": "licensed under the apache license version 2 0",
     "apache-named-2": "this project is licensed under the apache license 2 0",
     "apache-named-3": "licensed under the apache license version 2 0 the license",
     "apache-comply": "you may not use this file except in compliance with the license",
     "apache-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "apache-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache-copy-as-is": "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    "apache-copy-as-is-2": "you may obtain a copy of the license at https www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-see": "see the license for the specific language governing permissions and limitations under the license",
     "gpl3-named": "this work is licensed under the gnu general public license version 3",
     "gpl3-named-2": "this program is licensed under the gnu general public license version 3",
     "gpl3-named-3": "licensed under the gnu general public license version 3",
     "gpl3-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-later": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl-free": "this program is free software",
+    "gpl-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl3-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl3-either": "either version 3 of the license or at your option any later version",
+    "gpl2-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl2-either": "either version 2 of the license or at your option any later version",
+    "gpl-hope-1": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-hope-2": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-see": "see the gnu general public license for more details",
     "cc-by-named": "licensed under cc by 4 0",
@@ -38,18 +57,41 @@ SENTENCES = {
     "cc-by-sa-long": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
     "cc-by-nc-long": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
     "bsd-terms": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-terms-line-1": "redistribution and use in source and binary forms with or without",
+    "bsd-terms-line-2": "modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
 
-#: Rules in order of trial; each is a licence and the identifiers that must follow one another.
+#: Rules in order of trial; each is a licence and the identifiers that must follow one another;
+#: ``-`` is one unknown sentence, such as the number of a clause.
 RULES = (
     ("MIT", ("mit-grant", "mit-as-is", "mit-liability")),
+    ("MIT", ("mit-grant-1", "mit-notice", "mit-as-is", "mit-liability")),
+    ("MIT", ("mit-grant-line-1", "mit-grant-line-2", "mit-grant-line-3", "mit-grant-line-4", "mit-grant-line-5", "mit-grant-line-6", "mit-notice", "mit-as-is", "mit-liability")),
+    ("Apache-2.0", ("apache-named-3", "apache-comply", "apache-copy-as-is", "apache-see")),
+    ("Apache-2.0", ("apache-named-3", "apache-comply", "apache-copy-as-is-2", "apache-see")),
+    ("Apache-2.0", ("apache-named", "apache-comply", "apache-copy-as-is", "apache-see")),
+    ("Apache-2.0", ("apache-named", "apache-comply", "apache-copy-as-is-2", "apache-see")),
     ("Apache-2.0", ("apache-named-3", "apache-comply", "apache-copy", "apache-as-is", "apache-see")),
     ("Apache-2.0", ("apache-named", "apache-comply", "apache-copy", "apache-as-is", "apache-see")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl3-terms", "gpl-hope-1", "gpl-hope-2", "gpl-see")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-terms", "gpl3-either", "gpl-hope-1", "gpl-hope-2", "gpl-see")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl2-terms", "gpl-hope-1", "gpl-hope-2", "gpl-see")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-terms", "gpl2-either", "gpl-hope-1", "gpl-hope-2", "gpl-see")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl3-terms")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-terms", "gpl3-either")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl2-terms")),
+    ("GPL-2.0-or-later", ("gpl-free", "gpl-terms", "gpl2-either")),
     ("GPL-3.0-or-later", ("gpl3-later", "gpl-hope", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl2-later", "gpl-hope", "gpl-see")),
+    ("BSD-3-Clause", ("bsd-terms", "-", "bsd-source", "-", "bsd-binary", "-", "bsd-endorse")),
+    ("BSD-3-Clause", ("bsd-terms-line-1", "bsd-terms-line-2", "-", "bsd-source", "-", "bsd-binary", "-", "bsd-endorse")),
+    ("BSD-3-Clause", ("bsd-terms-line-1", "bsd-terms-line-2", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-terms", "-", "bsd-source", "-", "bsd-binary")),
+    ("BSD-2-Clause", ("bsd-terms-line-1", "bsd-terms-line-2", "-", "bsd-source", "-", "bsd-binary")),
+    ("BSD-2-Clause", ("bsd-terms-line-1", "bsd-terms-line-2", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-terms", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-terms", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl3-later",)),
@@ -63,6 +105,7 @@ RULES = (
     ("MIT", ("mit-title-3",)),
     ("Apache-2.0", ("apache-named",)),
     ("Apache-2.0", ("apache-named-2",)),
+    ("Apache-2.0", ("apache-named-3",)),
     ("GPL-3.0", ("gpl3-named",)),
     ("GPL-3.0", ("gpl3-named-2",)),
     ("GPL-3.0", ("gpl3-named-3",)),
@@ -110,7 +153,7 @@ def scan_licences(
 
     ``licences``: sorted distinct licences whose rules match; ``n_matches``: matches of all rules; ``partial``:
     known sentences that no rule used, in order. Rules are tried in their order and use up the sentences they
-    match; an unknown sentence in between breaks a match. The two tables are parameters of fixed size. A null
+    match; an unknown sentence in between breaks a match, unless a rule has it as ``-``. The two tables are parameters of fixed size. A null
     or empty text has no licences; repeated rows give repeated results; other columns are not read. All work
     is in built-in functions of one scan without a shuffle.
     """
