@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -147,28 +148,59 @@ def windows(texts: DataFrame, id_column: str, text_column: str, rules: Rules, ke
     return texts.select(id_column, text_column).mapInArrow(run, f"id {kind}, key long, at int, slots array<long>")
 
 
-def _evidence(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _chains(hits: list, drift: int) -> Iterator[list]:
+    """Hits that may form one occurrence: those of each distance between item and text, and the longest run, increasing
+    in both, over neighbouring distances, as words put in or left out shift the rest.
+    """
+    by: dict[int, list] = {}
+    for h in hits:
+        by.setdefault(h["here"] - h["there"], []).append(h)
+    yield from by.values()
+    near: list[list[int]] = []
+    for shift in sorted(by):
+        if near and shift - near[-1][-1] <= drift:
+            near[-1].append(shift)
+        else:
+            near.append([shift])
+    for shifts in near:
+        if len(shifts) < 2:
+            continue
+        run = sorted((h for x in shifts for h in by[x]), key=lambda h: (h["there"], -h["here"]))
+        ends, tails, before = [], [], [-1] * len(run)
+        for i, h in enumerate(run):
+            k = bisect_left(ends, h["here"])
+            before[i] = tails[k - 1] if k else -1
+            ends[k : k + 1], tails[k : k + 1] = [h["here"]], [i]
+        chain, i = [], tails[-1]
+        while i >= 0:
+            chain.append(run[i])
+            i = before[i]
+        yield chain
+
+
+def _evidence(rules: Rules):
     """Of the hits of an item in a text: distinct item windows, slots, and slots that keep to one value.
 
-    Hits with the same distance between item and text form one occurrence; the best one counts.
+    The best occurrence counts: one whose slots keep to their values before others, then the one with most windows.
     """
-    for column in parts:
-        out = []
-        for hits in column:
-            by: dict[int, list] = {}
-            for h in hits:
-                by.setdefault(h["here"] - h["there"], []).append(h)
-            best = (0, 0, 0)
-            for run in by.values():
-                pairs = {(a, b) for h in run for a, b in zip(h["theirs"], h["own"], strict=True)}
-                left, right = {}, {}
-                for a, b in pairs:
-                    left.setdefault(a, set()).add(b)
-                    right.setdefault(b, set()).add(a)
-                good = sum(len(left[a]) == 1 and len(right[b]) == 1 for a, b in pairs)
-                best = max(best, (len({h["there"] for h in run}), good - len(pairs), len(pairs)))
-            out.append((best[0], best[2], best[2] + best[1]))
-        yield pd.DataFrame(out, columns=["windows", "slots", "consistent"])
+
+    def rate(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for column in parts:
+            out = []
+            for hits in column:
+                best = (False, 0, 0, 0)
+                for run in _chains(hits, rules.window):
+                    pairs = {(a, b) for h in run for a, b in zip(h["theirs"], h["own"], strict=True)}
+                    left, right = {}, {}
+                    for a, b in pairs:
+                        left.setdefault(a, set()).add(b)
+                        right.setdefault(b, set()).add(a)
+                    good = sum(len(left[a]) == 1 and len(right[b]) == 1 for a, b in pairs)
+                    best = max(best, (good >= rules.consistency * len(pairs), len({h["there"] for h in run}), good - len(pairs), len(pairs)))
+                out.append((best[1], best[3], best[3] + best[2]))
+            yield pd.DataFrame(out, columns=["windows", "slots", "consistent"])
+
+    return rate
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rules: Rules = Rules(), id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -189,7 +221,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rules: Rules = Rules(), id_c
     sizes = known.groupBy("id").agg(F.count("*").alias("total")).withColumnRenamed("id", "item")
     hits = found.join(theirs, "key").where(F.size("slots") == F.size("theirs"))
     runs = hits.groupBy("id", "item").agg(F.collect_list(F.struct(F.col("at").alias("here"), "there", F.col("slots").alias("own"), "theirs")).alias("hits"))
-    evidence = F.pandas_udf(_evidence, "windows int, slots int, consistent int")
+    evidence = F.pandas_udf(_evidence(rules), "windows int, slots int, consistent int")
     rated = runs.select("id", "item", evidence("hits").alias("e")).join(sizes, "item").select(
         F.col("id").alias(id_column),
         F.col("item").alias(item_column),

@@ -31,6 +31,14 @@ def test_exact_and_changed_questions(spark):
     assert set(run(spark, docs, items, Rules(most_keys=0))) == set(made)
 
 
+def test_a_word_put_in_or_left_out(spark):
+    rng = random.Random(4)
+    words = sentence(rng, 40).split()
+    docs = [(1, " ".join([*words[:20], "extra", *words[20:]])), (2, " ".join([*words[:20], *words[21:]])), (3, " ".join(words[20:] + words[:20]))]
+    made = run(spark, docs, [(9, " ".join(words))], Rules(coverage=0.7))
+    assert set(made) == {(1, 9), (2, 9)} and made[(1, 9)].windows == 26
+
+
 def test_edges(spark):
     rng = random.Random(3)
     item = sentence(rng, 30)
