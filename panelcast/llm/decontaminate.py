@@ -28,6 +28,7 @@ TOKEN = re.compile(r"\d(?:[\d.,]*\d)?|[^\W\d]+|[%$€£]|[.!?\n]")
 SLOTS = ("<num>", "<unit>", "<name>")
 _END, _NUMBER, _UNIT, _SIGN, _NAME = (np.uint64(1 << i) for i in range(5))
 _FLAGS = np.uint64(63)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,10 @@ class Templates:
 
     def read(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, places of the template's words among them, kind of each: 0 or 1 + its slot, hash of its value)."""
+        return self.readings(text)[:4]
+
+    def readings(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``read``, which words of the template could be a name, and which of them are the first of a sentence."""
         tokens = TOKEN.findall(text or "")
         v = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
         end = (v & _END) > 0
@@ -89,8 +94,9 @@ class Templates:
             kind[named & np.isin(v, np.unique(v[inside]))] = 3
         kind[after & ((v & _UNIT) > 0)] = 2
         kind[number] = 1
+        named &= (kind == 0) | (kind == 3)
         use = (kind > 0) | ((v & _SIGN) == 0)
-        return tokens, at[use], kind[use], (v & ~_FLAGS)[use]
+        return tokens, at[use], kind[use], (v & ~_FLAGS)[use], named[use], (named & first)[use]
 
 
 def template(text: str | None) -> list[str]:
@@ -101,51 +107,84 @@ def template(text: str | None) -> list[str]:
 class Windows:
     """Hashed template windows of texts; only those with a key in the sorted ``keep`` if given."""
 
-    def __init__(self, rules: Rules, keep: np.ndarray | None = None):
-        self.rules, self.keep, self.templates = rules, keep, Templates()
+    def __init__(self, rules: Rules, keep: np.ndarray | None = None, sizes: frozenset[int] | None = None):
+        self.rules, self.keep, self.sizes, self.templates = rules, keep, sizes, Templates()
         if keep is not None:
             self.likely = np.zeros(1 << 20, bool)
             self.likely[keep >> np.uint64(44)] = True
 
-    def of(self, text: str | None) -> Iterator[tuple[int, int, list[int]]]:
-        """(key, first word, hashed slot values) of each window with enough literal words.
+    def of(self, text: str | None) -> Iterator[tuple[int, int, int, list[int]]]:
+        """(key, first word, words, hashed slot values) of each window with enough literal words.
 
-        A text with fewer words than a window is one window.
+        A text with fewer words than a window is one window. With ``sizes``, those of short items: windows of each
+        size that the text has words for, and each in all readings: a capitalised word is a word or a name if it is the
+        first of a sentence, or of the window, where an item may begin.
         """
-        _, _, kind, values = self.templates.read(text)
-        size = min(self.rules.window, len(kind))
-        if not size:
+        _, _, kind, values, named, first = self.templates.readings(text)
+        if self.sizes is None:
+            if size := min(self.rules.window, len(kind)):
+                yield from self._sized(kind, values, size, np.zeros(len(kind), bool), np.zeros(len(kind), bool))
             return
-        slot = kind > 0
-        h = np.where(slot, kind.astype(np.uint64), values)
-        keys = np.full(len(h) - size + 1, size, np.uint64)
-        for i in range(size):
-            keys = keys * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i]
-        keys = mix(keys)
-        sums = np.concatenate([[0], np.cumsum(slot)])
-        use = size - (sums[size:] - sums[:-size]) >= min(self.rules.literals, size)
-        if self.keep is not None:
-            use = np.flatnonzero(use & self.likely[keys >> np.uint64(44)])
-            if len(use):
-                at = np.minimum(np.searchsorted(self.keep, keys[use]), len(self.keep) - 1)
-                use = use[self.keep[at] == keys[use]]
-        else:
-            use = np.flatnonzero(use)
-        for i, key in zip(use.tolist(), signed(keys[use]), strict=True):
-            yield key, i, signed(values[i : i + size][slot[i : i + size]])
+        for size in sorted({self.rules.window, *self.sizes}):
+            if size == len(kind) or size == self.rules.window < len(kind):
+                yield from self._sized(kind, values, size, named, first)
 
-
-def windows(texts: DataFrame, id_column: str, text_column: str, rules: Rules, keep: np.ndarray | None = None) -> DataFrame:
-    """(id, key, at, slots) of all template windows of ``texts``, or of those with a key in the sorted ``keep``."""
+    def _sized(self, kind: np.ndarray, values: np.ndarray, size: int, named: np.ndarray, first: np.ndarray, step: int = 4096) -> Iterator[tuple[int, int, int, list[int]]]:
+        slot = kind > 0
+        h = np.where(slot & ~first, kind.astype(np.uint64), values)
+        change = np.uint64(3) - values
+        for start in range(0, len(h) - size + 1, step):
+            n = min(step, len(h) - size + 1 - start)
+            keys, literal = np.full(n, size, np.uint64), np.zeros(n, np.int64)
+            at, names = np.arange(start, start + n), np.zeros(n, np.int64)
+            for i in range(size):
+                own = slice(start + i, start + i + n)
+                either = named[own] if i == 0 else first[own]
+                word = either | ~slot[own]
+                keys = keys * _BASE + (np.where(either, values[own], h[own]) if i == 0 else h[own])
+                literal += word
+            least = min(self.rules.literals, size)
+            many = np.concatenate([[0], np.cumsum(first[start : start + n + size - 1])])
+            several = np.flatnonzero(((many[size:] > many[:-size]) | named[at]) & (literal > least))
+            use = np.flatnonzero(literal >= least)
+            made = [(keys[use], names[use], at[use])]
+            keys, literal, names, at = keys[several], literal[several], names[several], at[several]
+            for i in range(size if len(several) else 0):
+                more = np.flatnonzero((named if i == 0 else first)[at + i] & (literal > least))
+                if not len(more):
+                    continue
+                power = np.uint64(pow(int(_BASE), size - 1 - i, 1 << 64))
+                new = keys[more] + change[at[more] + i] * power, names[more] | 1 << i, at[more]
+                made.append(new)
+                literal = np.concatenate([literal, literal[more] - 1])
+                keys, names, at = (np.concatenate(c) for c in zip((keys, names, at), new, strict=True))
+            keys, names, at = (np.concatenate(c) for c in zip(*made, strict=True))
+            keys = mix(keys)
+            if self.keep is not None:
+                use = np.flatnonzero(self.likely[keys >> np.uint64(44)])
+                if len(use):
+                    near = np.minimum(np.searchsorted(self.keep, keys[use]), len(self.keep) - 1)
+                    use = use[self.keep[near] == keys[use]]
+                keys, names, at = keys[use], names[use], at[use]
+            for i, key, mask in zip(at.tolist(), signed(keys), names.tolist(), strict=True):
+                slots = [k for k in range(i, i + size) if mask >> (k - i) & 1 or (slot[k] and not (named if k == i else first)[k])]
+                yield key, i, size, signed(values[slots])
+
+
+def windows(texts: DataFrame, id_column: str, text_column: str, rules: Rules, keep: np.ndarray | None = None, sizes: frozenset[int] | None = None) -> DataFrame:
+    """(id, key, at, size, slots) of all template windows of ``texts``, or of those with a key in the sorted ``keep``.
+
+    With ``sizes``, of texts that may hold items of these sizes, in all readings.
+    """
     kind = texts.schema[id_column].dataType.simpleString()
-    arrow = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("key", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.int64()))])
+    arrow = pa.schema([("id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]), ("key", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.int64()))])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Windows(rules, keep)
+        made = Windows(rules, keep, sizes)
         rows = ((i, *w) for frame in parts(frames) for i, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True) for w in made.of(t))
         return batches(rows, arrow)
 
-    return texts.select(id_column, text_column).mapInArrow(run, f"id {kind}, key long, at int, slots array<long>")
+    return texts.select(id_column, text_column).mapInArrow(run, f"id {kind}, key long, at int, size int, slots array<long>")
 
 
 def _chains(hits: list, drift: int) -> Iterator[list]:
@@ -216,7 +255,8 @@ def contaminated(docs: DataFrame, items: DataFrame, rules: Rules = Rules(), id_c
     keep = None
     if keys.limit(rules.most_keys + 1).count() <= rules.most_keys:
         keep = np.sort(np.array([r.key for r in keys.collect()], np.int64).view(np.uint64))
-    found = windows(docs.where(F.col(id_column).isNotNull()), id_column, text_column, rules, keep)
+    sizes = frozenset(r[0] for r in known.select("size").distinct().collect())
+    found = windows(docs.where(F.col(id_column).isNotNull()), id_column, text_column, rules, keep, sizes)
     theirs = known.select(F.col("id").alias("item"), "key", F.col("at").alias("there"), F.col("slots").alias("theirs"))
     sizes = known.groupBy("id").agg(F.count("*").alias("total")).withColumnRenamed("id", "item")
     hits = found.join(theirs, "key").where(F.size("slots") == F.size("theirs"))

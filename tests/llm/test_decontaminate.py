@@ -39,6 +39,16 @@ def test_a_word_put_in_or_left_out(spark):
     assert set(made) == {(1, 9), (2, 9)} and made[(1, 9)].windows == 26
 
 
+def test_an_exact_copy_is_found_whatever_surrounds_it(spark):
+    rng = random.Random(5)
+    item = "The farmer carried corn to market on foot. How many sacks could the old mule carry home. Barley was sold beside the church every week."
+    title = "Why The Barley Crop Failed And How The Farmer Lived"
+    docs = [(1, sentence(rng, 40) + ". As Told: " + title + "\n" + sentence(rng, 30) + ". " + item + " " + sentence(rng, 30)), (2, title)]
+    made = run(spark, docs, [(7, item)])
+    assert set(made) == {(1, 7)} and made[(1, 7)].coverage == 1.0
+    assert set(run(spark, docs, [(7, item)], Rules(most_keys=0))) == {(1, 7)}
+
+
 def test_edges(spark):
     rng = random.Random(3)
     item = sentence(rng, 30)
