@@ -126,7 +126,8 @@ class Windows:
                 yield from self._sized(kind, values, size, np.zeros(len(kind), bool), np.zeros(len(kind), bool))
             return
         for size in sorted({self.rules.window, *self.sizes}):
-            if size == len(kind) or size == self.rules.window < len(kind):
+            # shorter items could be anywhere: they are found as the whole text only
+            if size == len(kind) or self.rules.literals <= size < len(kind):
                 yield from self._sized(kind, values, size, named, first)
 
     def _sized(self, kind: np.ndarray, values: np.ndarray, size: int, named: np.ndarray, first: np.ndarray, step: int = 4096) -> Iterator[tuple[int, int, int, list[int]]]:
@@ -247,7 +248,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rules: Rules = Rules(), id_c
 
     Coverage is the share of the item's windows found in one occurrence; consistency the share of its distinct
     (item value, text value) pairs that match one to one, 1 without slots. Items without a window (no text, or
-    too few literal words) are never found. Null texts hold nothing; rows with a null id are left out, as they
+    too few literal words) are never found; items of fewer words than ``literals`` only as the whole text. Null texts hold nothing; rows with a null id are left out, as they
     cannot be named; repeated rows give one result per (id, item). Other columns are not read.
     """
     known = written(windows(items, item_column, item_text, rules).where("id is not null").dropDuplicates(["id", "at"]), "item-windows")

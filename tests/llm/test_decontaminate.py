@@ -49,6 +49,13 @@ def test_an_exact_copy_is_found_whatever_surrounds_it(spark):
     assert set(run(spark, docs, [(7, item)], Rules(most_keys=0))) == {(1, 7)}
 
 
+def test_short_items_within_longer_texts(spark):
+    rng = random.Random(6)
+    docs = [(1, sentence(rng, 40) + ". Who painted the night watch? " + sentence(rng, 40)), (2, "who painted the"), (3, sentence(rng, 60) + " two words")]
+    items = [(1, "Who painted the night watch?"), (2, "two words"), (3, "Who painted the")]
+    assert set(run(spark, docs, items)) == {(1, 1), (2, 3)}
+
+
 def test_edges(spark):
     rng = random.Random(3)
     item = sentence(rng, 30)
