@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import cap_filters, decontaminate, html_text, language, licenses, line_windows, ngram_join, packing, passages, token_counts
+from panelcast.llm import cap_filters, decontaminate, html_text, language, licenses, line_windows, ngram_join, packing, passages, periodic_runs, token_counts
 from panelcast.llm.common import table
 from panelcast.plans.catalogue import Query
 
@@ -146,3 +146,38 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_with_vocabulary(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY), SEQUENCE)
+
+
+def repeated_block(doc_id: str, text: str) -> Column:
+    """``text``, in a tenth of the documents with its words from a place on replaced by repeats of the first few of them.
+
+    With h the checksum of the id and g = h // 10, documents with h % 10 = 0 keep n words but repeat, from word g % n
+    on, a block of 1 + (rest // (3 + g % 8)) words. A null id plants nothing.
+    """
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        block = F.slice(w, a + 1, p)
+        rest = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a), rest), " ")
+
+    planted = F.get(F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), repeated), F.lit(0))
+    return F.when(h % 10 == 0, F.coalesce(planted, F.lit(""))).otherwise(F.col(text))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of 24 words or more and three periods or more in every document, planted ones included, as digests and the one repeated most."""
+    docs = table(spark, folder, "documents")
+    found = periodic_runs.find_runs(docs.select("doc_id", repeated_block("doc_id", "text").alias("text")))
+    first = F.get("runs", F.lit(0))
+    best = F.aggregate("runs", first, lambda b, r: F.when(r.length * b.period > b.length * r.period, r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )

@@ -13,6 +13,9 @@ COLUMNS = {
     "op7": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
     "op9": {"page_id": "bigint", "url": "string", "text": "string", "n_chars": "bigint"},
     "op10": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op11": dict.fromkeys(("doc_id", "n_runs", "start", "length", "period", "exponent_milli"), "bigint") | {"runs_sha256": "string", "collapsed_sha256": "string"},
+    "op12": dict.fromkeys(("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), "bigint") | {"groups_sha256": "string"},
+    "op13": dict.fromkeys(("doc_id", "n_assign", "n_access", "n_hex"), "bigint") | {"base_sha256": "string", "spans": "string"},
 }
 
 
@@ -26,7 +29,7 @@ def sql():
 
 def test_all_are_registered():
     names = [n.split("_")[0] for n in driver.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in driver.queries()
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14)) and "pipeline" in driver.queries()
     assert set(CHECKS) <= set(driver.oracle_sql())
 
 
