@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import cap_filters, decontaminate, html_text, language, licenses, line_windows, ngram_join, packing, passages, periodic_runs, token_counts
+from panelcast.llm import cap_filters, decontaminate, html_text, language, licenses, line_windows, ngram_join, packing, passages, periodic_runs, secrets, token_counts
 from panelcast.llm.common import table
 from panelcast.plans.catalogue import Query
 
@@ -181,3 +181,21 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
         "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
     )
+
+
+@query("op13_secret_scan")
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base patterns, and all spans, those of literals with sensitive names included."""
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+
+    def spans(column: str | Column) -> Column:
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s.kind == kind)).cast("long")
+
+    base = F.filter("found", lambda s: s.kind != "literal")
+    return found.select(
+        "doc_id", counted("assign").alias("n_assign"), counted("access").alias("n_access"), counted("hex").alias("n_hex"),
+        F.sha2(spans(base), 256).alias("base_sha256"), spans("found").alias("spans"), counted("literal").alias("n_literal"),
+    )
