@@ -6,13 +6,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import cap_filters, decontaminate, html_text, language, licenses, line_windows, ngram_join, packing, passages, periodic_runs, secrets, token_counts
+from panelcast.llm import alignment, cap_filters, decontaminate, html_text, language, licenses, line_windows, ngram_join, packing, passages, periodic_runs, secrets, token_counts
 from panelcast.llm.common import table
 from panelcast.plans.catalogue import Query
 
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 TOKEN_LIMIT = 512
 SEQUENCE = 1024
 
@@ -183,6 +183,16 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Alignment of every document under a byte-level and a sentencepiece vocabulary, with corpus-wide counts of its links."""
+    docs = table(spark, folder, "documents")
+    aligned = alignment.align(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECE_MODEL))
+    ids = lambda side: F.array_join(side.cast("array<string>"), ",")
+    text = F.array_join(F.transform("groups", lambda g: F.concat(ids(g.a), F.lit("|"), ids(g.b))), ";")
+    return aligned.per_document("doc_id", "text", {"groups_sha256": F.when(F.size("groups") > 0, F.sha2(text, 256)).otherwise(F.lit(""))})
+
+
 @query("op13_secret_scan")
 def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document: counts and digest of the base patterns, and all spans, those of literals with sensitive names included."""
