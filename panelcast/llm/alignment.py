@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,9 +19,11 @@ from panelcast.llm.common import FEW_ROWS, parts
 from panelcast.llm.token_counts import PIECES, byte_symbols
 from panelcast.sources.shared import written
 
-#: A single space between ASCII letters: no token of either kind reaches over the place before it.
+#: A single space between ASCII letters: pre-tokens begin there.
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-PART, CHUNK, MOST_PAIRS = 1 << 18, 1 << 20, 1 << 22
+PART, CHUNK, MOST_PAIRS, WIDE = 1 << 18, 1 << 20, 1 << 22, 64
+#: Ids of both vocabularies stay below 2 to this power.
+ID_BITS = 24
 
 
 class Bytes:
@@ -62,8 +63,9 @@ class ByteLevel:
             ranks = {as_bytes[i]: i for i in {*order, *(ids[c] for c in symbols)}}
             self.fast = tiktoken.Encoding("whole", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self._one(t) for t in texts]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian 32-bit values."""
+        return [b"".join(np.array(self._one(part), "<i4").tobytes() for part in stretches(t)) for t in texts]
 
     def _one(self, text: str) -> list[int]:
         if self.fast:
@@ -75,21 +77,41 @@ class ByteLevel:
 
 
 class SentencePieces:
-    """A sentencepiece model file; a piece in UTF-8 with U+2581 as a space, <0xHH> as a byte."""
+    """A sentencepiece model file; a piece in UTF-8 with U+2581 as a space, <0xHH> as a byte.
 
-    def __init__(self, path: str):
+    Where no piece has a space after another character, a text is encoded by units, a run of spaces and what follows
+    up to the next; each distinct short unit is encoded once.
+    """
+
+    UNIT = re.compile(r" +[^ ]*|[^ ]+")
+
+    def __init__(self, path: str, most: int = 1 << 18, short: int = 64):
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.bytes = Bytes([bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
-        #: Whether texts may be cut before a space.
-        self.leading = not any("▁" in p.lstrip("▁") for p in pieces)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
+        self.by_unit = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.known, self.most, self.short = {}, most, short
+
+    def _raw(self, units: list[str]) -> list[bytes]:
+        """Ids of texts that begin with the space that the library adds itself."""
+        return [np.array(ids, "<i4").tobytes() for ids in self.library.encode([u[1:] for u in units], num_threads=1)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_unit:
+            return self._raw(texts)
+        cut = [self.UNIT.findall(t) for t in texts]
+        new = [u for u in set().union(*cut) if u not in self.known]
+        if len(self.known) + len(new) > self.most:
+            self.known = {}
+            new = list(set().union(*cut))
+        made = dict(zip(new, self._raw(new), strict=True))
+        self.known.update((u, ids) for u, ids in made.items() if len(u) <= self.short)
+        both = self.known | made if any(len(u) > self.short for u in new) else self.known
+        return [b"".join(map(both.__getitem__, units)) for units in cut]
 
 
 def stretches(text: str, most: int = PART) -> list[str]:
-    """``text`` in parts of about ``most`` characters, cut only where no token of either kind can reach over."""
+    """``text`` in parts of about ``most`` characters, cut only where no byte-level token can reach over."""
     out, start = [], 0
     while len(text) - start > most and (found := _CUT.search(text, start + most)):
         out.append(text[start : found.start()])
@@ -108,36 +130,34 @@ class Groups:
     of_text: np.ndarray
 
 
+Measure = Callable[[Groups], list[str]]
+
+
 class Aligner:
     def __init__(self, byte_level: str, pieces: str):
         self.a, self.b = ByteLevel(byte_level), SentencePieces(pieces)
-
-    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        cut = [stretches(" " + t) if self.b.leading else [" " + t] for t in texts]
-        flat = [p for own in cut for p in own]
-        found = self.a.encode(flat), self.b.encode([p[1:] for p in flat])
-        if len(flat) == len(texts):
-            return found
-        ends = np.cumsum([len(own) for own in cut]).tolist()
-        return tuple([[i for p in made[e - len(own) : e] for i in p] for own, e in zip(cut, ends, strict=True)] for made in found)
+        if max(len(self.a.bytes.sizes), len(self.b.bytes.sizes)) > 1 << ID_BITS:
+            raise ValueError("vocabularies of this size are not supported")
 
     def groups(self, texts: list[str]) -> Groups:
         """Groups between the byte offsets where tokens of both kinds end; a text whose bytes either side changes has none."""
-        raw = [b" " + t.encode("utf-8", "replace") for t in texts]
+        spaced = [" " + t for t in texts]
+        raw = [t.encode("utf-8", "replace") for t in spaced]
         size = np.array([len(r) for r in raw], np.int64)
-        good, both = size > 1, []
-        for ids, kind in zip(self._ids(texts), (self.a, self.b), strict=True):
-            own = np.repeat(np.arange(len(texts)), [len(i) for i in ids])
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, len(own))
+        good, found = size > 1, []
+        for kind in (self.a, self.b):
+            ids = kind.encode(spaced)
+            own = np.repeat(np.arange(len(texts)), [len(i) // 4 for i in ids])
+            flat = np.frombuffer(b"".join(ids), "<i4").astype(np.int64)
             good &= np.bincount(own, kind.bytes.sizes[flat], len(texts)) == size
-            both.append((flat, own, kind))
-        for flat, own, kind in both:
+            found.append((flat, own, kind))
+        for flat, own, kind in found:
             kept = np.flatnonzero(good)
             differ = kind.bytes.at(flat[good[own]]) != np.frombuffer(b"".join(raw[k] for k in kept), np.uint8)
             good[np.repeat(kept, size[kept])[differ]] = False
         kept = np.flatnonzero(good)
-        both = [flat[good[own]] for flat, own, _ in both]
-        ends = [np.cumsum(kind.bytes.sizes[flat]) for kind, flat in zip((self.a, self.b), both, strict=True)]
+        both = [flat[good[own]] for flat, own, _ in found]
+        ends = [np.cumsum(kind.bytes.sizes[flat]) for flat, kind in zip(both, (self.a, self.b), strict=True)]
         marks = np.zeros((2, int(size[kept].sum()) + 1), bool)
         for mark, end in zip(marks, ends, strict=True):
             mark[end] = True
@@ -160,11 +180,16 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
-GROUP = pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+IDS = ("a", "b", "shape")
 
 
-def align_texts(texts: DataFrame, byte_level: str, pieces: str) -> DataFrame:
-    """``texts`` (key, text, copies) with ``groups``, the aligned token ids of each text, in place of the text."""
+def align_texts(texts: DataFrame, byte_level: str, pieces: str, measures: Mapping[str, Measure]) -> DataFrame:
+    """``texts`` (key, text, copies) with counts, ``measures`` and the aligned ids in place of the text.
+
+    ``a`` and ``b`` are ids and ``shape`` the numbers of both in each group, as little-endian 32-bit values: columns of
+    bytes pass between Spark and Python whole.
+    """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(byte_level, pieces)
@@ -172,57 +197,83 @@ def align_texts(texts: DataFrame, byte_level: str, pieces: str) -> DataFrame:
             at = 0
             for held in _chunks(frame.column(1).to_pylist()):
                 g = aligner.groups(held)
-                lists = [pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(ids, pa.int32())) for of, ids in ((g.a_of, g.a), (g.b_of, g.b))]
-                made = pa.ListArray.from_arrays(pa.array(g.of_text, pa.int32()), pa.StructArray.from_arrays(lists, fields=list(GROUP)))
+                na, nb = np.diff(g.a_of), np.diff(g.b_of)
+                before = np.append(0, np.cumsum(na * nb))
+                counts = [np.diff(x) for x in (g.a_of[g.of_text], g.b_of[g.of_text], g.of_text, before[g.of_text])]
+                shape = np.column_stack([na, nb]).astype("<i4")
+                cut = [(ids.astype("<i4"), of[g.of_text].tolist()) for ids, of in ((g.a, g.a_of), (g.b, g.b_of), (shape, np.arange(len(shape) + 1)))]
+                made = [pa.array([ids[s:e].tobytes() for s, e in zip(of, of[1:], strict=False)], pa.binary()) for ids, of in cut]
                 rows = frame.slice(at, len(held))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), made], names=["key", "copies", "groups"])
+                own = [pa.array(m(g), pa.string()) for m in measures.values()]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *map(pa.array, counts), *own, *made], names=["key", "copies", *COUNTS, *measures, *IDS])
                 at += len(held)
 
-    return texts.select("key", "text", "copies").mapInArrow(run, "key string, copies long, groups array<struct<a: array<int>, b: array<int>>>")
+    schema = ["key string", "copies long", *(f"{c} long" for c in COUNTS), *(f"`{m}` string" for m in measures), *(f"{c} binary" for c in IDS)]
+    return texts.select("key", "text", "copies").mapInArrow(run, ", ".join(schema))
+
 
+def _ints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of 32-bit values, and how many each row has."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view("<i4") if data else np.empty(0, "<i4")
+    return flat.astype(np.int64), np.diff(offsets) // 4
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
 
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. of each stretch, one stretch after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
-def linked_pairs(column: pa.Array, most: int = MOST_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, pair, links) of the id pairs linked in each row of a ``groups`` column; a pair is a << 32 | b, once per row.
 
-    Ids are counted within their group first, so a group costs its distinct ids and not its occurrences; rows with more
-    than ``most`` pairs come in shares of the first id.
+def linked_pairs(a: pa.Array, b: pa.Array, shape: pa.Array, most: int = MOST_PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, pair, links) of the id pairs linked in each row; a pair is a << 24 | b, once per row.
+
+    In groups of many links the ids are counted first, so such a group costs its distinct ids and not its occurrences;
+    rows with more than ``most`` links come in shares of the first id.
     """
-    groups = column.flatten()
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    row_of = np.repeat(np.arange(len(column)), sizes)
-    counted = []
-    for name in ("a", "b"):
-        lists = groups.field(name)
-        where = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-        keys, n = _counted(where << 32 | lists.flatten().to_numpy(zero_copy_only=False))
-        counted.append((keys >> 32, keys & 0xFFFFFFFF, n))
-    (ga, a, na), (gb, b, nb) = counted
-    many = np.bincount(gb, minlength=len(groups))
-    first = np.cumsum(many) - many
-    width = many[ga]
-    rows = row_of[ga]
-    total = np.bincount(rows, width, len(column))
-    begin = np.searchsorted(rows, np.arange(len(column) + 1))
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(np.cumsum(total[at:]), most, "right")) + at)
-        shares = int(-(-total[at] // most)) if to == at + 1 else 1
-        span = np.arange(begin[at], begin[to])
-        for share in range(max(shares, 1)):
-            chosen = span[a[span] % shares == share] if shares > 1 else span
-            w = width[chosen]
-            left = np.repeat(chosen, w)
-            right = np.arange(len(left)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(first[ga[chosen]], w)
-            row, pair, n = rows[left], a[left] << 32 | b[right], na[left] * nb[right]
-            order = np.lexsort((pair, row))
-            row, pair, n = row[order], pair[order], n[order]
-            fresh = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (pair[1:] != pair[:-1]))) if len(row) else np.empty(0, np.int64)
-            if len(fresh):
-                yield row[fresh], pair[fresh], np.add.reduceat(n, fresh)
+    (ids_a, _), (ids_b, _), (sizes, per_row) = _ints(a), _ints(b), _ints(shape)
+    na, nb = (np.ascontiguousarray(c) for c in sizes.reshape(-1, 2).T)
+    group_ends = np.append(0, np.cumsum(per_row // 2))
+    row_of = np.repeat(np.arange(len(per_row)), per_row // 2)
+    sides = [[ids, None, np.cumsum(n) - n, n.copy()] for ids, n in ((ids_a, na), (ids_b, nb))]
+    if len(wide := np.flatnonzero(na * nb > WIDE)):
+        for side in sides:
+            ids, _, start, n = side
+            counted = [np.unique(ids[start[g] : start[g] + n[g]], return_counts=True) for g in wide.tolist()]
+            side[0] = np.concatenate([ids, *(u for u, _ in counted)])
+            side[1] = np.concatenate([np.ones(len(ids), np.int64), *(c for _, c in counted)])
+            n[wide] = [len(u) for u, _ in counted]
+            start[wide] = len(ids) + np.cumsum(n[wide]) - n[wide]
+    (ids_a, times_a, start_a, na), (ids_b, times_b, start_b, nb) = sides
+    before = np.append(0, np.cumsum(na * nb))[group_ends]
+    at, last = 0, len(per_row)
+    while at < last:
+        to = max(at + 1, int(np.searchsorted(before, before[at] + most, "right")) - 1)
+        shares = max(1, -(-int(before[at + 1] - before[at]) // most)) if to == at + 1 else 1
+        groups = np.arange(group_ends[at], group_ends[to])
+        tokens, group = _places(start_a[groups], na[groups]), np.repeat(groups, na[groups])
+        for share in range(shares):
+            if shares > 1:
+                mine = ids_a[tokens] % shares == share
+                own, of = tokens[mine], group[mine]
+            else:
+                own, of = tokens, group
+            width = nb[of]
+            left, right = np.repeat((row_of[of] << 2 * ID_BITS) | (ids_a[own] << ID_BITS), width), _places(start_b[of], width)
+            keys = left | ids_b[right]
+            if not len(keys):
+                continue
+            if times_a is None:
+                keys.sort()
+                fresh = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                n = np.diff(np.append(fresh, len(keys)))
+            else:
+                order = np.argsort(keys)
+                keys = keys[order]
+                fresh = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                n = np.add.reduceat((np.repeat(times_a[own], width) * times_b[right])[order], fresh)
+            keys = keys[fresh]
+            yield keys >> 2 * ID_BITS, keys & ((1 << 2 * ID_BITS) - 1), n
         at = to
 
 
@@ -233,14 +284,15 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
         pairs, sums, size = [], [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate(pairs), return_inverse=True)
-            out = np.zeros(len(keys), np.int64)
-            np.add.at(out, at, np.concatenate(sums))
-            return keys, out
+            keys = np.concatenate(pairs)
+            order = np.argsort(keys)
+            keys = keys[order]
+            fresh = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            return keys[fresh], np.add.reduceat(np.concatenate(sums)[order], fresh)
 
         for frame in parts(frames, 256):
             copies = frame.column(0).to_numpy()
-            for row, pair, _ in linked_pairs(frame.column(1)):
+            for row, pair, _ in linked_pairs(*frame.columns[1:]):
                 pairs.append(pair)
                 sums.append(copies[row])
                 size += len(pair)
@@ -254,14 +306,14 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
             keys, out = merged()
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(out)], names=["pair", "n"])
 
-    return aligned.select("copies", "groups").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("count"))
+    return aligned.select("copies", *IDS).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("count"))
 
 
 @dataclass(frozen=True)
 class Alignment:
-    """``texts`` (text_id, key, copies, groups) and ``pairs`` (pair, count, best), both written.
+    """``texts`` (text_id, key, copies, counts, measures, ids) and ``pairs`` (pair, count, best), both written.
 
-    ``pair`` is a << 32 | b; ``count`` the documents that hold it linked; ``best`` whether no pair of the same a counts more.
+    ``pair`` is a << 24 | b; ``count`` the documents that hold it linked; ``best`` whether no pair of the same a counts more.
     """
 
     docs: DataFrame
@@ -278,12 +330,12 @@ class Alignment:
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for frame in parts(frames, 256):
                 ids = frame.column(0).to_numpy()
-                for row, pair, n in linked_pairs(frame.column(1)):
+                for row, pair, n in linked_pairs(*frame.columns[1:]):
                     for i in range(0, len(row), 1 << 16):
                         cut = slice(i, i + (1 << 16))
                         yield pa.RecordBatch.from_arrays([pa.array(ids[row[cut]]), pa.array(pair[cut]), pa.array(n[cut])], names=["text_id", "pair", "n"])
 
-        links = self.texts.select("text_id", "groups").mapInArrow(run, "text_id long, pair long, n long")
+        links = self.texts.select("text_id", *IDS).mapInArrow(run, "text_id long, pair long, n long")
         level = F.floor(F.log2("count"))
         held, least = 0, None
         for r in self.pairs.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # a row per power of two
@@ -306,19 +358,25 @@ class Alignment:
             sums = sums.unionByName(summed(rest)).groupBy("text_id").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
         return sums
 
-    def per_document(self, id_column: str, text_column: str, measures: Mapping[str, Column] = {}) -> DataFrame:
-        """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum and ``measures`` over ``groups``.
+    def groups(self) -> DataFrame:
+        """(key, groups) of each distinct text: its groups of aligned ids in order."""
+
+        def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for frame in parts(frames, 256):
+                (a, _), (b, _), (sizes, per_row) = map(_ints, frame.columns[1:])
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32())) for ids, n in zip((a, b), sizes.reshape(-1, 2).T, strict=True)]
+                made = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_row // 2)), pa.int32()), pa.StructArray.from_arrays(lists, names=["a", "b"]))
+                yield pa.RecordBatch.from_arrays([frame.column(0), made], names=["key", "groups"])
+
+        return self.texts.select("key", *IDS).mapInArrow(run, "key string, groups array<struct<a: array<int>, b: array<int>>>")
+
+    def per_document(self, id_column: str, text_column: str) -> DataFrame:
+        """One row per document: id, n_a, n_b, n_groups, n_links, the measures, n_best and count_sum; 0 and '' without tokens.
 
         The measures of a text that more than a thousandth of all documents share are broadcast (so at most a thousand
         rows); all others meet their documents by a shuffle of digests.
         """
-        counts = {
-            "n_a": F.aggregate("groups", F.lit(0).cast("long"), lambda t, g: t + F.size(g.a)),
-            "n_b": F.aggregate("groups", F.lit(0).cast("long"), lambda t, g: t + F.size(g.b)),
-            "n_groups": F.size("groups").cast("long"),
-            "n_links": F.aggregate("groups", F.lit(0).cast("long"), lambda t, g: t + F.size(g.a).cast("long") * F.size(g.b)),
-        }
-        own = self.texts.select("text_id", "key", "copies", *[c.alias(n) for n, c in {**counts, **measures}.items()])
+        own = self.texts.drop(*IDS)
         own = written(own.join(self.link_sums(), "text_id", "left"), "alignment-measures").drop("text_id")
         own = own.select("*", F.lit(True).alias("_found"))
         docs = self.docs.select(F.col(f"`{id_column}`"), text_key(F.col(f"`{text_column}`")).alias("_key"))
@@ -343,21 +401,23 @@ def text_key(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.sha2(text, 256))
 
 
-def align(docs: DataFrame, byte_level: str, pieces: str, id_column: str = "doc_id", text_column: str = "text") -> Alignment:
+def align(
+    docs: DataFrame, byte_level: str, pieces: str, id_column: str = "doc_id", text_column: str = "text", measures: Mapping[str, Measure] = {}
+) -> Alignment:
     """Tokenises and aligns each distinct text of ``docs`` once.
 
     ``byte_level`` (A, encodes a space and the text) and ``pieces`` (B, adds that space itself) are paths of a byte-level
     vocabulary (.json) and a sentencepiece model that every executor can read. The byte offsets where tokens of both end
     cut them into groups; tokens are linked to all tokens of the other kind in their group. Texts are shuffled once, as
     text and number of copies, added up before the shuffle. A null or empty text, or one whose bytes either tokeniser
-    changes, has no groups. Repeated rows and rows with a null id count as documents; other columns are not read.
+    changes, has no groups. ``measures``: further columns, from the groups of some texts to a string for each. Repeated rows and rows with a null id count as documents; other columns are not read.
     """
     docs = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
     texts = docs.where(F.length(text_column) > 0).groupBy(F.col(f"`{text_column}`").alias("text")).agg(F.count("*").alias("copies"))
-    aligned = align_texts(texts.select(text_key(F.col("text")).alias("key"), "text", "copies"), byte_level, pieces)
+    aligned = align_texts(texts.select(text_key(F.col("text")).alias("key"), "text", "copies"), byte_level, pieces, measures)
     made = written(aligned.select(F.monotonically_increasing_id().alias("text_id"), "*"), "alignment-texts")
     counted = written(pair_counts(made), "alignment-counts")
-    first = F.shiftright("pair", 32)
+    first = F.shiftright("pair", ID_BITS)
     highest = written(counted.groupBy(first.alias("_a")).agg(F.max("count").alias("_most")), "alignment-highest")  # a row per token of A
     best = counted.join(F.broadcast(highest), first == F.col("_a")).select("pair", "count", (F.col("count") == F.col("_most")).alias("best"))
     return Alignment(docs, made, written(best, "alignment-pairs"))

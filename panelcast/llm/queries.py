@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,14 +186,34 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+class GroupDigests:
+    """sha256 of the groups of each text, written as ``a1,a2|b1;a3|b2,b3``; '' without groups."""
+
+    def __init__(self):
+        self.words = np.empty(0, object)
+
+    def __call__(self, g: alignment.Groups) -> list[str]:
+        most = int(max(g.a.max(initial=0), g.b.max(initial=0))) + 1
+        if 4 * most > len(self.words):
+            self.words = np.array([f"{i}{mark}" for i in range(most) for mark in ",|,;"], object)
+        na, nb = np.diff(g.a_of), np.diff(g.b_of)
+        of_a, of_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+        signs = np.empty(len(g.a) + len(g.b), np.int64)
+        signs[np.arange(len(g.a)) + g.b_of[of_a]] = 4 * g.a
+        signs[np.arange(len(g.b)) + g.a_of[of_b + 1]] = 4 * g.b + 2
+        ends = g.a_of + g.b_of
+        signs[ends[:-1] + na - 1] += 1
+        signs[ends[1:] - 1] += 1
+        words, of = self.words[signs].tolist(), ends[g.of_text].tolist()
+        return [hashlib.sha256("".join(words[s:e])[:-1].encode()).hexdigest() if e > s else "" for s, e in zip(of, of[1:], strict=False)]
+
+
 @query("op12_tokenizer_alignment")
 def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Alignment of every document under a byte-level and a sentencepiece vocabulary, with corpus-wide counts of its links."""
     docs = table(spark, folder, "documents")
-    aligned = alignment.align(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECE_MODEL))
-    ids = lambda side: F.array_join(side.cast("array<string>"), ",")
-    text = F.array_join(F.transform("groups", lambda g: F.concat(ids(g.a), F.lit("|"), ids(g.b))), ";")
-    return aligned.per_document("doc_id", "text", {"groups_sha256": F.when(F.size("groups") > 0, F.sha2(text, 256)).otherwise(F.lit(""))})
+    aligned = alignment.align(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECE_MODEL), measures={"groups_sha256": GroupDigests()})
+    return aligned.per_document("doc_id", "text")
 
 
 @query("op13_secret_scan")

@@ -95,26 +95,37 @@ def test_long_texts_are_cut_where_no_token_reaches(aligner, monkeypatch):
     rng = random.Random(1)
     texts = [sentence(rng, 3_000), "日本" * 2_000 + sentence(rng, 500), "a" * 5_000]
     want = listed(aligner.groups(texts))
-    monkeypatch.setattr(alignment, "PART", 100)
     monkeypatch.setattr(alignment.stretches, "__defaults__", (100,))
     assert len(stretches(texts[0])) > 100 and "".join(stretches(texts[1])) == texts[1]
     assert listed(aligner.groups(texts)) == want == [brute_groups(t) for t in texts]
 
 
+def columns(rows):
+    def raw(values):
+        return np.array(values, "<i4").tobytes()
+
+    made = [(raw([i for g in r for i in g[0]]), raw([i for g in r for i in g[1]]), raw([len(side) for g in r for side in g])) for r in rows]
+    return [pa.array(c, pa.binary()) for c in (zip(*made, strict=True) if made else ([], [], []))]
+
+
+def flat(found):
+    return [(int(r), int(p) >> 24, int(p) & 0xFFFFFF, int(n)) for row, pair, links in found for r, p, n in zip(row, pair, links, strict=True)]
+
+
 @pytest.mark.parametrize("most", [3, 50, 1 << 22])
-def test_pairs_equal_all_pairs_of_each_group(most):
+@pytest.mark.parametrize("longest", [9, 40])
+def test_pairs_equal_all_pairs_of_each_group(most, longest):
     rng = random.Random(most)
-    rows = [[{"a": [rng.randrange(5) for _ in range(rng.choice([1, 1, 2, 9]))], "b": [rng.randrange(4) for _ in range(rng.choice([1, 2, 7]))]} for _ in range(rng.choice([0, 1, 6]))] for _ in range(30)]
-    column = pa.array(rows, pa.list_(alignment.GROUP))
-    made = [(int(r), int(p) >> 32, int(p) & 0xFFFFFFFF, int(n)) for row, pair, links in linked_pairs(column, most) for r, p, n in zip(row, pair, links, strict=True)]
-    want = Counter((i, a, b) for i, row in enumerate(rows) for g in row for a in g["a"] for b in g["b"])
-    assert sorted(made) == sorted((*k, n) for k, n in want.items())
-    assert list(linked_pairs(column.slice(0, 0))) == []
+    rows = [[([rng.randrange(5) for _ in range(rng.choice([1, 1, 2, longest]))], [rng.randrange(4) for _ in range(rng.choice([1, 2, 7]))]) for _ in range(rng.choice([0, 1, 6]))] for _ in range(30)]
+    want = Counter((i, a, b) for i, row in enumerate(rows) for ga, gb in row for a in ga for b in gb)
+    made = columns(rows)
+    assert sorted(flat(linked_pairs(*made, most))) == sorted((*k, n) for k, n in want.items())
+    assert sorted(flat(linked_pairs(*[c.slice(7, 20) for c in made], most))) == sorted((i - 7, a, b, n) for (i, a, b), n in want.items() if 7 <= i < 27)
+    assert list(linked_pairs(*columns([]))) == [] == list(linked_pairs(*columns([[], []])))
 
 
 def test_very_long_groups_cost_distinct_ids():
-    g = [{"a": [1] * 100_000 + [2], "b": [3] * 100_000}]
-    assert [(int(n), int(p) & 0xFFFFFFFF) for _, pair, links in linked_pairs(pa.array([g], pa.list_(alignment.GROUP))) for p, n in zip(pair, links, strict=True)] == [(10**10, 3), (10**5, 3)]
+    assert flat(linked_pairs(*columns([[([1] * 100_000 + [2], [3] * 100_000)]]))) == [(0, 1, 3, 10**10), (0, 2, 3, 10**5)]
 
 
 def corpus():
@@ -139,6 +150,8 @@ def test_rare_pairs_meet_their_counts_by_a_shuffle(spark, few):
     aligned = align(frame(spark, rows, extra="key string, groups string, copies int, pair long, n_a string"), JSON, MODEL)
     want = {r.text_id: (r.n_best, r.count_sum) for r in aligned.link_sums().collect()}
     assert {r.text_id: (r.n_best, r.count_sum) for r in aligned.link_sums(few).collect()} == want and len(want) > 30
+    texts = {hashlib.sha256(t.encode()).hexdigest(): t for _, t in rows if t}
+    assert {r.key: [(list(g.a), list(g.b)) for g in r.groups] for r in aligned.groups().collect()} == {k: brute_groups(t) for k, t in texts.items()}
     assert aligned.texts.count() == len({t for _, t in rows if t})
     assert align(frame(spark, []), JSON, MODEL).per_document("doc_id", "text").collect() == []
 
