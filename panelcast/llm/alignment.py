@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from panelcast.llm.common import FEW_ROWS, parts
 from panelcast.llm.token_counts import PIECES, byte_symbols
-from panelcast.sources.shared import written
+from panelcast.sources.shared import new_path, written
 
 #: A single space between ASCII letters: pre-tokens begin there.
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
@@ -401,6 +401,13 @@ def text_key(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.sha2(text, 256))
 
 
+def _written_small(df: DataFrame, name: str) -> DataFrame:
+    """``written`` with stronger compression: ids in 32 bits are half zeros."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def align(
     docs: DataFrame, byte_level: str, pieces: str, id_column: str = "doc_id", text_column: str = "text", measures: Mapping[str, Measure] = {}
 ) -> Alignment:
@@ -415,7 +422,7 @@ def align(
     docs = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
     texts = docs.where(F.length(text_column) > 0).groupBy(F.col(f"`{text_column}`").alias("text")).agg(F.count("*").alias("copies"))
     aligned = align_texts(texts.select(text_key(F.col("text")).alias("key"), "text", "copies"), byte_level, pieces, measures)
-    made = written(aligned.select(F.monotonically_increasing_id().alias("text_id"), "*"), "alignment-texts")
+    made = _written_small(aligned.select(F.monotonically_increasing_id().alias("text_id"), "*"), "alignment-texts")
     counted = written(pair_counts(made), "alignment-counts")
     first = F.shiftright("pair", ID_BITS)
     highest = written(counted.groupBy(first.alias("_a")).agg(F.max("count").alias("_most")), "alignment-highest")  # a row per token of A
