@@ -220,37 +220,6 @@ def walk_forward_linear(
     return scored.withColumn("predicted", dot([F.lit(1.0), *columns], "coefficients")).drop("coefficients")
 
 
-def walk_forward_linear_refit(
-    samples: DataFrame,
-    columns: Sequence[str],
-    steps: int,
-    horizon: int = 1,
-    *,
-    limits: tuple[float, float] = (0.01, 0.99),
-    leak_safe: bool = True,
-    target: str = "target",
-) -> DataFrame:
-    """The same backtest for the first ``steps`` test rows with clip bounds fitted anew at every step.
-
-    Each row counts once per later step, so the work is history times ``steps``; quantile buffers and
-    sums are combined before the shuffle. Without a step limit use :func:`walk_forward_linear`.
-    """
-    if steps < 1:
-        raise ValueError("refitting the bounds needs a number of steps")
-    delay = horizon if leak_safe else 1
-    keep = samples.select("symbol", "split", "step", "feature_date", "target_date", "current_close", *dict.fromkeys([*columns, target]))
-    first = F.when(F.col("split") == "test", F.col("step") + delay).otherwise(F.lit(1))
-    history = (
-        keep.withColumn("_first", first).where(F.col("_first") <= steps)
-        .withColumn("step", F.explode(F.sequence(F.col("_first"), F.lit(steps).cast("long"))))
-    )
-    by = ("symbol", "step")
-    bounds = written(fit_bounds(history, columns, limits, by), "step-bounds")
-    model = written(fit_linear(clipped(history.join(bounds, list(by)), columns), columns, target, by), "step-models")
-    test = keep.where((F.col("split") == "test") & (F.col("step") <= steps)).join(bounds, list(by))
-    return without_bounds(predict_linear(clipped(test, columns), model, columns, by), columns)
-
-
 # ---- wide vectors ----------------------------------------------------------------------------------
 
 

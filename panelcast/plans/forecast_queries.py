@@ -9,7 +9,8 @@ from panelcast.functions.columns import rounded
 from panelcast.operators import autoregression as ar
 from panelcast.operators import features, sequence, splits, transforms, volatility
 from panelcast.operators.evaluate import experiment_key, metrics, prediction_rows, first_test_dates
-from panelcast.operators.regression import linear_holdout, selection_log, walk_forward_linear, walk_forward_linear_refit
+from panelcast.operators.expanding_bounds import walk_forward_refit_bounds
+from panelcast.operators.regression import linear_holdout, selection_log, walk_forward_linear
 from panelcast.operators.report import missing_runs
 from panelcast.plans import sql
 from panelcast.plans.catalogue import query
@@ -318,22 +319,34 @@ def g11_walk_forward_linear_six_columns(spark: SparkSession, folder: str) -> Dat
     return forecast_rows(walk_forward_linear(samples(spark, folder), _SIX))
 
 
-_REFIT_STEPS = 10
+_REFIT = sql.samples() + f""", asked AS (SELECT symbol, pos, step, feature_date, target_date, target, close, volume FROM samples WHERE split = 'test'),
+    history AS (SELECT a.symbol, a.step, s.close, s.volume, s.target FROM asked a JOIN samples s ON s.symbol = a.symbol AND s.pos < a.pos),
+    lim AS (SELECT symbol, step, quantile_cont(close, 0.01) AS l1, quantile_cont(close, 0.99) AS h1, quantile_cont(volume, 0.01) AS l2,
+      quantile_cont(volume, 0.99) AS h2 FROM history GROUP BY 1, 2),
+    clipped AS (SELECT h.symbol, h.step, target, {sql.clip('h.close', 'l1', 'h1')} AS x1, {sql.clip('h.volume', 'l2', 'h2')} AS x2 FROM history h JOIN lim USING (symbol, step)),
+    own AS (SELECT a.*, {sql.clip('a.close', 'l1', 'h1')} AS x1, {sql.clip('a.volume', 'l2', 'h2')} AS x2 FROM asked a JOIN lim USING (symbol, step))"""
 
 
 @query(
     "g11_walk_forward_refit_bounds",
-    sql.samples() + f""", asked AS (SELECT symbol, pos, step, feature_date, target_date, target, close FROM samples WHERE split = 'test' AND step <= {_REFIT_STEPS}),
-    history AS (SELECT a.symbol, a.step, s.close, s.target FROM asked a JOIN samples s ON s.symbol = a.symbol AND s.pos < a.pos),
-    lim AS (SELECT symbol, step, quantile_cont(close, 0.01) AS lo, quantile_cont(close, 0.99) AS hi FROM history GROUP BY 1, 2),
-    clipped AS (SELECT h.*, {sql.clip('close')} AS x FROM history h JOIN lim USING (symbol, step)),
-    fit AS (SELECT symbol, step, regr_slope(target, x) AS b, regr_intercept(target, x) AS c FROM clipped GROUP BY 1, 2),
-    scored AS (SELECT a.*, c + b * {sql.clip('a.close')} AS predicted FROM asked a JOIN fit USING (symbol, step) JOIN lim USING (symbol, step))
+    _REFIT + f""", fit AS (SELECT symbol, step, regr_slope(target, x1) AS b, regr_intercept(target, x1) AS c FROM clipped GROUP BY 1, 2),
+    scored AS (SELECT o.*, c + b * x1 AS predicted FROM own o JOIN fit USING (symbol, step))
     SELECT {FORECAST} FROM scored""",
 )
 def g11_walk_forward_refit_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    """The step limit is a setting of the backtest; history is always whole."""
-    return forecast_rows(walk_forward_linear_refit(samples(spark, folder), ["close"], _REFIT_STEPS))
+    return forecast_rows(walk_forward_refit_bounds(samples(spark, folder), ["close"]))
+
+
+@query(
+    "g11_walk_forward_refit_bounds_two_columns",
+    _REFIT + f""", fit_m AS (SELECT symbol, step, avg(x1) AS m1, avg(x2) AS m2, avg(target) AS my, var_pop(x1) AS s11, var_pop(x2) AS s22,
+      covar_pop(x1, x2) AS s12, covar_pop(x1, target) AS s1y, covar_pop(x2, target) AS s2y FROM clipped GROUP BY 1, 2),
+    scored AS (SELECT o.*, my + (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) * (x1 - m1) + (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) * (x2 - m2) AS predicted
+      FROM own o JOIN fit_m USING (symbol, step))
+    SELECT {FORECAST} FROM scored""",
+)
+def g11_walk_forward_refit_bounds_two_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return forecast_rows(walk_forward_refit_bounds(samples(spark, folder), ["close", "volume"]))
 
 
 # ---- autoregression --------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import regression as reg
 from panelcast.operators import splits, transforms
+from panelcast.operators.expanding_bounds import walk_forward_refit_bounds
 
 SIX = ["open", "high", "low", "close", "adjclose", "volume"]
 SIZES = {"HOT": 160, "B": 60, "C": 50}
@@ -77,15 +78,45 @@ def test_walk_forward_matches_refits(base, horizon, leak_safe, rows):
     assert checked == len(made) > 80
 
 
-def test_refit_bounds_match_brute_force(samples, table):
-    made = {(r.symbol, r.step): r.predicted for r in reg.walk_forward_linear_refit(samples, ["close", "volume"], 4).collect()}
+@pytest.mark.parametrize("rows, side", [(7, 2), (16, 4), (None, None)])
+@pytest.mark.parametrize("columns, horizon", [(["close"], 1), (["close", "volume"], 3)])
+def test_refit_bounds_match_brute_force_at_every_step(base, rows, side, columns, horizon):
+    samples = splits.supervised_positions(splits.supervised(base, horizon), base, horizon)
+    holed = samples.withColumn("volume", F.when(F.col("pos") % 11 != 5, F.col("volume"))).cache()
+    made = {(r.symbol, r.step): r.predicted for r in walk_forward_refit_bounds(holed, columns, horizon, rows=rows, side=side).collect()}
+    table, checked = holed.toPandas(), 0
     for symbol, part in table.groupby("symbol"):
-        for r in part[(part["split"] == "test") & (part["step"] <= 4)].itertuples():
-            known = part[part["pos"] < r.pos]
-            x, z = winsor(known, part[part["pos"] == r.pos], ["close", "volume"])
-            assert made[(symbol, r.step)] == pytest.approx(lstsq(x, known["target"].to_numpy(), z[0]), rel=1e-7)
-    with pytest.raises(ValueError):
-        reg.walk_forward_linear_refit(samples, ["close"], 0)
+        for r in part[part["split"] == "test"].itertuples():
+            known = part[part["target_date"] <= r.feature_date]
+            x, z = winsor(known, part[part["pos"] == r.pos], columns)
+            whole = ~np.isnan(x).any(axis=1)
+            got = made[(symbol, r.step)]
+            if np.isnan(z).any():
+                assert got is None
+            else:
+                assert got == pytest.approx(lstsq(x[whole], known["target"].to_numpy()[whole], z[0]), rel=1e-7)
+            checked += 1
+    assert checked == len(made) > 80
+
+
+def test_refit_bounds_on_trends_ties_and_jumps(spark):
+    rng = np.random.default_rng(3)
+    frames = []
+    for symbol, n in (("UP", 400), ("TIED", 300), ("JUMP", 300), ("SHORT", 3)):
+        t = np.arange(n)
+        x = {"UP": t * 1.0, "TIED": rng.integers(0, 3, n) * 1.0, "JUMP": rng.normal(0, 1, n) + 1e4 * (t > 200), "SHORT": t * 1.0}[symbol]
+        frames += [(symbol, "train" if i < n // 2 else "test", int(i - n // 2 + 1 if i >= n // 2 else i + 1), float(x[i]), float(np.sin(x[i]) + rng.normal())) for i in t]
+    df = spark.createDataFrame(frames, "symbol string, split string, step long, x double, target double")
+    df = df.withColumns({"feature_date": F.lit(None).cast("timestamp_ntz"), "target_date": F.lit(None).cast("timestamp_ntz"), "current_close": F.col("x")})
+    made = {(r.symbol, r.step): r.predicted for r in walk_forward_refit_bounds(df, ["x"], rows=64, side=5).collect()}
+    table = df.toPandas()
+    for symbol, part in table.groupby("symbol"):
+        half = (part["split"] == "train").sum()
+        for step in range(1, len(part) - half + 1):
+            past, row = part.iloc[: half + step - 1], part.iloc[[half + step - 1]]
+            x, z = winsor(past, row, ["x"])
+            assert made[(symbol, step)] == pytest.approx(lstsq(x, past["target"].to_numpy(), z[0]), rel=1e-6, abs=1e-6)
+    assert walk_forward_refit_bounds(df.where("symbol = 'none'"), ["x"]).collect() == []
 
 
 def test_later_test_rows_do_not_change_earlier_forecasts(samples):
