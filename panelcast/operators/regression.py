@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -302,16 +302,43 @@ def wide_dot(x: str, weights: str) -> Column:
 def walk_forward_wide(
     history: DataFrame, steps: DataFrame, *, delay: int = 1, ridge: float = 0.0, rows: int | None = None
 ) -> DataFrame:
-    """Expanding fits for array features: (symbol, step, predicted) for every row of ``steps``.
+    """Expanding fits for array features: (symbol, step, predicted) for every row of ``steps``."""
 
-    Steps are cut into blocks; a block starts from the summed products of everything before it and
-    then updates its own matrix row by row.
+    def solver(_: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], float]:
+        last: list = [None, None]
+
+        def solve(full: np.ndarray, x: np.ndarray) -> float:
+            if last[0] != full[0, 0]:  # nothing has come in since
+                last[:] = full[0, 0], _fit_full(full, ridge)
+            return float(last[1] @ np.concatenate([[1.0], x]))
+
+        return solve
+
+    known = steps.where("y is not null").select("symbol", "x", "y", (F.col("step") + delay).alias("at"))
+    return walk_blocks(history, known, steps.select("symbol", "x", F.col("step").alias("at")), solver, rows=rows).withColumnRenamed("at", "step")
+
+
+def walk_blocks(
+    history: DataFrame,
+    known: DataFrame,
+    asked: DataFrame,
+    solver: Callable[[pd.DataFrame], Callable[[np.ndarray, np.ndarray], float]],
+    *,
+    constants: DataFrame | None = None,
+    rows: int | None = None,
+) -> DataFrame:
+    """(symbol, at, predicted) for every row of ``asked`` (symbol, x, at).
+
+    ``history`` (symbol, x, y) is known from the start, ``known`` (symbol, x, y, at) from ``at`` on. Positions are cut
+    into blocks; a block starts from the summed products of (1, x, y) of everything before it and updates its own matrix
+    row by row. ``solver`` gets the row of ``constants`` of the symbol and returns the function from matrix and asked
+    vector to the forecast; with constants, a symbol without any of them or without any known row has no forecasts.
     """
     rows = rows or STEP_BLOCK
     by = ["symbol"]
-    known = steps.where("y is not null").select("symbol", "x", "y", (F.col("step") + delay).alias("at"), F.lit(0).alias("kind"))
-    asked = steps.select("symbol", "x", F.lit(None).cast("double").alias("y"), F.col("step").alias("at"), F.lit(1).alias("kind"))
-    events = known.unionByName(asked).withColumn("_block", block_of(F.col("at"), rows))
+    marked = known.select("symbol", "x", "y", "at", F.lit(0).alias("kind"))
+    events = marked.unionByName(asked.select("symbol", "x", F.lit(None).cast("double").alias("y"), "at", F.lit(1).alias("kind")))
+    events = events.withColumn("_block", block_of(F.col("at"), rows))
     base = written(wide_sums(history.select("symbol", "x", "y"), by), "base-sums")
     base = base.withColumn("_block", F.lit(-1).cast("long"))
     inside = written(wide_sums(events.where("kind = 0"), [*by, "_block"]), "block-sums")
@@ -327,31 +354,33 @@ def walk_forward_wide(
     )
 
     earlier = Window.partitionBy("symbol", "entry").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spread.withColumn("total", F.sum("total").over(earlier)).where("_block >= 0")
+    carried = spread.withColumn("total", F.coalesce(F.sum("total").over(earlier), F.lit(0.0))).where("_block >= 0")
     carry = packed(carried, ["symbol", "_block"], "carry")
+    if constants is not None:
+        carry = carry.join(constants, "symbol")
+
+    wanted = constants is not None
 
     def advance(block: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["at", "kind"])
-        if block.empty:
-            return pd.DataFrame({"symbol": [], "step": [], "predicted": []})
+        if block.empty or wanted and start.empty:
+            return pd.DataFrame({"symbol": [], "at": [], "predicted": []})
         width = len(block["x"].iloc[0]) + 2
         full = _unpack(np.asarray(start["carry"].iloc[0], float)) if len(start) else np.zeros((width, width))
-        fitted, out = None, []
+        solve, out = solver(start), []
         for x, y, at, kind in zip(block["x"], block["y"], block["at"], block["kind"], strict=True):
-            row = np.concatenate([[1.0], np.asarray(x, float)])
+            row = np.asarray(x, float)
             if kind == 0:
-                m = np.append(row, y)
+                m = np.concatenate([[1.0], row, [y]])
                 full += np.outer(m, m)
-                fitted = None
             else:
-                fitted = _fit_full(full, ridge) if fitted is None else fitted
-                out.append((at, float(fitted @ row)))
-        made = pd.DataFrame(out, columns=["step", "predicted"])
+                out.append((at, solve(full, row)))
+        made = pd.DataFrame(out, columns=["at", "predicted"])
         made.insert(0, "symbol", block["symbol"].iloc[0])
         return made
 
     return (
         events.groupBy("symbol", "_block")
         .cogroup(carry.groupBy("symbol", "_block"))
-        .applyInPandas(advance, "symbol string, step long, predicted double")
+        .applyInPandas(advance, "symbol string, at long, predicted double")
     )

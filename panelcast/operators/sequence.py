@@ -96,22 +96,3 @@ def residual_hybrid(
     model = written(fit_wide(flat.where("split = 'train'"), ["symbol"], ridge=RIDGE), "window-model")
     scored = flat.where("split = 'test'").join(model, "symbol")
     return scored.withColumn("predicted", F.col("linear_next") + wide_dot("x", "weights")).drop("weights", "x")
-
-
-def residual_hybrid_walk_forward(
-    split_panel: DataFrame, columns: Sequence[str], window: int, p: int = 1, horizon: int = 1, steps: int = 0, rows: int | None = None
-) -> DataFrame:
-    """Expanding form of the hybrid: both stages are refitted at every step."""
-    lagged = ar.lagged_panel(split_panel, ((p, 1, 0),))
-    chosen = written(ar.fit_orders(lagged.where("split <> 'test'"), ((p, 1, 0),)), "chosen")
-    fixed = ar.with_forecast(lagged, chosen, horizon).dropna(subset=["linear_residual"])
-    samples = residual_samples(split_panel, fixed, horizon)
-    refitted = ar.walk_forward(split_panel, p, horizon).select("symbol", F.col("date").alias("feature_date"), F.col("linear_next").alias("refit_next"))
-    samples = written(samples.join(refitted, ["symbol", "feature_date"], "left"), "residual-samples")
-    names = ["linear_residual", *[c for c in columns if c != "linear_residual"]]
-    flat = written(flat_windows(samples, names, window, y="target_residual", extra=["refit_next"]), "windows")
-    test = flat.where("split = 'test'")
-    if steps:
-        test = test.where(F.col("step") <= steps)
-    made = walk_forward_wide(flat.where("split = 'train'"), test, delay=horizon, ridge=RIDGE, rows=rows).withColumnRenamed("predicted", "_residual")
-    return test.join(made, ["symbol", "step"]).withColumn("predicted", F.col("refit_next") + F.col("_residual")).drop("x", "_residual")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.columns import rounded
 from panelcast.operators import autoregression as ar
-from panelcast.operators import features, sequence, splits, transforms, volatility
+from panelcast.operators import features, sequence, splits, transforms, two_stage, volatility
 from panelcast.operators.evaluate import experiment_key, metrics, prediction_rows, first_test_dates
 from panelcast.operators.expanding_bounds import walk_forward_refit_bounds
 from panelcast.operators.regression import linear_holdout, selection_log, walk_forward_linear
@@ -477,6 +477,36 @@ def g12_walk_forward_ar3(spark: SparkSession, folder: str) -> DataFrame:
     return forecast_rows(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "linear_next"))
 
 
+@query("g12_walk_forward_selected_order")
+def g12_walk_forward_selected_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The order of least validation error of each symbol, moving averages included; both stages refitted at every step."""
+    base = split_panel(spark, folder)
+    made = two_stage.walk_forward_orders(base, two_stage.selected_orders(base))
+    return forecast_rows(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "linear_next"))
+
+
+_EXPANDING_CHANGES = """, lags AS (SELECT symbol, date, seq, split, adjclose, d, lag(d, 1) OVER w AS x1, lag(d, 2) OVER w AS x2, lag(d, 3) OVER w AS x3 FROM diffs WINDOW w AS (PARTITION BY symbol ORDER BY date))"""
+_INNOVATIONS = _EXPANDING_CHANGES + f""", sums AS (SELECT *,
+      {', '.join(f"sum(CASE WHEN x2 IS NOT NULL THEN {a} * {b} END) OVER e AS {n}" for n, a, b in (("l11", "x1", "x1"), ("l12", "x1", "x2"), ("l22", "x2", "x2"), ("l1", "x1", "d"), ("l2", "x2", "d")))},
+      {', '.join(f"sum(CASE WHEN x3 IS NOT NULL THEN {a} * {b} END) OVER e AS s{n}" for n, a, b in (("11", "x1", "x1"), ("12", "x1", "x2"), ("13", "x1", "x3"), ("22", "x2", "x2"), ("23", "x2", "x3"), ("33", "x3", "x3"), ("1", "x1", "d"), ("2", "x2", "d"), ("3", "x3", "d")))}
+      FROM lags WINDOW e AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    long AS (SELECT *, (l1 * l22 - l2 * l12) / (l11 * l22 - l12 * l12) AS b1, (l2 * l11 - l1 * l12) / (l11 * l22 - l12 * l12) AS b2 FROM sums),
+    quads AS (SELECT *, s11 - b1 * s12 - b2 * s13 AS g12, s11 + b1 * b1 * s22 + b2 * b2 * s33 - 2 * b1 * s12 - 2 * b2 * s13 + 2 * b1 * b2 * s23 AS g22, s1 - b1 * s2 - b2 * s3 AS h2 FROM long),
+    two AS (SELECT *, (s1 * g22 - h2 * g12) / (s11 * g22 - g12 * g12) AS phi, (h2 * s11 - s1 * g12) / (s11 * g22 - g12 * g12) AS theta FROM quads)"""
+
+
+@query(
+    "g12_walk_forward_moving_average",
+    sql.samples() + _DIFFS + _INNOVATIONS + f""", scored AS (SELECT s.*, current_close + phi * d + theta * (d - b1 * x1 - b2 * x2) AS predicted
+      FROM samples s JOIN two t ON t.symbol = s.symbol AND t.date = s.date WHERE s.split = 'test') SELECT {FORECAST} FROM scored""",
+)
+def g12_walk_forward_moving_average(spark: SparkSession, folder: str) -> DataFrame:
+    """Order (1, 1, 1) with innovations of a two-term autoregression."""
+    base = split_panel(spark, folder)
+    made = two_stage.walk_forward_orders(base, two_stage.fixed_order(base, (1, 1, 1)), long_terms=2, deepest=3)
+    return forecast_rows(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "linear_next"))
+
+
 # ---- volatility ------------------------------------------------------------------------------------
 
 _RETURNS = """, returns AS (SELECT symbol, date, seq, r0, lag(r0) OVER w AS rb FROM (SELECT symbol, date, seq,
@@ -497,20 +527,20 @@ def g7_return_mean_forecast(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("g7_volatility_weighted_forecast")
 def g7_volatility_weighted_forecast(spark: SparkSession, folder: str) -> DataFrame:
-    made = volatility.forecasts(split_panel(spark, folder, "events"))
-    return forecast_rows(attach_forecast(samples(spark, folder, "events").where("split = 'test'"), made, "predicted"))
+    made = volatility.forecasts(split_panel(spark, folder))
+    return forecast_rows(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "predicted"))
 
 
 @query("g8_volatility_selection")
 def g8_volatility_selection(spark: SparkSession, folder: str) -> DataFrame:
-    log, _ = volatility.select_spec(split_panel(spark, folder, "events"))
+    log, _ = volatility.select_spec(split_panel(spark, folder))
     return log.select("symbol", "ordinal", "order", rounded("rmse", 4).alias("rmse"), "selected", "best")
 
 
 # ---- windows as features ---------------------------------------------------------------------------
 
 _WIDE = ["close", "feature_price_return_1"]
-_SEQUENCE_WINDOW = 5
+_SEQUENCE_WINDOW, _LONG_WINDOW = Settings().window_sizes
 
 
 def _featured_samples(spark: SparkSession, folder: str) -> DataFrame:
@@ -582,6 +612,16 @@ def g10_window_regression_pooled(spark: SparkSession, folder: str) -> DataFrame:
     return _cast(sequence.pooled_holdout(_featured_samples(spark, folder), _WIDE, _SEQUENCE_WINDOW))
 
 
+@query("g10_window_regression_long")
+def g10_window_regression_long(spark: SparkSession, folder: str) -> DataFrame:
+    return _cast(sequence.holdout(_featured_samples(spark, folder), _WIDE, _LONG_WINDOW))
+
+
+@query("g13_window_walk_forward_long")
+def g13_window_walk_forward_long(spark: SparkSession, folder: str) -> DataFrame:
+    return _cast(sequence.walk_forward(_featured_samples(spark, folder), _WIDE, _LONG_WINDOW))
+
+
 @query("g13_window_walk_forward")
 def g13_window_walk_forward(spark: SparkSession, folder: str) -> DataFrame:
     return _cast(sequence.walk_forward(_featured_samples(spark, folder), _WIDE, _SEQUENCE_WINDOW))
@@ -589,7 +629,28 @@ def g13_window_walk_forward(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("g13_hybrid_walk_forward")
 def g13_hybrid_walk_forward(spark: SparkSession, folder: str) -> DataFrame:
-    return _cast(sequence.residual_hybrid_walk_forward(split_panel(spark, folder, "events"), ["close"], _SEQUENCE_WINDOW))
+    """The selected order of each symbol and a window of 20 residuals and closes; all stages refitted, all residuals renewed at every step."""
+    base = split_panel(spark, folder)
+    made = two_stage.walk_forward_hybrid(base, ["close"], WINDOW, two_stage.selected_orders(base))
+    return _cast(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "predicted"))
+
+
+_MOVING = _EXPANDING_CHANGES + f""", ar AS (SELECT *, sum(d * x1) OVER e / sum(x1 * x1) OVER e AS phi FROM lags WINDOW e AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    moments AS (SELECT *, {', '.join(f"avg({v}) OVER e AS m_{v}, " + ', '.join(f"covar_pop({v}, {w}) OVER e AS c_{v}_{w}" for w in ("d", "x1", "x2") if w >= v) for v in ("d", "x1", "x2"))}
+      FROM ar WHERE x2 IS NOT NULL WINDOW e AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    slopes AS (SELECT *, (c_d_x1 - phi * c_d_x2 - phi * c_x1_x1 + phi * phi * c_x1_x2) / (c_x1_x1 - 2 * phi * c_x1_x2 + phi * phi * c_x2_x2) AS w FROM moments)"""
+
+
+@query(
+    "g13_hybrid_walk_forward_one_back",
+    sql.samples() + _DIFFS + _MOVING + f""", scored AS (SELECT s.*, current_close + phi * d + (m_d - phi * m_x1) + w * ((d - phi * x1) - (m_x1 - phi * m_x2)) AS predicted
+      FROM samples s JOIN slopes t ON t.symbol = s.symbol AND t.date = s.date WHERE s.split = 'test') SELECT {FORECAST} FROM scored""",
+)
+def g13_hybrid_walk_forward_one_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Order (1, 1, 0) and the last residual alone, both by the coefficients of the step."""
+    base = split_panel(spark, folder)
+    made = two_stage.walk_forward_hybrid(base, [], 1, two_stage.fixed_order(base, (1, 1, 0)), deepest=1)
+    return _cast(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "predicted"))
 
 
 # ---- grids -----------------------------------------------------------------------------------------

@@ -93,10 +93,3 @@ def test_residual_hybrid_matches_brute_force(base):
             assert made[(symbol, rest["date"][i].to_pydatetime())] == pytest.approx(want, rel=1e-5)
             checked += 1
     assert checked == len(made)
-
-
-def test_residual_hybrid_walk_forward_does_not_depend_on_blocks(base):
-    walked = sequence.residual_hybrid_walk_forward(base, ["close"], W, rows=4).toPandas()
-    again = sequence.residual_hybrid_walk_forward(base, ["close"], W).toPandas()
-    both = walked.merge(again, on=["symbol", "step"])
-    assert len(both) == len(walked) and np.allclose(both["predicted_x"], both["predicted_y"])
