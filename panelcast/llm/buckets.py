@@ -57,9 +57,9 @@ def arrays(column: pa.ListArray) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def sides(blocks: np.ndarray) -> np.ndarray:
-    """Which pairs of rows a task compares: all of one block, or those between its two blocks."""
-    if blocks[0] == blocks[-1] and (blocks == blocks[0]).all():
+def sides(blocks: np.ndarray, same: bool) -> np.ndarray:
+    """Which pairs of rows a task compares: all of its one block (``same``), or those between its two blocks, of which one may be empty."""
+    if same:
         return np.triu(np.ones((len(blocks), len(blocks)), bool), 1)
     return (blocks[:, None] < blocks[None, :])
 
@@ -79,7 +79,7 @@ def likely_rows(rows: list[tuple], agree: int, ratio: float) -> list[tuple]:
     rows.sort(key=lambda r: r[3])
     n = np.array([r[5] for r in rows], np.float32)
     bits = np.array([r[6] for r in rows], np.int64).view(np.uint64)
-    pairs = sides(np.array([r[3] for r in rows]))
+    pairs = sides(np.array([r[3] for r in rows]), rows[0][1] == rows[0][2])
     for i in range(0, len(rows), 256):
         part = pairs[i : i + 256]
         part &= np.bitwise_count(bits[i : i + 256, None] ^ bits[None, :]) <= 64 - agree

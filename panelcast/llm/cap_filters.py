@@ -141,7 +141,7 @@ def near_vectors(vectors: DataFrame, caps: Caps = Caps(), id_column: str = "vec_
 def linked_vectors(rows: list[tuple], threshold: float) -> tuple[list[tuple], np.ndarray]:
     """The task's rows (bucket, bi, bj, block, digest, copies, buckets, vector) once each, and the pairs it owns and verifies."""
     rows = sorted({r[4]: r for r in rows}.values(), key=lambda r: (r[3], r[4]))
-    pairs = sides(np.array([r[3] for r in rows])) & ~unowned(rows[0][0], [r[6] for r in rows])
+    pairs = sides(np.array([r[3] for r in rows]), rows[0][1] == rows[0][2]) & ~unowned(rows[0][0], [r[6] for r in rows])
     if pairs.any():
         x = np.array([np.asarray(r[7], np.float64) for r in rows])
         x /= np.abs(x).max(axis=1, keepdims=True)

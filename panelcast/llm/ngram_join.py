@@ -113,7 +113,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, id_column: str, text_column:
 def _linked(rows: list[tuple], join: Join) -> tuple[list[tuple], np.ndarray]:
     """The task's rows (bucket, bi, bj, block, digest, copies, buckets, tokens) once each, and the pairs that it owns and verifies."""
     rows = sorted({r[4]: r for r in rows}.values(), key=lambda r: (r[3], r[4]))
-    pairs = sides(np.array([r[3] for r in rows])) & ~unowned(rows[0][0], [r[6] for r in rows])
+    pairs = sides(np.array([r[3] for r in rows]), rows[0][1] == rows[0][2]) & ~unowned(rows[0][0], [r[6] for r in rows])
     if pairs.any():
         n = np.array([len(r[7]) for r in rows], np.float64)
         same = shared_counts([r[7] for r in rows]).astype(np.float64)

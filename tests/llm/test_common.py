@@ -1,10 +1,12 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpus import groups
+from panelcast.llm.buckets import likely_rows, sides
 from panelcast.llm.common import WordHashes, components, if_few, shingles
 
 
@@ -40,3 +42,13 @@ def test_components(spark):
 def test_broadcast_only_of_few_rows(spark):
     df = spark.range(10)
     assert "broadcast" in if_few(df, 10)._jdf.queryExecution().logical().toString() and if_few(df, 9) is df
+
+
+@pytest.mark.parametrize("count", [5, 7, 20])
+def test_a_task_between_two_blocks_leaves_pairs_of_one_block_alone(count):
+    def rows(block_of, bi, bj):
+        return [(9, bi, bj, block_of(i), str(i), 10, 0, np.array([9])) for i in range(count)]
+
+    assert likely_rows(rows(lambda i: 0, 0, 1), 60, 0.8) == [] == likely_rows(rows(lambda i: 1, 0, 1), 60, 0.8)
+    assert len(likely_rows(rows(lambda i: 0, 0, 0), 60, 0.8)) == count == len(likely_rows(rows(lambda i: i % 2, 0, 1), 60, 0.8))
+    assert sides(np.array([0, 0, 1]), False).tolist() == [[False, False, True], [False, False, True], [False] * 3]
