@@ -12,12 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelcast.operators.autoregression import mark_selected
 from panelcast.operators.evaluate import metric_columns
 from panelcast.operators.ordered import block_of, over_blocks, running_sums
+from panelcast.operators.regression import packed
 from panelcast.sources.shared import written
 
 
@@ -111,8 +112,28 @@ def _shocks(means: DataFrame, rows: int | None) -> DataFrame:
     return summed.withColumn("level2", level).drop("_k", "_s")
 
 
-def _filter(shock2: np.ndarray, level2: np.ndarray, spec: Spec) -> np.ndarray:
-    """Variance per row and candidate; rows before the first level have none."""
+def _responses(spec: Spec, fade: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a unit of input (candidate, row, row) and of each past variance (candidate, row, lag) leaves at later rows."""
+    weight = fade / spec.q
+    unit = np.zeros((length + spec.q, len(fade), 1 + spec.q))  # column 0: an input at row 0; column j: variance j rows back
+    for j in range(1, spec.q + 1):
+        unit[spec.q - j, :, j] = 1.0
+    for i in range(length):
+        unit[spec.q + i] = weight[:, None] * unit[i : spec.q + i].sum(axis=0)
+        if i == 0:
+            unit[spec.q, :, 0] += 1.0
+    made = unit[spec.q :]
+    after = np.subtract.outer(np.arange(length), np.arange(length))
+    inputs = np.where((after >= 0)[:, :, None], made[np.maximum(after, 0), :, 0], 0.0)
+    return inputs.transpose(2, 0, 1), made[:, :, 1:].transpose(1, 0, 2)
+
+
+def _filter(shock2: np.ndarray, level2: np.ndarray, spec: Spec, length: int = 64) -> np.ndarray:
+    """Variance per row and candidate; rows before the first level have none.
+
+    The recursion is affine in the past variances, so ``length`` rows are one matrix product from their inputs and the
+    state before them.
+    """
     shock = np.array([a for a, _ in CANDIDATES])
     fade = np.array([b for _, b in CANDIDATES])
     out = np.full((len(shock2), len(CANDIDATES)), np.nan)
@@ -120,38 +141,32 @@ def _filter(shock2: np.ndarray, level2: np.ndarray, spec: Spec) -> np.ndarray:
     if not len(ready):
         return out
     start = ready[0]
-    past_shock = [np.full(len(shock), level2[start])] * spec.p
-    past_level = [np.full(len(shock), level2[start])] * spec.q
-    for i in range(start, len(shock2)):
-        now = (1 - shock - fade) * level2[i]
-        now = now + shock * sum(past_shock) / spec.p + fade * sum(past_level) / spec.q
-        now = np.maximum(now, SMALLEST_VARIANCE)
-        out[i] = now
-        past_shock = [np.full(len(shock), shock2[i]), *past_shock[:-1]]
-        past_level = [now, *past_level[:-1]]
+    padded = np.concatenate([np.full(spec.p, level2[start]), shock2[start:]])
+    n = len(shock2) - start
+    past = sum(padded[spec.p - k : spec.p - k + n] for k in range(1, spec.p + 1)) / spec.p
+    drive = np.outer(level2[start:], 1 - shock - fade) + np.outer(past, shock)
+    inputs, states = _responses(spec, fade, min(length, n))
+    state = np.full((len(fade), spec.q), level2[start])  # latest first
+    for i in range(0, n, length):
+        own = drive[i : i + length]
+        size = len(own)
+        h = np.einsum("cij,jc->ic", inputs[:, :size, :size], own) + np.einsum("cij,cj->ic", states[:, :size], state)
+        out[start + i : start + i + size] = np.maximum(h, SMALLEST_VARIANCE)
+        state = np.concatenate([h[::-1].T, state], axis=1)[:, : spec.q]
     return out
 
 
-def filtered_variance(shocks: DataFrame, spec: Spec, rows: int | None = None) -> DataFrame:
-    """Rows (symbol, seq, candidate, h): variance of every candidate, block by block."""
-    rows = rows or FILTER_BLOCK
-    spread = shocks.select("symbol", "seq", "shock2", "level2").withColumn("_home", block_of(F.col("seq"), rows)).withColumn(
-        "_block", F.explode(F.sequence(F.col("_home"), block_of(F.col("seq") + warm_up(spec), rows)))
-    )
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("seq")
-        h = _filter(block["shock2"].to_numpy(float), block["level2"].to_numpy(float), spec)
-        core = (block["_home"] == block["_block"]).to_numpy()
-        seq = block["seq"].to_numpy()[core]
-        width = len(CANDIDATES)
-        made = pd.DataFrame(
-            {"seq": np.repeat(seq, width), "candidate": np.tile(np.arange(width), len(seq)), "h": h[core].ravel()}
-        )
-        made.insert(0, "symbol", block["symbol"].iloc[0] if len(block) else "")
-        return made[np.isfinite(made["h"])]
+def _terms(block: pd.DataFrame, spec: Spec) -> tuple[pd.DataFrame, np.ndarray]:
+    """The block's own rows that have a variance, and what each adds to the sums of each candidate (row, sum, candidate).
 
-    return spread.groupBy("symbol", "_block").applyInPandas(run, "symbol string, seq long, candidate int, h double")
+    The sums: loss, weights, and weighted x, y, x * x and x * y of the mean regression.
+    """
+    h = _filter(block["shock2"].to_numpy(float), block["level2"].to_numpy(float), spec)
+    own = (block["_home"] == block["_block"]).to_numpy() & np.isfinite(h).all(axis=1)
+    rows, h = block[own], h[own]
+    shock2, x, y = (rows[c].to_numpy(float)[:, None] for c in ("shock2", "r1", "r0"))
+    w = 1 / h
+    return rows, np.stack([0.5 * (np.log(h) + shock2 / h), w, w * x, w * y, w * x * x, w * x * y], axis=1)
 
 
 def shock_rows(panel: DataFrame, price: str = "adjclose", rows: int | None = None) -> DataFrame:
@@ -159,21 +174,40 @@ def shock_rows(panel: DataFrame, price: str = "adjclose", rows: int | None = Non
     return written(_shocks(written(expanding_mean(panel, price, rows), "means"), rows), "shocks")
 
 
-def weighted_mean(shocks: DataFrame, spec: Spec, rows: int | None = None, filter_rows: int | None = None) -> DataFrame:
-    """c and phi reweighted by the likeliest variance so far; rows without one keep the plain mean."""
-    variances = filtered_variance(shocks, spec, filter_rows)
-    joined = shocks.where("shock2 is not null").select("symbol", "seq", "r0", "r1", "shock2").join(variances, ["symbol", "seq"])
-    w = 1 / F.col("h")
-    x, y = F.col("r1"), F.col("r0")
-    sums = {
-        "_ll": -0.5 * (F.ln("h") + F.col("shock2") / F.col("h")),
-        "_n": w, "_sx": w * x, "_sy": w * y, "_sxx": w * x * x, "_sxy": w * x * y,
-    }
-    summed = running_sums(joined, ["symbol", "candidate"], sums, rows=rows)
-    c, phi = _line(*[F.col(n) for n in list(sums)[1:]])
-    scored = summed.select("symbol", "seq", F.struct((-F.col("_ll")).alias("loss"), "candidate").alias("rank"), c.alias("wc"), phi.alias("wphi"))
-    best = scored.groupBy("symbol", "seq").agg(F.min_by(F.struct("wc", "wphi"), "rank").alias("_w"))
-    merged = shocks.join(best.select("symbol", "seq", "_w.*"), ["symbol", "seq"], "left")
+def weighted_mean(shocks: DataFrame, spec: Spec, rows: int | None = None) -> DataFrame:
+    """c and phi reweighted by the likeliest variance so far; rows without one keep the plain mean.
+
+    Blocks ship the totals of their candidates' sums only; each block then adds its own rows to the totals of the blocks
+    before it and keeps one candidate per row.
+    """
+    rows = rows or FILTER_BLOCK
+    spread = shocks.where("shock2 is not null").select("symbol", "seq", "r0", "r1", "shock2", "level2").withColumn("_home", block_of(F.col("seq"), rows)).withColumn(
+        "_block", F.explode(F.sequence(F.col("_home"), block_of(F.col("seq") + warm_up(spec), rows)))
+    )
+    spread = written(spread, "filter-rows")
+    sums = 6 * len(CANDIDATES)
+
+    def totals(block: pd.DataFrame) -> pd.DataFrame:
+        _, terms = _terms(block.sort_values("seq"), spec)
+        return pd.DataFrame({"symbol": block["symbol"].iloc[0], "_block": block["_block"].iloc[0], "entry": np.arange(sums), "total": terms.sum(axis=0).ravel()})
+
+    added = written(spread.groupBy("symbol", "_block").applyInPandas(totals, "symbol string, _block long, entry int, total double"), "filter-totals")
+    earlier = Window.partitionBy("symbol", "entry").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = packed(added.withColumn("total", F.coalesce(F.sum("total").over(earlier), F.lit(0.0))), ["symbol", "_block"], "carry")
+
+    def choose(block: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        own, terms = _terms(block.sort_values("seq"), spec)
+        before = np.asarray(start["carry"].iloc[0], float).reshape(6, -1)
+        running = before + np.cumsum(terms, axis=0)
+        best = running[:, 0].argmin(axis=1)
+        n, sx, sy, sxx, sxy = running[np.arange(len(own)), 1:, best].T
+        spread_ = n * sxx - sx * sx
+        defined = spread_ > 1e-12 * n * sxx
+        slope = np.where(defined, (n * sxy - sx * sy) / np.where(defined, spread_, 1.0), 0.0)
+        return pd.DataFrame({"symbol": own["symbol"], "seq": own["seq"], "wc": (sy - slope * sx) / n, "wphi": slope})
+
+    found = spread.groupBy("symbol", "_block").cogroup(carry.groupBy("symbol", "_block")).applyInPandas(choose, "symbol string, seq long, wc double, wphi double")
+    merged = shocks.join(found, ["symbol", "seq"], "left")
     return merged.withColumns({"c": F.coalesce("wc", "c"), "phi": F.coalesce("wphi", "phi")}).drop(
         "wc", "wphi", "shock2", "level2"
     )
@@ -190,7 +224,7 @@ def forecasts(
 ) -> DataFrame:
     """Panel rows with ``predicted``; ``shocks`` may bring the rows that do not depend on the specification."""
     shocks = shock_rows(panel, price, rows) if shocks is None else shocks
-    means = weighted_mean(shocks, spec, rows, filter_rows)
+    means = weighted_mean(shocks, spec, filter_rows)
     return means.withColumn("predicted", price_forecast(price, "c", "phi", horizon))
 
 

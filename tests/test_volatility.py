@@ -82,3 +82,19 @@ def test_warm_up_follows_the_weights():
     assert vol.warm_up(vol.Spec(1, 2)) > vol.warm_up(vol.Spec(1, 1)) > 390
     with pytest.raises(ValueError):
         vol.warm_up(vol.Spec(1, 1), [(0.0, 1.0)])
+
+
+@pytest.mark.parametrize("spec", [vol.Spec(1, 1), vol.Spec(1, 2), vol.Spec(2, 1), vol.Spec(3, 3)])
+def test_matrix_steps_equal_the_recursion(spec):
+    rng = np.random.default_rng(5)
+    shock2, level2 = rng.exponential(1, 500), 1 + rng.random(500)
+    level2[:7] = np.nan
+    made = vol._filter(shock2, level2, spec)
+    assert np.isnan(made[:7]).all()
+    for k, (a, b) in enumerate(vol.CANDIDATES):
+        h = []
+        for i in range(7, 500):
+            shocks = [shock2[i - j] if i - j >= 7 else level2[7] for j in range(1, spec.p + 1)]
+            levels = [h[-j] if len(h) >= j else level2[7] for j in range(1, spec.q + 1)]
+            h.append((1 - a - b) * level2[i] + a * np.mean(shocks) + b * np.mean(levels))
+        assert np.allclose(made[7:, k], h, rtol=1e-12)
