@@ -128,15 +128,14 @@ def _responses(spec: Spec, fade: np.ndarray, length: int) -> tuple[np.ndarray, n
     return inputs.transpose(2, 0, 1), made[:, :, 1:].transpose(1, 0, 2)
 
 
-def _filter(shock2: np.ndarray, level2: np.ndarray, spec: Spec, length: int = 64) -> np.ndarray:
+def _filter(shock2: np.ndarray, level2: np.ndarray, spec: Spec, weights: Sequence[tuple[float, float]] = CANDIDATES, length: int = 64) -> np.ndarray:
     """Variance per row and candidate; rows before the first level have none.
 
     The recursion is affine in the past variances, so ``length`` rows are one matrix product from their inputs and the
     state before them.
     """
-    shock = np.array([a for a, _ in CANDIDATES])
-    fade = np.array([b for _, b in CANDIDATES])
-    out = np.full((len(shock2), len(CANDIDATES)), np.nan)
+    shock, fade = np.array(weights).T
+    out = np.full((len(shock2), len(weights)), np.nan)
     ready = np.flatnonzero(np.isfinite(level2) & np.isfinite(shock2))
     if not len(ready):
         return out
@@ -174,6 +173,26 @@ def shock_rows(panel: DataFrame, price: str = "adjclose", rows: int | None = Non
     return written(_shocks(written(expanding_mean(panel, price, rows), "means"), rows), "shocks")
 
 
+def _with_warm_up(shocks: DataFrame, spec: Spec, rows: int, weights: Sequence[tuple[float, float]] = CANDIDATES) -> DataFrame:
+    """Rows by ``_block``, each block with the rows before it that its state still remembers; ``_home`` is a row's own block."""
+    last = block_of(F.col("seq") + warm_up(spec, weights), rows)
+    some = shocks.where("shock2 is not null").select("symbol", "seq", "r0", "r1", "shock2", "level2")
+    return some.withColumn("_home", block_of(F.col("seq"), rows)).withColumn("_block", F.explode(F.sequence(F.col("_home"), last)))
+
+
+def filtered_variance(shocks: DataFrame, spec: Spec = SPECS[0], weights: tuple[float, float] = (0.1, 0.75), rows: int | None = None) -> DataFrame:
+    """(symbol, seq, h): variance of each row under fixed weights of shocks and variances; the rest goes to the running level."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("seq")
+        h = _filter(block["shock2"].to_numpy(float), block["level2"].to_numpy(float), spec, [weights])[:, 0]
+        own = (block["_home"] == block["_block"]).to_numpy() & np.isfinite(h)
+        return pd.DataFrame({"symbol": block["symbol"][own], "seq": block["seq"][own], "h": h[own]})
+
+    spread = _with_warm_up(shocks, spec, rows or FILTER_BLOCK, [weights])
+    return spread.groupBy("symbol", "_block").applyInPandas(run, "symbol string, seq long, h double")
+
+
 def weighted_mean(shocks: DataFrame, spec: Spec, rows: int | None = None) -> DataFrame:
     """c and phi reweighted by the likeliest variance so far; rows without one keep the plain mean.
 
@@ -181,10 +200,7 @@ def weighted_mean(shocks: DataFrame, spec: Spec, rows: int | None = None) -> Dat
     before it and keeps one candidate per row.
     """
     rows = rows or FILTER_BLOCK
-    spread = shocks.where("shock2 is not null").select("symbol", "seq", "r0", "r1", "shock2", "level2").withColumn("_home", block_of(F.col("seq"), rows)).withColumn(
-        "_block", F.explode(F.sequence(F.col("_home"), block_of(F.col("seq") + warm_up(spec), rows)))
-    )
-    spread = written(spread, "filter-rows")
+    spread = written(_with_warm_up(shocks, spec, rows), "filter-rows")
     sums = 6 * len(CANDIDATES)
 
     def totals(block: pd.DataFrame) -> pd.DataFrame:

@@ -525,6 +525,28 @@ def g7_return_mean_forecast(spark: SparkSession, folder: str) -> DataFrame:
     return forecast_rows(attach_forecast(samples(spark, folder).where("split = 'test'"), made, "predicted"))
 
 
+_SHOCK, _FADE = 0.1, 0.75
+
+
+@query(
+    "g7_filtered_variance",
+    "WITH RECURSIVE " + (sql.split_panel() + _RETURNS).removeprefix("WITH ") + f""", fits AS (SELECT *, CASE WHEN regr_count(r0, rb) OVER e >= 3 THEN c END AS c3, CASE WHEN regr_count(r0, rb) OVER e >= 3 THEN phi END AS phi3
+      FROM means WINDOW e AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+    shocks AS (SELECT symbol, seq, (r0 - lag(c3) OVER w - lag(phi3) OVER w * rb) ** 2 AS s2 FROM fits WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+    levels AS (SELECT *, CASE WHEN count(s2) OVER b >= 2 THEN avg(s2) OVER b END AS lv FROM shocks
+      WINDOW b AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    ready AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS i, lag(s2) OVER (PARTITION BY symbol ORDER BY seq) AS s1 FROM levels WHERE s2 IS NOT NULL AND lv IS NOT NULL),
+    filtered AS (SELECT symbol, seq, i, lv AS h FROM ready WHERE i = 1
+      UNION ALL SELECT r.symbol, r.seq, r.i, {1 - _SHOCK - _FADE} * r.lv + {_SHOCK} * r.s1 + {_FADE} * f.h FROM filtered f JOIN ready r ON r.symbol = f.symbol AND r.i = f.i + 1)
+    SELECT symbol, seq, {RND('h', 4)} AS h FROM filtered""",
+)
+def g7_filtered_variance(spark: SparkSession, folder: str) -> DataFrame:
+    """One shock lag and one variance lag with fixed weights, every row of every symbol."""
+    shocks = volatility.shock_rows(split_panel(spark, folder))
+    made = volatility.filtered_variance(shocks, weights=(_SHOCK, _FADE))
+    return made.select("symbol", "seq", rounded("h", 4).alias("h"))
+
+
 @query("g7_volatility_weighted_forecast")
 def g7_volatility_weighted_forecast(spark: SparkSession, folder: str) -> DataFrame:
     made = volatility.forecasts(split_panel(spark, folder))
