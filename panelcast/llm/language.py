@@ -124,19 +124,13 @@ def document_frequencies(rows: DataFrame, text_column: str, settings: Settings)
     return out, texts
 
 
-def fit(rows: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Model:
-    """Fits centroids per label.
+def sampled(lettered: DataFrame, sizes: dict[str, int], settings: Settings) -> DataFrame:
+    """(lang, i, n): the n-gram classes and counts of at most ``max(8, settings.sample / labels)`` rows of each label.
 
-    Document frequencies cover all labelled rows. The centroids are fitted to at most ``settings.sample`` rows,
-    the same number per label, chosen by the smallest hash of the id.
+    ``lettered`` holds (id, text, lang), ``sizes`` its rows per label. Rows come by the smallest hash of the id; of
+    rows that share an id those with the smallest classes and counts come first, so the bound holds for any ids.
     """
-    rows = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("lang")).where("lang is not null")
-    df, texts = document_frequencies(rows, "text", settings)
-    idf = np.log((1 + texts) / (1 + df)) + 1
-    lettered = rows.where(F.col("text").rlike(r"\p{L}"))
-    sizes = {r.lang: r["count"] for r in lettered.groupBy("lang").count().collect()}
-    labels = sorted(sizes)
-    each = max(8, settings.sample // max(1, len(labels)))
+    each = max(8, settings.sample // max(1, len(sizes)))
     # about twice the rows wanted pass the hash limit of their label, so that few rows meet in the window
     limits = [F.lit(x) for lang, n in sizes.items() for x in (lang, -(2**63) + min(2**64 - 1, 2**64 * 2 * each // n))]
     near = lettered.select("id", "lang").where("id is not null")
@@ -144,23 +138,39 @@ def fit(rows: DataFrame, settings: Settings = Settings(), id_column: str = "doc_
         near = near.where(F.xxhash64("id") <= F.element_at(F.create_map(*limits), F.col("lang")))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     picked = near.withColumn("n", order).where(F.col("n") <= each).select("id", "lang").distinct()
-    if each * len(labels) <= 1 << 16:
+    if each * len(sizes) <= 1 << 16:
         picked = F.broadcast(picked)
-    chosen = lettered.join(picked, ["id", "lang"], "left_semi").select("lang", "text")
+    chosen = lettered.join(picked, ["id", "lang"], "left_semi").select("lang", "text", F.xxhash64("id").alias("h"))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             found = [counts(t, settings) for t in frame.column(1).to_pylist()]
             used = [np.flatnonzero(c) for c in found]
             yield pa.RecordBatch.from_arrays(
-                [frame.column(0), pa.array([u.astype(np.int32) for u in used], pa.list_(pa.int32())), pa.array([np.minimum(c[u], 2**31 - 1).astype(np.int32) for c, u in zip(found, used, strict=True)], pa.list_(pa.int32()))],
-                names=["lang", "i", "n"],
+                [frame.column(0), frame.column(2), pa.array([u.astype(np.int32) for u in used], pa.list_(pa.int32())), pa.array([np.minimum(c[u], 2**31 - 1).astype(np.int32) for c, u in zip(found, used, strict=True)], pa.list_(pa.int32()))],
+                names=["lang", "h", "i", "n"],
             )
 
-    sample = chosen.mapInArrow(run, "lang string, i array<int>, n array<int>").toPandas()
+    read = chosen.mapInArrow(run, "lang string, h long, i array<int>, n array<int>")
+    return read.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i", "n"))).where(F.col("at") <= each).select("lang", "i", "n")
+
+
+def fit(rows: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> Model:
+    """Fits centroids per label.
+
+    Document frequencies cover all labelled rows. The centroids are fitted to at most ``settings.sample`` rows
+    (8 a label if that is more), the same number per label, chosen by the smallest hash of the id.
+    """
+    rows = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("lang")).where("lang is not null")
+    df, texts = document_frequencies(rows, "text", settings)
+    idf = np.log((1 + texts) / (1 + df)) + 1
+    lettered = rows.where(F.col("text").rlike(r"\p{L}"))
+    sizes = {r.lang: r["count"] for r in lettered.groupBy("lang").count().collect()}
+    labels = sorted(sizes)
+    sample = sampled(lettered, sizes, settings).toPandas()
     centres, owner, floors = [], [], []
     for at, label in enumerate(labels):
-        own = sample[sample.lang == label].sort_values("i", key=lambda c: c.map(tuple)) if len(sample) else sample
+        own = sample[sample.lang == label].sort_values(["i", "n"], key=lambda c: c.map(tuple)) if len(sample) else sample
         dense = np.zeros((len(own), settings.dimensions))
         for row, (i, n) in enumerate(zip(own.i, own.n, strict=True)):
             dense[row, i] = n
