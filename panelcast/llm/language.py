@@ -24,8 +24,9 @@ _CHUNK = 1 << 18
 class Settings:
     """``sample``: most labelled documents, over all languages, that the centroids are fitted to.
 
-    ``reject``: a document is rejected if its cosine to the best centroid is below this share of the least
-    cosine of that language's fitted documents.
+    ``reject``: a document is rejected if its cosine to the best centroid is below this share of ``low``, the quantile
+    of the cosines of that language's fitted documents of its size class (number of distinct n-gram classes, in powers
+    of two). Cosines rise with size, so a class has at most the limit of every larger one.
     """
 
     dimensions: int = 4096
@@ -33,7 +34,8 @@ class Settings:
     centroids: int = 3
     sample: int = 2048
     rounds: int = 10
-    reject: float = 0.3
+    reject: float = 0.6
+    low: float = 0.01
 
 
 def has_letter(text: str | None) -> bool:
@@ -60,9 +62,30 @@ def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def size_classes(found: np.ndarray) -> np.ndarray:
+    """The size class of each row of counts: 0 for none, k for 2^(k-1) to 2^k - 1 distinct n-gram classes."""
+    return np.frexp((found > 0).sum(axis=1))[1]
+
+
+def limits(cosines: np.ndarray, sizes: np.ndarray, settings: Settings) -> np.ndarray:
+    """Least accepted cosine of every size class.
+
+    Classes above all fitted documents take the largest fitted one's limit. Below the smallest fitted one a limit falls
+    with the root of the size, as the cosine of a part of equal components does.
+    """
+    top = settings.dimensions.bit_length() + 1
+    known = sorted(set(sizes.tolist()))
+    out = np.full(top, np.quantile(cosines[sizes == known[-1]], settings.low) if known else 0.0)
+    for size in reversed(known):
+        out[: size + 1] = np.minimum(out[: size + 1], np.quantile(cosines[sizes == size], settings.low))
+    if known:
+        out[: known[0]] *= np.sqrt(0.5) ** np.arange(known[0], 0, -1)
+    return settings.reject * out
+
+
 @dataclass(frozen=True)
 class Model:
-    """Centroids of all languages; ``floors`` holds each language's least accepted cosine."""
+    """Centroids of all languages; ``floors`` holds each language's least accepted cosine per size class."""
 
     settings: Settings
     idf: np.ndarray
@@ -77,15 +100,15 @@ class Model:
         for i in range(0, len(texts), step):
             part = texts[i : i + step]
             use = [has_letter(t) for t in part]
-            x = vectors(np.array([counts(t, self.settings) if u else np.zeros(self.settings.dimensions, np.int64) for t, u in zip(part, use, strict=True)]), self.idf)
-            near = x @ self.centroids.T
-            for u, row in zip(use, near, strict=True):
+            found = np.array([counts(t, self.settings) if u else np.zeros(self.settings.dimensions, np.int64) for t, u in zip(part, use, strict=True)])
+            near = vectors(found, self.idf) @ self.centroids.T
+            for u, size, row in zip(use, size_classes(found), near, strict=True):
                 if not u or not len(row):
                     yield UNKNOWN, 0.0, True
                     continue
                 k = int(np.argmax(row))
                 score = float(min(1.0, max(0.0, row[k])))
-                yield self.languages[self.owner[k]], score, bool(score < self.settings.reject * self.floors[self.owner[k]])
+                yield self.languages[self.owner[k]], score, bool(score < self.floors[self.owner[k], size])
 
 
 def clusters(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
@@ -178,7 +201,7 @@ def fit(rows: DataFrame, settings: Settings = Settings(), id_column: str = "doc_
         made = clusters(x, settings.centroids, settings.rounds) if len(x) else np.zeros((0, settings.dimensions))
         centres.append(made)
         owner += [at] * len(made)
-        floors.append(float((x @ made.T).max(axis=1).min()) if len(made) else 0.0)
+        floors.append(limits((x @ made.T).max(axis=1) if len(made) else np.zeros(0), size_classes(dense), settings))
     together = np.concatenate(centres) if centres else np.zeros((0, settings.dimensions))
     return Model(settings, idf, tuple(labels), together, np.array(owner, np.int64), np.array(floors))
 

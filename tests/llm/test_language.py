@@ -1,8 +1,10 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from corpus import frame
-from panelcast.llm.language import Settings, counts, fit, held_out, identify
+from panelcast.llm.language import Settings, counts, fit, held_out, identify, limits, sampled
 
 TEXTS = {
     "en": "the river was wide and the people walked along the bank with their dogs while it rained and the wind was cold",
@@ -51,3 +53,44 @@ def test_held_out_accuracy(spark):
     made = identify(docs, fit(docs.where(~hidden))).where(hidden).select("lang", "_language.*")
     total, right, gone = made.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.sum(F.col("rejected").cast("int"))).first()
     assert right >= 0.98 * total and gone <= 0.01 * total
+
+
+SCRIPTS = {"cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "han": range(0x4E00, 0x5A00), "latin noise": range(0x61, 0x7B)}
+
+
+def test_unlearned_scripts_and_noise_of_any_length_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    made = random.Random(3)
+    texts = [
+        " ".join("".join(chr(made.choice(letters)) for _ in range(made.randint(2, 8))) for _ in range(words))
+        for letters in SCRIPTS.values() for words in (50, 120, 300, 800, 2000) for _ in range(5)
+    ]
+    model = fit(docs.where(~held_out(F.col("doc_id"))))
+    found = [rejected for _, _, rejected in model.predict(texts)]
+    assert sum(found) >= 0.95 * len(found)
+
+
+def test_nearest_centroid_equals_a_plain_loop(spark):
+    docs = labelled(spark)
+    model = fit(docs)
+    texts = [r.text for r in docs.collect()][::7] + ["dogs und rivière", "x"]
+    for text, (lang, score, _) in zip(texts, model.predict(texts), strict=True):
+        weights = [np.log1p(int(n)) * float(w) for n, w in zip(counts(text, model.settings), model.idf, strict=True)]
+        length = sum(w * w for w in weights) ** 0.5
+        cosines = [sum(w * c for w, c in zip(weights, centre, strict=True) if w) / length for centre in model.centroids]
+        assert abs(max(cosines) - score) < 1e-9
+        assert any(abs(c - score) < 1e-9 and model.languages[o] == lang for c, o in zip(cosines, model.owner, strict=True))
+
+
+def test_rows_of_one_id_stay_within_the_sample(spark):
+    settings = Settings(sample=64)
+    rows = [(7, f"some words {i % 90} and {'more ' * (i % 5)}", "en") for i in range(600)] + [(i, "andere worte", "de") for i in range(50)]
+    lettered = frame(spark, rows, "id long, text string, lang string", extra="")
+    sizes = {r.lang: r["count"] for r in lettered.groupBy("lang").count().collect()}
+    assert {r.lang: r["count"] for r in sampled(lettered, sizes, settings).groupBy("lang").count().collect()} == {"en": 32, "de": 32}
+
+
+def test_limits_rise_with_size():
+    made = limits(np.array([0.4, 0.9, 0.5]), np.array([3, 5, 7]), Settings(reject=0.5, low=0.0))
+    assert np.allclose(made[:3], 0.2 * np.sqrt([0.125, 0.25, 0.5])) and np.allclose(made[3], 0.2) and np.allclose(made[4:], 0.25)
+    assert not limits(np.zeros(0), np.zeros(0, int), Settings()).any()
