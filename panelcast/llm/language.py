@@ -150,17 +150,17 @@ def document_frequencies(rows: DataFrame, text_column: str, settings: Settings)
 def sampled(lettered: DataFrame, sizes: dict[str, int], settings: Settings) -> DataFrame:
     """(lang, i, n): the n-gram classes and counts of at most ``max(8, settings.sample / labels)`` rows of each label.
 
-    ``lettered`` holds (id, text, lang), ``sizes`` its rows per label. Rows come by the smallest hash of the id; of
+    ``lettered`` holds (id, text, lang), ``sizes`` about how many ids each label has. Rows come by the smallest hash of the id; of
     rows that share an id those with the smallest classes and counts come first, so the bound holds for any ids.
     """
     each = max(8, settings.sample // max(1, len(sizes)))
-    # about twice the rows wanted pass the hash limit of their label, so that few rows meet in the window
-    limits = [F.lit(x) for lang, n in sizes.items() for x in (lang, -(2**63) + min(2**64 - 1, 2**64 * 2 * each // n))]
+    # about four times the ids wanted pass the hash limit of their label, so that few rows meet in the window
+    bounds = [F.lit(x) for lang, n in sizes.items() for x in (lang, -(2**63) + min(2**64 - 1, 2**64 * 4 * each // max(1, n)))]
     near = lettered.select("id", "lang").where("id is not null")
-    if limits:
-        near = near.where(F.xxhash64("id") <= F.element_at(F.create_map(*limits), F.col("lang")))
+    if bounds:
+        near = near.where(F.xxhash64("id") <= F.element_at(F.create_map(*bounds), F.col("lang"))).distinct()
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = near.withColumn("n", order).where(F.col("n") <= each).select("id", "lang").distinct()
+    picked = near.withColumn("n", order).where(F.col("n") <= each).select("id", "lang")
     if each * len(sizes) <= 1 << 16:
         picked = F.broadcast(picked)
     chosen = lettered.join(picked, ["id", "lang"], "left_semi").select("lang", "text", F.xxhash64("id").alias("h"))
@@ -188,7 +188,7 @@ def fit(rows: DataFrame, settings: Settings = Settings(), id_column: str = "doc_
     df, texts = document_frequencies(rows, "text", settings)
     idf = np.log((1 + texts) / (1 + df)) + 1
     lettered = rows.where(F.col("text").rlike(r"\p{L}"))
-    sizes = {r.lang: r["count"] for r in lettered.groupBy("lang").count().collect()}
+    sizes = {r.lang: r.ids for r in lettered.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids")).collect()}
     labels = sorted(sizes)
     sample = sampled(lettered, sizes, settings).toPandas()
     centres, owner, floors = [], [], []

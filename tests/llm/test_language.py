@@ -86,7 +86,8 @@ def test_rows_of_one_id_stay_within_the_sample(spark):
     settings = Settings(sample=64)
     rows = [(7, f"some words {i % 90} and {'more ' * (i % 5)}", "en") for i in range(600)] + [(i, "andere worte", "de") for i in range(50)]
     lettered = frame(spark, rows, "id long, text string, lang string", extra="")
-    sizes = {r.lang: r["count"] for r in lettered.groupBy("lang").count().collect()}
+    assert fit(lettered.withColumnRenamed("id", "doc_id"), settings).languages == ("de", "en")
+    sizes = {"en": 1, "de": 50}
     assert {r.lang: r["count"] for r in sampled(lettered, sizes, settings).groupBy("lang").count().collect()} == {"en": 32, "de": 32}
 
 
