@@ -247,14 +247,14 @@ def _two_columns(table: str, where: str, name: str) -> str:
 {name} AS (SELECT symbol, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2, m1, m2, my FROM {name}_m)"""
 
 
-_LINEAR = sql.samples() + """, lim AS (SELECT symbol, quantile_cont(close, 0.01) AS l1, quantile_cont(close, 0.99) AS h1, quantile_cont(volume, 0.01) AS l2,
+CLIPPED_TWO = sql.samples() + """, lim AS (SELECT symbol, quantile_cont(close, 0.01) AS l1, quantile_cont(close, 0.99) AS h1, quantile_cont(volume, 0.01) AS l2,
   quantile_cont(volume, 0.99) AS h2 FROM samples WHERE split = 'train' GROUP BY 1),
 ready AS (SELECT s.*, """ + f"{sql.clip('close', 'l1', 'h1')} AS x1, {sql.clip('volume', 'l2', 'h2')} AS x2" + " FROM samples s JOIN lim USING (symbol))"
 
 
 @query(
     "g1_linear_holdout",
-    _LINEAR + _two_columns("ready", "split <> 'test'", "fit") + f""", scored AS (SELECT r.*, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted
+    CLIPPED_TWO + _two_columns("ready", "split <> 'test'", "fit") + f""", scored AS (SELECT r.*, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted
     FROM ready r JOIN fit USING (symbol) WHERE split = 'test') SELECT {FORECAST} FROM scored""",
 )
 def g1_linear_holdout(spark: SparkSession, folder: str) -> DataFrame:
@@ -268,7 +268,7 @@ def g1_linear_holdout_six_columns(spark: SparkSession, folder: str) -> DataFrame
 
 @query(
     "g1_selection_log",
-    _LINEAR + _two_columns("ready", "split = 'train'", "fit") + f""", scored AS (SELECT r.*, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted
+    CLIPPED_TWO + _two_columns("ready", "split = 'train'", "fit") + f""", scored AS (SELECT r.*, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted
     FROM ready r JOIN fit USING (symbol) WHERE split = 'validation')
     SELECT symbol, 'selection' AS phase, count(predicted) AS n, {RND('sqrt(avg((target - predicted) ** 2))', 4)} AS rmse FROM scored GROUP BY 1""",
 )
@@ -278,7 +278,7 @@ def g1_selection_log(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "g2_scaled_linear_holdout",
-    _LINEAR + _two_columns("ready", "split <> 'test'", "fit") + f""", scored AS (SELECT r.*, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted
+    CLIPPED_TWO + _two_columns("ready", "split <> 'test'", "fit") + f""", scored AS (SELECT r.*, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted
     FROM ready r JOIN fit USING (symbol) WHERE split = 'test') SELECT {FORECAST} FROM scored""",
 )
 def g2_scaled_linear_holdout(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.columns import rounded
 from panelcast.operators import autoregression as ar
-from panelcast.operators import report
+from panelcast.operators import iterative, report
 from panelcast.operators.evaluate import METRIC_KEYS, METRICS, forecast_counts, metrics, sorted_metrics, sorted_predictions
 from panelcast.plans import sql
 from panelcast.plans.catalogue import query
 from panelcast.plans.experiments import COMPARED, metric_rows, predictions
-from panelcast.plans.forecast_queries import metric_output, metric_output_sql
-from panelcast.plans.panels import panel, split_panel
+from panelcast.plans.forecast_queries import CLIPPED_TWO, FORECAST, forecast_rows, metric_output, metric_output_sql
+from panelcast.plans.panels import panel, samples, split_panel
 from panelcast.sources import files, sinks
 from panelcast.sources.shared import new_path
 
@@ -236,6 +236,58 @@ def h22_training_curve(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("model", "ordinal", rounded("mean_rmse", 3).alias("mean_rmse"), rounded("std_rmse", 3).alias("std_rmse"))
 
 
+_DESCENT = iterative.Descent(penalty=0.05, epochs=40, patience=5)
+_SIZE = _DESCENT.rate / 2
+_CUT = _SIZE * _DESCENT.penalty * _DESCENT.mix
+_SHRINK = 1 + _SIZE * _DESCENT.penalty * (1 - _DESCENT.mix)
+
+
+def _moments_sql(name: str, where: str) -> str:
+    """Means and covariances of the two clipped columns and the target."""
+    return f""", {name} AS (SELECT symbol, avg(x1) AS m1, avg(x2) AS m2, avg(target) AS my, var_pop(x1) AS c11, var_pop(x2) AS c22, var_pop(target) AS cyy,
+      covar_pop(x1, x2) AS c12, covar_pop(x1, target) AS c1y, covar_pop(x2, target) AS c2y FROM ready WHERE {where} GROUP BY 1)"""
+
+
+def _step_sql(at: str, other: str, cross: str, w: str) -> str:
+    moved = f"({at} - {_SIZE} * ({at} + {w} * {other} - {cross}))"
+    return f"sign({moved}) * greatest(abs({moved}) - {_CUT}, 0) / {_SHRINK}"
+
+
+_UNITS = "sqrt(t.c11) AS u1, sqrt(t.c22) AS u2, sqrt(t.cyy) AS uy, t.c12 / sqrt(t.c11 * t.c22) AS r12, t.c1y / sqrt(t.c11 * t.cyy) AS r1y, t.c2y / sqrt(t.c22 * t.cyy) AS r2y"
+_LOSS = "((dy - w1 * d1 - w2 * d2) ** 2 + vyy - 2 * w1 * v1y - 2 * w2 * v2y + w1 * w1 * v11 + w2 * w2 * v22 + 2 * w1 * w2 * v12)"
+_EPOCHS = (
+    "WITH RECURSIVE " + CLIPPED_TWO.removeprefix("WITH ") + _moments_sql("t", "split = 'train'") + _moments_sql("v", "split = 'validation'") + _moments_sql("b", "split <> 'test'")
+    + f""", units AS (SELECT symbol, {_UNITS} FROM t),
+    scaled AS (SELECT u.*, (v.m1 - t.m1) / u1 AS d1, (v.m2 - t.m2) / u2 AS d2, (v.my - t.my) / uy AS dy, v.c11 / u1 ** 2 AS v11, v.c22 / u2 ** 2 AS v22, v.cyy / uy ** 2 AS vyy,
+      v.c12 / (u1 * u2) AS v12, v.c1y / (u1 * uy) AS v1y, v.c2y / (u2 * uy) AS v2y FROM units u JOIN t USING (symbol) JOIN v USING (symbol)),
+    epochs AS (SELECT symbol, 0 AS epoch, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, dy ** 2 + vyy AS loss, dy ** 2 + vyy AS best, 0 AS best_epoch FROM scaled
+      UNION ALL SELECT symbol, epoch, w1, w2, loss, CASE WHEN loss < best - {_DESCENT.least} THEN loss ELSE best END, CASE WHEN loss < best - {_DESCENT.least} THEN epoch ELSE best_epoch END
+      FROM (SELECT *, {_LOSS} AS loss FROM (SELECT s.*, e.epoch + 1 AS epoch, e.best, e.best_epoch, {_step_sql('e.w1', 'r12', 'r1y', 'e.w2')} AS w1, {_step_sql('e.w2', 'r12', 'r2y', 'e.w1')} AS w2
+        FROM epochs e JOIN scaled s USING (symbol) WHERE e.epoch < {_DESCENT.epochs} AND e.epoch - e.best_epoch < {_DESCENT.patience}) moved) judged)"""
+)
+
+
+@query("h22_epoch_curve", _EPOCHS + f" SELECT 'elastic_net' AS model, epoch, {RND('avg(loss)', 5)} AS mean_loss, {RND('coalesce(stddev_samp(loss), 0)', 5)} AS std_loss FROM epochs GROUP BY 2")
+def h22_epoch_curve(spark: SparkSession, folder: str) -> DataFrame:
+    """Validation loss by epoch of elastic-net fits by gradient steps, each symbol until it stops."""
+    model, _ = iterative.clipped_descent(samples(spark, folder), ["close", "volume"], _DESCENT)
+    made = report.training_curve(iterative.epoch_log(model, "elastic_net"), "epoch", "loss")
+    return made.select("model", "epoch", rounded("mean_loss", 5).alias("mean_loss"), rounded("std_loss", 5).alias("std_loss"))
+
+
+@query(
+    "h22_early_stopped_forecast",
+    _EPOCHS + f""", wanted AS (SELECT symbol, arg_max(best_epoch, epoch) AS n FROM epochs GROUP BY 1), merged AS (SELECT symbol, {_UNITS.replace('t.', 'b.')} FROM b),
+    again AS (SELECT symbol, 0 AS epoch, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM merged
+      UNION ALL SELECT symbol, a.epoch + 1, {_step_sql('a.w1', 'r12', 'r1y', 'a.w2')}, {_step_sql('a.w2', 'r12', 'r2y', 'a.w1')} FROM again a JOIN merged USING (symbol) JOIN wanted USING (symbol) WHERE a.epoch < n),
+    final AS (SELECT a.symbol, w1 * uy / u1 AS w1, w2 * uy / u2 AS w2 FROM again a JOIN merged USING (symbol) JOIN wanted USING (symbol) WHERE epoch = n),
+    scored AS (SELECT r.*, b.my + l.w1 * (x1 - b.m1) + l.w2 * (x2 - b.m2) AS predicted FROM ready r JOIN final l USING (symbol) JOIN b USING (symbol) WHERE split = 'test') SELECT {FORECAST} FROM scored""",
+)
+def h22_early_stopped_forecast(spark: SparkSession, folder: str) -> DataFrame:
+    """Test rows by the elastic net refitted to train and validation for the epochs chosen on validation."""
+    return forecast_rows(iterative.descent_holdout(samples(spark, folder), ["close", "volume"], _DESCENT))
+
+
 @query(
     "h22_metric_spread",
     sql.metrics() + f""" SELECT model, prediction_horizon, {RND('avg(smape)', 6)} AS mean_smape, {RND('coalesce(stddev_samp(smape), 0)', 6)} AS std_smape
