@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,27 @@ def _experiment(spark: SparkSession, folder: str, source: str, horizon: int) ->
     ]
 
 
+def run_cells(spark: SparkSession, root: str, cells: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The rows of all cells; a cell that an earlier run committed under ``root`` is read, not computed again.
+
+    A cell is written whole to its own folder, over what a broken run left there, and then named in ``root/committed``.
+    A run that ends at any point so resumes with the first cell not named, and gives the rows of an unbroken one.
+    """
+    manifest = f"{root}/committed"
+    spark.createDataFrame([], "cell string").write.mode("append").parquet(manifest)
+    done = {r.cell for r in spark.read.schema("cell string").parquet(manifest).where(F.col("cell").isin(*cells)).distinct().collect()}
+    for name, build in cells.items():
+        if name not in done:
+            build().write.mode("overwrite").parquet(f"{root}/cell-{name}")
+            spark.createDataFrame([(name,)], "cell string").coalesce(1).write.mode("append").parquet(manifest)
+    return union_frames([spark.read.parquet(f"{root}/cell-{name}") for name in cells])
+
+
+def prediction_cells(spark: SparkSession, folder: str, source: str = "lineitem", horizons: tuple[int, ...] = (1, 5)) -> dict[str, Callable[[], DataFrame]]:
+    """One cell per horizon, with all its models and evaluations, which share their rows."""
+    return {f"h{h}": (lambda h=h: union_frames(_experiment(spark, folder, source, h))) for h in horizons}
+
+
 def predictions(spark: SparkSession, folder: str, source: str = "lineitem", horizons: tuple[int, ...] = (1, 5)) -> DataFrame:
     """Three models, two evaluations, every horizon; each experiment is written once."""
 

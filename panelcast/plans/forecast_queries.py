@@ -14,9 +14,10 @@ from panelcast.operators.regression import linear_holdout, selection_log, walk_f
 from panelcast.operators.report import missing_runs
 from panelcast.plans import sql
 from panelcast.plans.catalogue import query
-from panelcast.plans.experiments import WINDOW, arima_forecasts, attach_forecast, predictions
+from panelcast.plans.experiments import WINDOW, arima_forecasts, attach_forecast, prediction_cells, predictions, run_cells
 from panelcast.plans.panels import panel, samples, split_panel
 from panelcast.config import MODELS, Settings
+from panelcast.sources.shared import new_path
 
 RND = sql.rnd
 KEYS = ["symbol", "feature_date", "target_date", "step"]
@@ -714,6 +715,15 @@ def g15_missing_runs(spark: SparkSession, folder: str) -> DataFrame:
     return missing_runs(experiment_grid(spark, Settings()).select(*keys), predictions(spark, folder), keys)
 
 
+@query("g15_resumed_run", sql.predictions() + " SELECT experiment_key, model, evaluation, count(*) AS rows, count(predicted) AS forecasts FROM predictions GROUP BY 1, 2, 3")
+def g15_resumed_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A run that ended after its first cell, taken up again."""
+    root, cells = new_path(spark, "run"), prediction_cells(spark, folder)
+    run_cells(spark, root, dict(list(cells.items())[:1]))
+    made = run_cells(spark, root, cells)
+    return made.groupBy("experiment_key", "model", "evaluation").agg(F.count("*").alias("rows"), F.count("predicted").alias("forecasts"))
+
+
 @query(
     "g16_experiment_keys",
     sql.split_panel() + " SELECT symbol, 'adjclose_h' || count(*) || '_w' || min(seq) AS experiment_key FROM split_panel GROUP BY symbol",
