@@ -90,7 +90,10 @@ class SentencePieces:
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.bytes = Bytes([bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
         self.by_unit = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.known, self.most, self.short = {}, most, short
+        #: A last single space is a unit of its own, and the library adds no space to an empty text.
+        last = self.library.encode("a ")[len(self.library.encode("a")) :]
+        self.last_space = {" ": np.array(last, "<i4").tobytes()}
+        self.known, self.most, self.short = dict(self.last_space), most, short
 
     def _raw(self, units: list[str]) -> list[bytes]:
         """Ids of texts that begin with the space that the library adds itself."""
@@ -102,8 +105,8 @@ class SentencePieces:
         cut = [self.UNIT.findall(t) for t in texts]
         new = [u for u in set().union(*cut) if u not in self.known]
         if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = list(set().union(*cut))
+            self.known = dict(self.last_space)
+            new = [u for u in set().union(*cut) if u not in self.known]
         made = dict(zip(new, self._raw(new), strict=True))
         self.known.update((u, ids) for u, ids in made.items() if len(u) <= self.short)
         both = self.known | made if any(len(u) > self.short for u in new) else self.known

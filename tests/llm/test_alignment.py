@@ -165,3 +165,14 @@ def test_bytes_of_tokens(aligner):
     ids = np.array([0, 5, 5, 300, 50_000])
     for kind, each in ((aligner.a, [bytes(AS_BYTES[c] for c in LIBRARY.id_to_token(i)) for i in ids.tolist()]),):
         assert kind.bytes.at(ids).tobytes() == b"".join(each) and kind.bytes.sizes[ids].tolist() == [len(e) for e in each]
+
+
+def test_a_last_single_space_is_a_token(aligner, spark, tmp_path):
+    texts = ["hello ", "hello  ", ". . ", "日 ", "a\n ", " ", "hello"]
+    assert listed(aligner.groups(texts)) == [brute_groups(t) for t in texts] and all(brute_groups(t) for t in texts)
+    few = alignment.SentencePieces(MODEL, most=2)
+    assert [np.frombuffer(ids, "<i4").tolist() for t in texts for ids in few.encode([" " + t])] == [PIECES.encode(t) for t in texts]
+    rows = [*enumerate(texts), (90, texts[0]), (None, texts[2])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = [tuple(r[c] for c in NAMES) for r in QUERIES["op12_tokenizer_alignment"](spark, str(tmp_path)).collect()]
+    assert sorted(made, key=str) == sorted(expected(rows), key=str)
