@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelcast.llm.common import FEW_ROWS, parts
-from panelcast.llm.token_counts import PIECES, byte_symbols
+from panelcast.llm.token_counts import PIECES, byte_symbols, stretches
 from panelcast.sources.shared import new_path, written
 
-#: A single space between ASCII letters: pre-tokens begin there.
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-PART, CHUNK, MOST_PAIRS, WIDE = 1 << 18, 1 << 20, 1 << 22, 64
+CHUNK, MOST_PAIRS, WIDE = 1 << 20, 1 << 22, 64
 #: Ids of both vocabularies stay below 2 to this power.
 ID_BITS = 24
 
@@ -113,15 +111,6 @@ class SentencePieces:
         return [b"".join(map(both.__getitem__, units)) for units in cut]
 
 
-def stretches(text: str, most: int = PART) -> list[str]:
-    """``text`` in parts of about ``most`` characters, cut only where no byte-level token can reach over."""
-    out, start = [], 0
-    while len(text) - start > most and (found := _CUT.search(text, start + most)):
-        out.append(text[start : found.start()])
-        start = found.start()
-    return [*out, text[start:]]
-
-
 @dataclass(slots=True)
 class Groups:
     """Token ids of some texts by group; ``of_text`` and ``a_of``, ``b_of`` are offsets of groups and of tokens."""

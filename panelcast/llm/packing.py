@@ -13,14 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from panelcast.llm.common import Memo, batches, parts
-from panelcast.llm.token_counts import PIECES, Pieces, byte_symbols
+from panelcast.llm.common import batches, parts
+from panelcast.llm.token_counts import PIECES, Pieces, byte_symbols, stretches
 
 
-def piece_encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of one pre-token. Where ids follow the order of merges, the same merges run in the faster library."""
+def text_encoder(path: str) -> Callable[[str], bytes]:
+    """Ids of a text without special strings. Where ids follow the order of merges, the same merges run in the faster library."""
     library = Tokenizer.from_file(path)
-    slow = lambda piece: library.encode(piece, add_special_tokens=False).ids
+    slow = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     with open(path, encoding="utf-8") as file:
         model = json.load(file)["model"]
     ids = model["vocab"]
@@ -32,31 +32,29 @@ def piece_encoder(path: str) -> Callable[[str], list[int]]:
     ranks = {bytes(symbols[c] for c in token): i for token, i in ids.items() if set(token) <= symbols.keys() and (len(token) == 1 or i in merged)}
     fast = tiktoken.Encoding("pieces", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(piece: str) -> list[int]:
+    def encode(text: str) -> bytes:
         try:
-            return fast.encode_ordinary(piece)
+            return np.array(fast.encode_ordinary(text), "<u4").tobytes()
         except ValueError:  # its pattern gives up on very long runs of white space
-            return slow(piece)
+            return slow(text)
 
     return encode
 
 
 class TokenBytes:
-    """Ids of a text as little-endian unsigned 32-bit values; each distinct pre-token is encoded once."""
+    """Ids of a text as little-endian unsigned 32-bit values."""
 
     def __init__(self, path: str):
         added = Tokenizer.from_file(path).get_added_tokens_decoder()
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
         self.pieces = Pieces(list(self.special))
-        encode = piece_encoder(path)
-        self.known = Memo(lambda piece: np.array(encode(piece), "<u4").tobytes(), 1 << 18)
+        self.text = text_encoder(path)
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of the whole text, a bounded part at a time."""
-        stretches, specials = self.pieces.spans(text)
-        for i, stretch in enumerate(stretches):
-            for block in self.pieces.blocks(stretch):
-                yield b"".join(map(self.known.__getitem__, block))
+        between, specials = self.pieces.spans(text)
+        for i, stretch in enumerate(between):
+            yield from map(self.text, stretches(stretch))
             if i < len(specials):
                 yield self.special[specials[i]]
 

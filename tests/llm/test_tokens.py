@@ -35,6 +35,17 @@ def test_odd_texts(text):
     assert np.frombuffer(b"".join(BYTES.encode(text or "")), "<u4").tolist() == ids(text)
 
 
+def test_a_text_is_encoded_in_few_calls(monkeypatch):
+    texts = [" ".join(f"word{i} {i}," for i in range(20_000)), "a<|endoftext|>b \n\n c", "x" * 300_000 + " y z"]
+    coder, calls = TokenBytes(VOCABULARY), []
+    encode = coder.text
+    monkeypatch.setattr(coder, "text", lambda part: calls.append(part) or encode(part))
+    for text, most in zip(texts, (2, 2, 2), strict=True):
+        calls.clear()
+        assert np.frombuffer(b"".join(coder.encode(text)), "<u4").tolist() == ids(text)
+        assert len(calls) <= most
+
+
 def test_count_table(spark):
     rows = [*enumerate(ODD), (None, "null id"), (0, None)]
     made = count_tokens(frame(spark, rows), VOCABULARY).collect()
