@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ SLOTS = ("<num>", "<unit>", "<name>")
 _END, _NUMBER, _UNIT, _SIGN, _NAME = (np.uint64(1 << i) for i in range(5))
 _FLAGS = np.uint64(63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 @dataclass(frozen=True)
@@ -47,21 +49,20 @@ class Rules:
     most_keys: int = 1 << 20
 
 
+_FLAGS_OF = {t: int(_END) for t in ".!?\n"} | {t: int(_UNIT | _SIGN) for t in "%$€£"} | {t: int(_UNIT) for t in UNITS} | {t: int(_NUMBER) for t in NUMBER_WORDS}
+_IS_NUMBER, _IS_NAME, _IS_HASH = int(_NUMBER), int(_NAME), ~int(_FLAGS)
+
+
 def _known(token: str) -> int:
     """A hash of the token in lower case, and in the lowest six bits what the token can be."""
     low = token.lower()
-    flags = 0
-    if token in ".!?\n":
-        flags = _END
-    elif token[0].isdigit() or low in NUMBER_WORDS:
-        flags = _NUMBER
-    elif token in "%$€£":
-        flags = _UNIT | _SIGN
-    elif low in UNITS:
-        flags = _UNIT
-    if len(token) > 1 and token[0].isupper() and not token.isupper() and not flags & _NUMBER:
-        flags |= _NAME
-    return (xxhash.xxh64_intdigest(low.encode("utf-8", "replace")) & ~63) | int(flags)
+    flags = _FLAGS_OF.get(low, 0)
+    first = token[0]
+    if first.isdigit():
+        flags = _IS_NUMBER
+    elif first.isupper() and len(token) > 1 and flags != _IS_NUMBER and not token.isupper():
+        flags |= _IS_NAME
+    return xxhash.xxh64_intdigest(low.encode("utf-8", "replace")) & _IS_HASH | flags
 
 
 class Templates:
@@ -80,23 +81,32 @@ class Templates:
 
     def readings(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``read``, which words of the template could be a name, and which of them are the first of a sentence."""
-        tokens = TOKEN.findall(text or "")
+        tokens, _, *rest = self.of_texts([text])
+        return tokens, *rest
+
+    def of_texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``readings`` of some texts, one after the other, with the text of each word after the tokens."""
+        found = [TOKEN.findall(t or "") for t in texts]
+        tokens = found[0] if len(found) == 1 else list(chain.from_iterable(found))
         v = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
+        text = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        new = np.concatenate([[True], text[1:] != text[:-1]])[: len(v)]
         end = (v & _END) > 0
-        first = np.concatenate([[True], end[:-1]])
+        first = new | np.concatenate([[True], end[:-1]])[: len(v)]
         at = np.flatnonzero(~end)
-        v, first = v[at], first[at]
+        v, first, text = v[at], first[at], text[at]
         number = (v & _NUMBER) > 0
-        after = np.concatenate([[False], number[:-1]])
+        after = np.concatenate([[False], number[:-1] & (text[1:] == text[:-1])])[: len(v)]
         kind = np.zeros(len(v), np.int8)
         named = (v & _NAME) > 0
         if (inside := named & ~first).any():
-            kind[named & np.isin(v, np.unique(v[inside]))] = 3
+            own = mix(v) + text.astype(np.uint64) * _BASE
+            kind[named & np.isin(own, np.unique(own[inside]))] = 3
         kind[after & ((v & _UNIT) > 0)] = 2
         kind[number] = 1
         named &= (kind == 0) | (kind == 3)
         use = (kind > 0) | ((v & _SIGN) == 0)
-        return tokens, at[use], kind[use], (v & ~_FLAGS)[use], named[use], (named & first)[use]
+        return tokens, text[use], at[use], kind[use], (v & ~_FLAGS)[use], named[use], (named & first)[use]
 
 
 def template(text: str | None) -> list[str]:
@@ -107,11 +117,16 @@ def template(text: str | None) -> list[str]:
 class Windows:
     """Hashed template windows of texts; only those with a key in the sorted ``keep`` if given."""
 
+    STEP = 4096
+
     def __init__(self, rules: Rules, keep: np.ndarray | None = None, sizes: frozenset[int] | None = None):
         self.rules, self.keep, self.sizes, self.templates = rules, keep, sizes, Templates()
         if keep is not None:
             self.likely = np.zeros(1 << 20, bool)
             self.likely[keep >> np.uint64(44)] = True
+        # powers of the base and of its inverse: a window's key is a difference of running sums
+        self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(self.STEP + rules.window, b))) for b in (_BASE, _INVERSE))
+        self.whole = self.up * np.arange(len(self.up), dtype=np.uint64)
 
     def of(self, text: str | None) -> Iterator[tuple[int, int, int, list[int]]]:
         """(key, first word, words, hashed slot values) of each window with enough literal words.
@@ -120,30 +135,42 @@ class Windows:
         size that the text has words for, and each in all readings: a capitalised word is a word or a name if it is the
         first of a sentence, or of the window, where an item may begin.
         """
-        _, _, kind, values, named, first = self.templates.readings(text)
+        return (w[1:] for w in self.of_texts([text]))
+
+    def of_texts(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, list[int]]]:
+        """``of`` for some texts together, the number of the text before each window."""
+        _, text, _, kind, values, named, first = self.templates.of_texts(texts)
+        words = np.bincount(text, minlength=len(texts))
+        starts, most = np.cumsum(words) - words, self.rules.window
         if self.sizes is None:
-            if size := min(self.rules.window, len(kind)):
-                yield from self._sized(kind, values, size, np.zeros(len(kind), bool), np.zeros(len(kind), bool))
+            none = np.zeros(len(kind), bool)
+            for size in np.unique(np.minimum(words, most)[words > 0]).tolist():
+                yield from self._sized(text, starts, np.minimum(words, most) == size, kind, values, size, none, none)
             return
-        for size in sorted({self.rules.window, *self.sizes}):
+        for size in sorted({most, *self.sizes}):
             # shorter items could be anywhere: they are found as the whole text only
-            if size == len(kind) or self.rules.literals <= size < len(kind):
-                yield from self._sized(kind, values, size, named, first)
-
-    def _sized(self, kind: np.ndarray, values: np.ndarray, size: int, named: np.ndarray, first: np.ndarray, step: int = 4096) -> Iterator[tuple[int, int, int, list[int]]]:
+            mine = (words == size) | ((self.rules.literals <= size) & (size < words))
+            if mine.any():
+                yield from self._sized(text, starts, mine, kind, values, size, named, first)
+
+    def _sized(
+        self, text: np.ndarray, starts: np.ndarray, mine: np.ndarray, kind: np.ndarray, values: np.ndarray, size: int, named: np.ndarray, first: np.ndarray
+    ) -> Iterator[tuple[int, int, int, int, list[int]]]:
+        """Windows of ``size`` words of the texts in ``mine``."""
         slot = kind > 0
         h = np.where(slot & ~first, kind.astype(np.uint64), values)
         change = np.uint64(3) - values
-        for start in range(0, len(h) - size + 1, step):
-            n = min(step, len(h) - size + 1 - start)
-            keys, literal = np.full(n, size, np.uint64), np.zeros(n, np.int64)
+        for start in range(0, len(h) - size + 1, self.STEP):
+            n = min(self.STEP, len(h) - size + 1 - start)
             at, names = np.arange(start, start + n), np.zeros(n, np.int64)
-            for i in range(size):
-                own = slice(start + i, start + i + n)
-                either = named[own] if i == 0 else first[own]
-                word = either | ~slot[own]
-                keys = keys * _BASE + (np.where(either, values[own], h[own]) if i == 0 else h[own])
-                literal += word
+            own, one = slice(start, start + n + size - 1), slice(start, start + n)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(h[own] * self.down[: n + size - 1], dtype=np.uint64)])
+            head = np.where(named[one], values[one] - h[one], np.uint64(0))
+            keys = self.whole[size] + (sums[size:] - sums[:-size]) * self.up[size - 1 : n + size - 1] + head * self.up[size - 1]
+            plain = ~slot[own]
+            words = np.concatenate([[0], np.cumsum(plain | first[own])])
+            literal = words[size:] - words[:-size] + (named[one] & ~first[one] & ~plain[:n]) - (first[one] & ~named[one] & ~plain[:n])
+            literal[(text[one] != text[start + size - 1 : start + size - 1 + n]) | ~mine[text[one]]] = -1  # beyond its text
             least = min(self.rules.literals, size)
             many = np.concatenate([[0], np.cumsum(first[start : start + n + size - 1])])
             several = np.flatnonzero(((many[size:] > many[:-size]) | named[at]) & (literal > least))
@@ -154,8 +181,7 @@ class Windows:
                 more = np.flatnonzero((named if i == 0 else first)[at + i] & (literal > least))
                 if not len(more):
                     continue
-                power = np.uint64(pow(int(_BASE), size - 1 - i, 1 << 64))
-                new = keys[more] + change[at[more] + i] * power, names[more] | 1 << i, at[more]
+                new = keys[more] + change[at[more] + i] * self.up[size - 1 - i], names[more] | 1 << i, at[more]
                 made.append(new)
                 literal = np.concatenate([literal, literal[more] - 1])
                 keys, names, at = (np.concatenate(c) for c in zip((keys, names, at), new, strict=True))
@@ -167,9 +193,10 @@ class Windows:
                     near = np.minimum(np.searchsorted(self.keep, keys[use]), len(self.keep) - 1)
                     use = use[self.keep[near] == keys[use]]
                 keys, names, at = keys[use], names[use], at[use]
-            for i, key, mask in zip(at.tolist(), signed(keys), names.tolist(), strict=True):
+            of = text[at]
+            for t, i, there, key, mask in zip(of.tolist(), at.tolist(), (at - starts[of]).tolist(), signed(keys), names.tolist(), strict=True):
                 slots = [k for k in range(i, i + size) if mask >> (k - i) & 1 or (slot[k] and not (named if k == i else first)[k])]
-                yield key, i, size, signed(values[slots])
+                yield t, key, there, size, signed(values[slots])
 
 
 def windows(texts: DataFrame, id_column: str, text_column: str, rules: Rules, keep: np.ndarray | None = None, sizes: frozenset[int] | None = None) -> DataFrame:
@@ -182,8 +209,14 @@ def windows(texts: DataFrame, id_column: str, text_column: str, rules: Rules, ke
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Windows(rules, keep, sizes)
-        rows = ((i, *w) for frame in parts(frames) for i, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True) for w in made.of(t))
-        return batches(rows, arrow)
+
+        def rows() -> Iterator[tuple]:
+            for frame in parts(frames, 32):
+                ids = frame.column(0).to_pylist()
+                for t, *window in made.of_texts(frame.column(1).to_pylist()):
+                    yield ids[t], *window
+
+        return batches(rows(), arrow)
 
     return texts.select(id_column, text_column).mapInArrow(run, f"id {kind}, key long, at int, size int, slots array<long>")
 

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from corpus import frame, sentence
-from panelcast.llm.decontaminate import Rules, contaminated, template
+from panelcast.llm.decontaminate import TOKEN, Rules, Windows, _known, contaminated, template
 
 ITEMS = "item_id long, text string"
 
@@ -63,3 +65,43 @@ def test_edges(spark):
     items = [(1, item), (1, item), (2, None), (3, ""), (4, "alpha beta gamma delta epsilon"), (None, item)]
     assert set(run(spark, docs, items)) == {(3, 1), (4, 1), (5, 4)}
     assert run(spark, [], items) == {} and run(spark, docs, []) == {}
+
+
+def slow_windows(text, size, rules):
+    """(key, first word, slot values) of the windows of one size in their plain reading, a word at a time."""
+    _, _, kind, values, _, _ = Windows(rules).templates.readings(text)
+    out = []
+    for i in range(len(kind) - size + 1):
+        own = range(i, i + size)
+        if sum(kind[j] == 0 for j in own) >= min(rules.literals, size):
+            key = size
+            for j in own:
+                key = (key * 0x9E3779B97F4A7C15 + int(kind[j] or values[j])) % 2**64
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                key = (key ^ key >> shift) * factor % 2**64
+            key ^= key >> 31
+            out.append((key - 2**64 * (key >> 63), i, size, [int(v) for v in values[own.start : own.stop][kind[own.start : own.stop] > 0].view(np.int64)]))
+    return out
+
+
+def test_windows_of_texts_read_together():
+    rng = random.Random(8)
+    words = "The the Two two 5 3.2 km KM $ % . ! John JOHN j ² Second cat ran and".split()
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 3, 8, 9, 60]))) for _ in range(80)] + [None, "", " ".join(rng.choices(words, k=5_000))]
+    rules = Rules(window=8, literals=3)
+    together = [[] for _ in texts]
+    for t, *window in Windows(rules).of_texts(texts):
+        together[t].append(tuple(window))
+    for text, own in zip(texts, together, strict=True):
+        n = len(template(text))
+        assert sorted(own) == sorted(slow_windows(text, min(8, n), rules) if n else [])
+    sizes = frozenset((2, 5))
+    read = [[] for _ in texts]
+    for t, *window in Windows(rules, sizes=sizes).of_texts(texts):
+        read[t].append(tuple(window))
+    assert [sorted(r) for r in read] == [sorted(Windows(rules, sizes=sizes).of(t)) for t in texts] and sum(map(len, read)) > 1_000
+
+
+def test_flags_of_tokens():
+    flags = {t: _known(t) & 63 for t in TOKEN.findall("One km $ . Km KM John j 3,5 cat")}
+    assert flags == {"One": 2, "km": 4, "$": 12, ".": 1, "Km": 20, "KM": 4, "John": 16, "j": 0, "3,5": 2, "cat": 0}
