@@ -295,7 +295,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rules: Rules = Rules(), id_c
     sizes = known.groupBy("id").agg(F.count("*").alias("total")).withColumnRenamed("id", "item")
     hits = found.join(theirs, "key").where(F.size("slots") == F.size("theirs"))
     runs = hits.groupBy("id", "item").agg(F.collect_list(F.struct(F.col("at").alias("here"), "there", F.col("slots").alias("own"), "theirs")).alias("hits"))
-    evidence = F.pandas_udf(_evidence(rules), "windows int, slots int, consistent int")
+    evidence = F.pandas_udf(_evidence(rules), "windows int, slots int, consistent int").asNondeterministic()  # rated once
     rated = runs.select("id", "item", evidence("hits").alias("e")).join(sizes, "item").select(
         F.col("id").alias(id_column),
         F.col("item").alias(item_column),

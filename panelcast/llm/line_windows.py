@@ -63,7 +63,8 @@ def dedup_lines(docs: DataFrame, width: int = 3, id_column: str = "doc_id", text
     name = "_lines"
     while name in {c.lower() for c in docs.columns}:
         name = "_" + name
-    without = F.pandas_udf(_without, "string")
+    # not evaluated again in a filter of the caller: that would take a second Python worker per task
+    without = F.pandas_udf(_without, "string").asNondeterministic()
     gone = repeated_lines(docs, width, id_column, text_column).select(F.struct("id", "key", "lines").alias("gone"))
     kept = docs.select(F.struct("*").alias("row"))
     text = F.col("row").getField(text_column)

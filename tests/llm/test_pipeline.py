@@ -67,6 +67,15 @@ def test_stages_match_plain_loops(spark, documents):
     check(list(want[-1].items()), pipeline.packed(spark, docs, FOLDER).collect())
 
 
+def test_texts_pass_through_one_python_evaluation(spark):
+    rows = [(i, "a b\nc d\ne f\n" + "x" * i, "en", "s", 12) for i in range(4)]
+    docs = pipeline.written(spark.createDataFrame(rows, COLUMNS), "test-evaluations")
+    made = pipeline.distinct_lines(spark, docs, FOLDER)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r.doc_id: r.text for r in made.collect()} == {0: rows[0][1], 1: "x", 2: "xx", 3: "xxx"}
+
+
 def test_edges_in_every_stage(spark):
     rows = [(None, sentence(random.Random(1), 30), None, None, None), (1, None, None, "s", 1), (2, "", "en", "s", 0), (3, "the " * 60, "en", "s", 1), (3, "the " * 60, "en", "s", 1), (4, "word", "en", None, 4)]
     docs = spark.createDataFrame([(*r, 5, "x", 1) for r in rows], COLUMNS + ", id long, _language string, row int")
