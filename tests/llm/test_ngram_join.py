@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpus import frame, grams, groups, jaccard, sentence
-from panelcast.llm.buckets import shared_counts
+from panelcast.llm.buckets import shared_counts, sized
 from panelcast.llm.ngram_join import Join, jaccard_join, sketch
 
 
@@ -79,3 +80,12 @@ def test_shared_counts_in_steps():
     sets = [np.unique(rng.integers(0, 300, 80)) for _ in range(9)]
     made = shared_counts(sets, step=16)
     assert all(made[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
+
+
+def test_hashes_of_a_hot_bucket_do_not_overflow(spark):
+    """1,400 members with large hashes: even less 8 bits their sum has 65."""
+    members = spark.range(40_000).select(F.lit(1).alias("bucket"), F.col("id").cast("string").cast("binary").alias("digest"), F.lit(3).alias("n"))
+    members = members.where(F.xxhash64("digest") > 2**62 + 2**61 + 2**60).limit(1400)
+    twin = members.select(F.lit(2).alias("bucket"), "digest", "n")
+    (one, other), less = sized(members.unionByName(twin)).collect(), sized(twin.limit(1399)).first()
+    assert (one["size"], one.tokens) == (1400, 4200) and one[1:] == other[1:] and (less.x, less.y) != (one.x, one.y)
